@@ -26,7 +26,10 @@ def affected(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hot_rows: int
 
     ``(seed, node_id, node_type, name, fqn, depth, severity, path)``.
     """
-    reached = reach(edges, seeds, "down", with_paths=True, hot_rows=hot_rows)
+    return _with_severity(reach(edges, seeds, "down", with_paths=True, hot_rows=hot_rows), nodes, edges, hot_rows)
+
+
+def _with_severity(reached: DataFrame, nodes: DataFrame, edges: DataFrame, hot_rows: int) -> DataFrame:
     info = with_undeclared(nodes, edges).select(F.col("id").alias("node"), "node_type", "name", "fqn")
     hits = hot_join(reached, info, "node", "left", hot_rows, right_total=0)
     return hits.select(
@@ -221,12 +224,13 @@ def find_seeds(checked: DataFrame, nodes: DataFrame) -> DataFrame:
     )
     second = F.when(F.col("change_type") == "pipeline_failure", node_id("job", "pipeline_id"))
     asked = checked.where(F.col("error").isNull()).select(first.alias("first"), second.alias("second")).distinct()
-    ids = nodes.select("id")
+    candidates = asked.select(
+        "first", F.posexplode(F.array_compact(F.array("first", "second"))).alias("rank", "id")
+    )
     known = (
-        asked.join(ids.withColumnRenamed("id", "first").withColumn("has_first", F.lit(True)), "first", "left")
-        .join(ids.withColumnRenamed("id", "second").withColumn("has_second", F.lit(True)), "second", "left")
-        .select("first", F.when(F.col("has_first"), F.col("first")).when(F.col("has_second"), F.col("second")).alias("seed"))
-        .where(F.col("seed").isNotNull())
+        candidates.join(nodes.select("id"), "id")
+        .groupBy("first")
+        .agg(F.min_by("id", "rank").alias("seed"))
     )
     return hot_join(checked.withColumn("first", first), known, "first", "left", right_total=0).drop("first")
 
@@ -246,7 +250,8 @@ def analyze_impact(
     """
     checked = materialize(find_seeds(check_changes(changes.select(*CHANGE_COLUMNS)), nodes), "changes")
     seeds = checked.where(F.col("seed").isNotNull()).select("seed").distinct()
-    hits = affected(nodes, edges, seeds, hot_rows)
+    reached = reach(edges, seeds, "down", with_paths=True, hot_rows=hot_rows)
+    hits = _with_severity(reached, nodes, edges, hot_rows)
     counts = severity_counts(hits)
 
     total = F.coalesce("total", F.lit(0))
@@ -279,6 +284,7 @@ def analyze_impact(
         "seed",
         "inner",
         hot_rows,
+        right_total=reached.count(),
     ).select(
         "change_id",
         "node_id",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 1_000
+SPREAD = 16
 
 
 def hot_keys(df: DataFrame, key: str, total: int, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -65,7 +66,8 @@ def hot_join(
     fans = F.broadcast(fans)
 
     def cut(df: DataFrame, own: str, other: str) -> DataFrame:
-        spread = F.coalesce(F.col(f"{own}_fan"), F.lit(1))
+        # Rows without a key match nothing but, in a left join, all stay.
+        spread = F.when(F.col(key).isNull(), SPREAD).otherwise(F.coalesce(F.col(f"{own}_fan"), F.lit(1)))
         repeat = F.coalesce(F.col(f"{other}_fan"), F.lit(1))
         row_hash = F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")])
         return (
@@ -79,9 +81,6 @@ def hot_join(
     return joined.drop("left_salt", "right_salt")
 
 
-SPREAD = 16
-
-
 def spread_join(
     left: DataFrame, right: DataFrame, key: str, salt_on: str, how: str = "inner", pieces: int = SPREAD
 ) -> DataFrame:
