@@ -1,8 +1,8 @@
 """What a SQL text touches: statements, tables and columns as column expressions.
 
-Nothing here parses SQL. Comments and literals are blanked first; then clause
-keywords, names, commas and parentheses are read in order while a small state
-remembers, per open parenthesis, whether a name is a table, a column or neither.
+Nothing here parses SQL. Comments and literals are blanked, then parentheses
+are peeled off from the inside out, one regex pass per nesting level, until
+every query is a flat text in which a clause runs from its keyword to the next.
 """
 
 from __future__ import annotations
@@ -51,20 +51,6 @@ AFTER_TABLE = (
     "UNION INTERSECT EXCEPT MINUS WHEN SET SELECT VALUES LATERAL TABLESAMPLE PIVOT UNPIVOT WINDOW QUALIFY "
     "CLUSTER DISTRIBUTE SORT VERSION TIMESTAMP FOR WITH FROM INTO PARTITION OFFSET VIEW REPLACE LOCATION"
 ).split()
-# Words that are neither a column nor an alias.
-RESERVED = sorted(
-    set(
-        [w for w in AFTER_TABLE if w not in ("VERSION", "TIMESTAMP", "LOCATION", "OFFSET", "WINDOW")]
-        + (
-            "SELECT FROM WHERE BY AND OR NOT IN IS NULL LIKE ILIKE RLIKE BETWEEN CASE WHEN THEN ELSE END AS ASC DESC "
-            "DISTINCT ALL ANY SOME EXISTS TRUE FALSE OVER ROWS RANGE PRECEDING FOLLOWING UNBOUNDED CURRENT ROW NULLS "
-            "FIRST LAST INSERT UPDATE DELETE MERGE CREATE TABLE VIEW IF REPLACE MATCHED INTERVAL CAST TRY_CAST "
-            "OVERWRITE DROP ALTER DESCRIBE EXPLAIN USE SHOW CURRENT_DATE CURRENT_TIMESTAMP RETURNING TEMPORARY TEMP "
-            "GLOBAL EXTERNAL ESCAPE ROLLUP CUBE GROUPING SETS EXTRACT FILTER RECURSIVE IGNORE RESPECT AT ONLY"
-        ).split()
-    )
-)
-
 
 def blank_literals(sql: Column) -> Column:
     """Comments become a blank, literals an empty literal; back-ticked names stay."""
@@ -146,94 +132,103 @@ _PLAIN_TARGET = (
 )
 _COPY_SOURCE = rf"\A\s*CREATE\b[^()]*?\b(?:LIKE|CLONE)\s+({NAME})"
 
-# One token: a name with an opening parenthesis (a function call), a name, a
-# literal, or a single sign. The listed keywords are never function names.
-_NOT_CALLS = r"(?!(?:FROM|JOIN|USING|SELECT|WITH|VALUES|ON|AS|IN|LATERAL)\b)"
-_TABLE_TOKEN = rf"{_NOT_CALLS}{NAME}\s*\(|{NAME}|''|[(),]"
+_QUERY_START = r"\s*(?:SELECT|WITH|FROM|VALUES)\b"
+# Stands for a parenthesis that was peeled off; ⟨ ⟩ enclose one kept in place.
+_HOLE = " ~ "
 
 
-def read_tables(statement: Column) -> Column:
-    """Names read by FROM, JOIN, comma lists and MERGE … USING.
+def _peel(statement: Column, keep_plain: bool) -> Column:
+    """The flat texts of a statement: each inner query, then what is left.
 
-    ``array<struct<name, alias>>`` in textual order. State per open
-    parenthesis: P just opened, X no table expected, F table expected, A after
-    a table in a FROM list, G opened where a table was expected.
+    With ``keep_plain`` a parenthesis that holds no query stays in its text,
+    between ⟨ and ⟩; without, it goes too, and those that hold a nested join are
+    handed out like queries.
     """
-    tokens = F.regexp_extract_all(statement, F.lit(rx(_TABLE_TOKEN, "i")), 0)
-    is_merge = statement.rlike(rx(r"\bMERGE\b", "i"))
+    opens = F.size(F.split(statement, r"\(", -1)) - 1
     start = F.struct(
-        F.array(F.lit("X")).alias("stack"),
-        F.array().cast("array<struct<at:int,name:string>>").alias("found"),
+        statement.alias("text"), F.array().cast("array<string>").alias("out"), F.lit(False).alias("done")
     )
+    inner_query = rx(rf"\((?={_QUERY_START})([^()]*)\)", "i")
+    inner_plain = rx(rf"\((?!{_QUERY_START})([^()]*)\)", "i")
+    inner_table = rx(r"\(([^()]*\b(?:FROM|JOIN)\b[^()]*)\)", "i")
+    any_inner = r"\([^()]*\)"
+
+    def once(state: Column, _: Column) -> Column:
+        text = state["text"]
+        if keep_plain:
+            less = F.regexp_replace(text, inner_plain, "⟨$1⟩")
+            out = F.concat(state["out"], F.regexp_extract_all(less, F.lit(inner_query), 1))
+            less = F.regexp_replace(less, inner_query, _HOLE)
+        else:
+            out = F.concat(state["out"], F.regexp_extract_all(text, F.lit(inner_table), 1))
+            less = F.regexp_replace(text, any_inner, _HOLE)
+        peeled = F.struct(less.alias("text"), out.alias("out"), (~less.contains("(")).alias("done"))
+        stuck = F.struct(text.alias("text"), state["out"].alias("out"), F.lit(True).alias("done"))
+        return F.when(state["done"], state).when(text.rlike(any_inner), peeled).otherwise(stuck)
+
+    flat = F.aggregate(
+        F.sequence(F.lit(1), opens), start, once, lambda s: F.concat(s["out"], F.array(s["text"]))
+    )
+    return F.when(opens > 0, flat).otherwise(F.array(statement))
 
-    def scan(toks: Column) -> Column:
-        def read(state: Column, i: Column) -> Column:
-            token = F.element_at(toks, i)
-            word = F.upper(token)
-            stack = state["stack"]
-            top = F.element_at(stack, -1)
-            below = F.slice(stack, 1, F.size(stack) - 1)
-            wants_table = top.isin("F", "G")
-            is_call = (F.length(token) > 1) & token.endswith("(")
-            is_name = ~token.isin("(", ")", ",", "''") & ~is_call
-
-            def set_top(mode: Column | str) -> Column:
-                return F.concat(below, F.array(F.lit(mode) if isinstance(mode, str) else mode))
-
-            closed = F.when(F.size(stack) > 1, below).otherwise(stack)
-            after_close = F.when(
-                F.element_at(closed, -1).isin("F", "G"),
-                F.concat(F.slice(closed, 1, F.size(closed) - 1), F.array(F.lit("A"))),
-            ).otherwise(closed)
-            next_stack = (
-                F.when(token == ")", after_close)
-                .when(token == "(", F.concat(stack, F.array(F.when(wants_table, "G").otherwise("P"))))
-                .when(
-                    is_call,
-                    F.concat(F.when(wants_table, set_top("A")).otherwise(stack), F.array(F.lit("P"))),
-                )
-                .when(token == ",", F.when(top == "A", set_top("F")).otherwise(stack))
-                .when(word == "FROM", F.when(top == "P", stack).otherwise(set_top("F")))
-                .when(word == "JOIN", set_top("F"))
-                .when((word == "USING") & is_merge & (top == "X"), set_top("F"))
-                .when(word.isin("SELECT", "WITH", "VALUES"), set_top("X"))
-                .when(word.isin("LATERAL", "ONLY"), stack)
-                .when(wants_table, set_top("A"))
-                .when(
-                    (top == "A")
-                    & word.isin(
-                        "WHERE", "GROUP", "ORDER", "HAVING", "LIMIT", "UNION", "INTERSECT", "EXCEPT", "MINUS", "SET",
-                        "WHEN", "VIEW", "WINDOW", "QUALIFY", "CLUSTER", "DISTRIBUTE", "SORT",
-                    ),
-                    set_top("X"),
-                )
-                .otherwise(stack)
-            )
-            emits = (
-                wants_table
-                & is_name
-                & ~word.isin("FROM", "JOIN", "USING", "SELECT", "WITH", "VALUES", "LATERAL", "ONLY")
-            )
-            found = F.when(
-                emits, F.concat(state["found"], F.array(F.struct(i.alias("at"), token.alias("name"))))
-            ).otherwise(state["found"])
-            return F.struct(next_stack.alias("stack"), found.alias("found"))
-
-        def with_alias(hit: Column) -> Column:
-            following = F.try_element_at(toks, hit["at"] + 1)
-            named = F.when(F.upper(following) == "AS", F.try_element_at(toks, hit["at"] + 2)).otherwise(following)
-            is_alias = named.rlike(rx(rf"\A{_NAME_PART}\z")) & ~F.upper(named).isin(AFTER_TABLE)
-            return F.struct(
-                hit["name"].alias("name"),
-                F.when(is_alias, F.regexp_replace(named, "`", "")).alias("alias"),
-            )
 
-        hits = F.aggregate(F.sequence(F.lit(1), F.size(toks)), start, read, lambda s: s["found"])
-        return F.transform(hits, with_alias)
+_FROM_ENDS = (
+    r"\b(?:SELECT|WHERE|GROUP|ORDER|HAVING|LIMIT|UNION|INTERSECT|EXCEPT|MINUS|LATERAL|WINDOW|QUALIFY|"
+    r"CLUSTER|DISTRIBUTE|SORT|SET|WHEN|INSERT|FROM)\b"
+)
+_NO_TABLE = r"(?!(?:SELECT|VALUES|LATERAL|TABLE|WITH|FROM)\b)"
+_ALIAS = rf"\A\s*{NAME}\s+(?:AS\s+)?({_NAME_PART})"
+
+
+def read_tables(statement: Column) -> Column:
+    """Names read by FROM, JOIN, comma lists and MERGE … USING.
+
+    ``array<struct<name, alias>>``, inner queries first.
+    """
+    # A single table in parentheses needs none.
+    bare = F.regexp_replace(statement, rx(rf"\b(FROM|JOIN)\s*\(\s*({NAME})\s*\)", "i"), "$1 $2")
+
+    def items(flat: Column) -> Column:
+        """Texts that start with a table: list items, joined tables."""
+        words = F.regexp_extract_all(flat, F.lit(rx(_FROM_ENDS, "i")), 0)
+        bodies = F.slice(F.split(flat, rx(_FROM_ENDS, "i"), -1), 2, 1 << 30)
+        clauses = F.filter(
+            F.arrays_zip(words.alias("word"), bodies.alias("body")),
+            lambda c: F.upper(c["word"]).isin("FROM", "LATERAL"),
+        )
+
+        def tables(clause: Column) -> Column:
+            listed = F.split(clause["body"], rx(r",|\bJOIN\b", "i"), -1)
+            joined = F.slice(F.split(clause["body"], rx(r"\bJOIN\b", "i"), -1), 2, 1 << 30)
+            return F.when(F.upper(clause["word"]) == "FROM", listed).otherwise(joined)
+
+        is_nested_join = ~flat.rlike(rx(r"\b(?:SELECT|FROM)\b", "i"))
+        return F.when(is_nested_join, F.split(flat, rx(r",|\bJOIN\b", "i"), -1)).otherwise(
+            F.flatten(F.transform(clauses, tables))
+        )
 
+    def as_table(item: Column) -> Column:
+        alias = F.regexp_extract(item, rx(_ALIAS, "i"), 1)
+        return F.struct(
+            F.regexp_extract(item, rx(rf"\A\s*(?:ONLY\s+)?{_NO_TABLE}({NAME})", "i"), 1).alias("name"),
+            F.when((alias != "") & ~F.upper(alias).isin(AFTER_TABLE), F.regexp_replace(alias, "`", "")).alias("alias"),
+        )
+
+    flats = F.filter(_peel(bare, keep_plain=False), lambda t: t.rlike(rx(r"\b(?:FROM|JOIN)\b", "i")))
+    merged = F.when(
+        statement.rlike(rx(r"\bMERGE\b", "i")),
+        F.regexp_extract_all(bare, F.lit(rx(rf"\bUSING\s+({NAME}(?:\s+(?:AS\s+)?{_NAME_PART})?)(?!\s*[(.])", "i")), 1),
+    ).otherwise(F.array().cast("array<string>"))
+    found = F.concat(merged, F.flatten(F.transform(flats, items)))
+    # A name before a hole is a function; one glued to other text is a fragment.
+    tables = F.filter(found, lambda i: i.rlike(rx(rf"\A\s*(?:ONLY\s+)?{_NO_TABLE}{NAME}(?!\s*[~.])", "i")) & ~i.rlike(
+        rx(rf"\A\s*{NAME}\s*~")
+    ))
     nothing = F.array().cast("array<struct<name:string,alias:string>>")
-    worth_it = statement.rlike(rx(r"\b(?:FROM|JOIN|USING)\b", "i")) & ~statement.rlike(rx(r"\A\s*(?:SHOW|GRANT)\b", "i"))
-    return F.when(worth_it & (F.size(tokens) > 0), scan(tokens)).otherwise(nothing)
+    worth_it = statement.rlike(rx(r"\b(?:FROM|JOIN|USING)\b", "i")) & ~statement.rlike(
+        rx(r"\A\s*(?:SHOW|GRANT|DESC|DESCRIBE)\b", "i")
+    )
+    return F.when(worth_it, F.transform(tables, as_table)).otherwise(nothing)
 
 
 def write_targets(statement: Column) -> Column:
@@ -284,114 +279,126 @@ def table_refs_of(statement: Column, exclude_ctes: bool = False) -> Column:
     return F.when(statement_type(statement).isNotNull(), refs).otherwise(F.array().cast(REF_TYPE))
 
 
-_COLUMN_TOKEN = rf"{NAME}(?:\s*\.\s*\*)?\s*\(|{NAME}(?:\s*\.\s*\*)?|''|[^\s\w]"
+# Clause keywords, and the context of a column that follows one.
+CLAUSES = {
+    "SELECT": "select",
+    "HAVING": "select",
+    "QUALIFY": "select",
+    "LIMIT": "select",
+    "LATERAL": "select",
+    "WHERE": "where",
+    "ON": "join",
+    "GROUP": "group_by",
+    "ORDER": "order_by",
+    "SORT": "order_by",
+    "CLUSTER": "order_by",
+    "DISTRIBUTE": "order_by",
+    "SET": "unknown",
+    "MATCHED": "unknown",
+    "FROM": "table",
+    "JOIN": "table",
+    "INTO": "table",
+    "TABLE": "table",
+    "VIEW": "table",
+    "UPDATE": "table",
+    "OVERWRITE": "table",
+    "USING": "table",
+    "UNION": "table",
+    "INTERSECT": "table",
+    "EXCEPT": "table",
+}
+_CLAUSE_WORDS = "|".join(k for k in CLAUSES if k not in ("MATCHED", "UPDATE", "VIEW"))
+_CLAUSE = (
+    rf"\b(?:{_CLAUSE_WORDS}|(?<!LATERAL\s{{1,20}})VIEW|UPDATE(?!\s+SET\b)|WHEN(?=\s+(?:NOT\s+)?MATCHED\b))\b"
+)
+# Words that join or modify values, and words that are values.
+_OPERATOR_WORDS = "|".join(
+    (
+        "AND OR NOT IN IS LIKE ILIKE RLIKE BETWEEN CASE WHEN THEN ELSE DISTINCT ALL ANY SOME EXISTS BY ASC DESC NULLS "
+        "FIRST LAST ROWS RANGE PRECEDING FOLLOWING UNBOUNDED CURRENT ROW PARTITION ESCAPE INTERVAL MATCHED INSERT "
+        "UPDATE DELETE SET VALUES OVER FILTER WITHIN IGNORE RESPECT ROLLUP CUBE GROUPING SETS DIV LEFT RIGHT FULL INNER "
+        "OUTER CROSS SEMI ANTI NATURAL VIEW"
+    ).split()
+)
+_VALUE_WORDS = "NULL|TRUE|FALSE|END|CURRENT_DATE|CURRENT_TIMESTAMP"
+_COLUMN = rf"(?:\A|[^\w`'~⟩\s.])\s*(?!\d)({NAME}(?:\s*\.\s*\*)?)(?![\w`.]|\s*[⟨'.])"
+
+
+def _names_in(text: Column) -> Column:
+    """Columns of a clause's text: no keywords, functions, types or aliases."""
+    t = F.regexp_replace(text, rx(r"\b(?:DATE|TIMESTAMP|INTERVAL)\s*''", "i"), _HOLE)
+    t = F.regexp_replace(t, rx(rf"\bAS\s+{NAME}", "i"), _HOLE)
+    t = F.regexp_replace(t, rx(rf"\b(?:{_VALUE_WORDS})\b(?!\s*[.⟨])", "i"), _HOLE)
+    t = F.regexp_replace(t, rx(rf"(?<!\.)\b(?:{_OPERATOR_WORDS})\b(?!\s*\.)(?!⟨)", "i"), " ; ")
+    return F.regexp_extract_all(t, F.lit(rx(_COLUMN)), 1)
 
 
 def column_refs_of(statement: Column) -> Column:
     """Columns of a cleaned statement with the clause nearest around each.
 
-    ``array<struct<qualifier, column, context>>`` in textual order, repeats
-    kept. Per open parenthesis the state holds the current clause; a
-    parenthesis inherits the clause it opens in until it has its own SELECT.
+    ``array<struct<qualifier, column, context>>``, inner queries first, repeats
+    kept. A parenthesis without a query of its own belongs to the clause it
+    stands in, but for the ORDER BY of a window.
     """
-    tokens = F.regexp_extract_all(statement, F.lit(rx(_COLUMN_TOKEN)), 0)
-    in_merge = statement.rlike(rx(r"\A\s*(?:WITH\b.*)?\bMERGE\b", "is"))
-    start = F.struct(
-        F.array(F.lit("none")).alias("stack"),
-        F.lit("").alias("last"),
-        F.array().cast("array<struct<name:string,context:string>>").alias("found"),
+    in_merge = statement.rlike(rx(r"\A\s*(?:WITH\b[\s\S]*)?\bMERGE\b", "i"))
+    # The ORDER BY of a window ends with its parenthesis, not with a clause.
+    windows = F.regexp_replace(statement, rx(r"\bWITHIN\s+GROUP\b", "i"), "OVER")
+    marked = F.regexp_replace(
+        windows, rx(r"\b(OVER\s*\([^()]*(?:\([^()]*\)[^()]*)*?)\bORDER\s+BY\b([^()]*(?:\([^()]*\)[^()]*)*)\)", "i"),
+        "$1 ⦃ $2 ⦄)",
     )
+    texts = _peel(marked, keep_plain=True)
+
+    def of_text(text: Column, outermost: Column) -> Column:
+        words = F.regexp_extract_all(text, F.lit(rx(_CLAUSE, "i")), 0)
+        bodies = F.slice(F.split(text, rx(_CLAUSE, "i"), -1), 2, 1 << 30)
+        clauses = F.filter(
+            F.arrays_zip(words.alias("word"), bodies.alias("body")),
+            lambda c: c["body"].isNotNull(),
+        )
 
-    def scan(toks: Column) -> Column:
-        def read(state: Column, i: Column) -> Column:
-            token = F.element_at(toks, i)
-            is_call = (F.length(token) > 1) & token.endswith("(")
-            word = F.upper(F.regexp_replace(token, r"\s*\($", ""))
-            opens = token.endswith("(")
-            is_word = word.rlike(rx(r"\A[\w`]"))
-            keyword = word.isin(RESERVED)
-            following = F.upper(F.coalesce(F.try_element_at(toks, i + 1), F.lit("")))
-            stack = state["stack"]
-            top = F.element_at(stack, -1)
-            below = F.slice(stack, 1, F.size(stack) - 1)
-            last = state["last"]
-
-            clause = (
-                F.when(word == "SELECT", "select")
-                .when(word == "LATERAL", "lateral")
-                .when((word == "VIEW") & (top == "lateral"), "lateral view")
-                .when((word == "AS") & (top == "lateral view"), "table")
-                .when((token == ",") & (top == "join"), "table")
-                .when(word.isin("FROM", "INTO", "JOIN", "TABLE", "VIEW", "UPDATE", "OVERWRITE"), "table")
-                .when((word == "USING") & in_merge, "table")
-                .when((word == "USING") & opens, "skip")
-                .when(word == "WHERE", "where")
-                .when((word == "ON") & in_merge & (F.size(stack) == 1), "unknown")
-                .when(word == "ON", "join")
-                .when(word.isin("GROUP"), "group_by")
-                .when(word.isin("ORDER", "SORT", "CLUSTER", "DISTRIBUTE"), "order_by")
-                .when(word.isin("HAVING", "QUALIFY"), "select")
-                .when((word == "SET") & (F.size(stack) == 1), "unknown")
-                .when((word == "WHEN") & in_merge & (F.size(stack) == 1), "unknown")
-            )
-            current = F.coalesce(clause, top)
-            renewed = F.when(clause.isNotNull(), F.concat(below, F.array(clause))).otherwise(stack)
-            closed = F.when(F.size(stack) > 1, below).otherwise(stack)
-            next_stack = (
-                F.when(token == ")", closed)
-                .when(opens, F.concat(renewed, F.array(current)))
-                .otherwise(renewed)
-            )
-            after_value = last.isin("value", "as")
-            emits = (
-                is_word
-                & ~is_call
-                & ~keyword
-                & ~after_value
-                & ~word.rlike(r"^[0-9]")
-                & (following != "''")
-                & top.isin("select", "lateral view", "where", "join", "group_by", "order_by", "unknown")
+        def context(word: Column) -> Column:
+            upper = F.upper(word)
+            pairs = [F.lit(x) for pair in CLAUSES.items() for x in pair]
+            return (
+                F.when((upper == "ON") & in_merge & outermost, "unknown")
+                .when(upper == "WHEN", "unknown")
+                .otherwise(F.try_element_at(F.create_map(*pairs), upper))
             )
-            kind = (
-                F.when(token == ")", "value")
-                .when(token == "''", "value")
-                .when(word == "AS", "as")
-                .when(word.isin("END", "NULL", "TRUE", "FALSE", "CURRENT_DATE", "CURRENT_TIMESTAMP"), "value")
-                .when(opens, "")
-                .when(is_word & ~keyword, "value")
-                .when((token == "*") & last.isin("", "select"), "value")
-                .otherwise("")
+
+        def columns(clause: Column) -> Column:
+            own = context(clause["word"])
+            body = clause["body"]
+            # A comma list of tables after a join condition, and what a lateral view is called.
+            body = F.when(
+                F.upper(clause["word"]) == "ON",
+                F.regexp_replace(body, rx(rf"(?:,\s*{NAME}(?:\s+(?:AS\s+)?\w+)?\s*)+\z", "i"), ""),
+            ).when(F.upper(clause["word"]) == "LATERAL", F.regexp_replace(body, r"⟩[^⟨⟩]*\z", "⟩")).otherwise(body)
+            ordered = F.flatten(
+                F.transform(F.regexp_extract_all(body, F.lit(r"⦃([^⦄]*)⦄"), 1), _names_in)
             )
-            found = F.when(
-                emits,
-                F.concat(
-                    state["found"],
-                    F.array(
-                        F.struct(
-                            token.alias("name"),
-                            F.when(top == "lateral view", "select").otherwise(top).alias("context"),
-                        )
-                    ),
-                ),
-            ).otherwise(state["found"])
-            return F.struct(next_stack.alias("stack"), kind.alias("last"), found.alias("found"))
-
-        hits = F.aggregate(F.sequence(F.lit(1), F.size(toks)), start, read, lambda s: s["found"])
-
-        def as_column(hit: Column) -> Column:
-            starred = hit["name"].endswith("*")
-            parts = F.when(
-                starred, F.concat(name_parts(F.regexp_replace(hit["name"], r"\s*\.\s*\*$", "")), F.array(F.lit("*")))
-            ).otherwise(name_parts(hit["name"]))
-            return F.struct(
-                F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise(F.lit("")).alias("qualifier"),
-                F.element_at(parts, -1).alias("column"),
-                hit["context"].alias("context"),
+            plain = _names_in(F.regexp_replace(body, r"⦃[^⦄]*⦄", " ; "))
+
+            def named(where: Column):
+                return lambda n: F.struct(n.alias("name"), where.alias("context"))
+
+            hits = F.concat(F.transform(plain, named(own)), F.transform(ordered, named(F.lit("order_by"))))
+            return F.when(own != "table", hits).otherwise(
+                F.array().cast("array<struct<name:string,context:string>>")
             )
 
-        return F.transform(hits, as_column)
+        return F.flatten(F.transform(clauses, columns))
+
+    def as_column(hit: Column) -> Column:
+        starred = hit["name"].endswith("*")
+        parts = name_parts(hit["name"])
+        parts = F.when(starred, F.concat(parts, F.array(F.lit("*")))).otherwise(parts)
+        return F.struct(
+            F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise(F.lit("")).alias("qualifier"),
+            F.element_at(parts, -1).alias("column"),
+            hit["context"].alias("context"),
+        )
 
+    hits = F.flatten(F.transform(texts, lambda t, i: of_text(t, i == F.size(texts) - 1)))
     nothing = F.array().cast("array<struct<qualifier:string,column:string,context:string>>")
-    return F.when(
-        statement_type(statement).isNotNull() & (F.size(tokens) > 0), scan(tokens)
-    ).otherwise(nothing)
+    return F.when(statement_type(statement).isNotNull(), F.transform(hits, as_column)).otherwise(nothing)

@@ -208,7 +208,15 @@ RUN = {
 
 
 def lineage_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS {n}" for n, e in BASE.items()])
+    """The rows every notebook corpus is made of.
+
+    The texts derived from a row are far larger than the row, so an input of
+    one or two splits is spread before they are made; a table with enough
+    splits is left as it lies.
+    """
+    base = table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS {n}" for n, e in BASE.items()])
+    cores = spark.sparkContext.defaultParallelism
+    return base if base.rdd.getNumPartitions() >= cores else base.repartition(cores, "k")
 
 
 def notebooks(spark: SparkSession, sf_dir: str) -> DataFrame:

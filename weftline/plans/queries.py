@@ -168,13 +168,13 @@ def _(spark, sf_dir):
 
 
 _RUN_SQL = "SELECT *, " + ", ".join(f"{e} AS {n}" for n, e in C.RUN.items()) + " FROM events"
-_END_SQL = "CASE WHEN run_id % 7 = 0 THEN NULL ELSE epoch_ms(ts) + CAST(round(value * 1000) AS BIGINT) END"
+_END_SQL = "CASE WHEN run_id % 7 = 0 THEN NULL ELSE (epoch_us(ts) // 1000) + CAST(round(value * 1000) AS BIGINT) END"
 
 
 @query(
     "run_log",
     f"""SELECT job_id, run_id, CASE WHEN failed THEN 'FAILED' ELSE 'SUCCESS' END AS result_state,
-      epoch_ms(ts) AS start_time, {_END_SQL} AS end_time,
+      (epoch_us(ts) // 1000) AS start_time, {_END_SQL} AS end_time,
       strftime(ts, '%Y-%m-%d %H:%M:%S') AS started_at FROM ({_RUN_SQL})""",
 )
 def _(spark, sf_dir):
@@ -1000,8 +1000,8 @@ def _(spark, sf_dir):
 
 @query(
     "latest_runs",
-    f"""SELECT job_id, run_id, epoch_ms(ts) AS start_time FROM (SELECT *, row_number() OVER
-      (PARTITION BY job_id ORDER BY epoch_ms(ts) DESC, run_id DESC) AS rn FROM ({_RUN_SQL})) WHERE rn = 1""",
+    f"""SELECT job_id, run_id, (epoch_us(ts) // 1000) AS start_time FROM (SELECT *, row_number() OVER
+      (PARTITION BY job_id ORDER BY (epoch_us(ts) // 1000) DESC, run_id DESC) AS rn FROM ({_RUN_SQL})) WHERE rn = 1""",
 )
 def _(spark, sf_dir):
     return runs.latest_runs(logs.load_runs(C.run_records(spark, sf_dir))).select("job_id", "run_id", "start_time")
@@ -1009,7 +1009,7 @@ def _(spark, sf_dir):
 
 @query(
     "run_durations",
-    f"SELECT run_id, {_END_SQL} - epoch_ms(ts) AS duration_ms FROM ({_RUN_SQL})",
+    f"SELECT run_id, {_END_SQL} - (epoch_us(ts) // 1000) AS duration_ms FROM ({_RUN_SQL})",
 )
 def _(spark, sf_dir):
     loaded = logs.load_runs(C.run_records(spark, sf_dir))
@@ -1050,11 +1050,11 @@ def _(spark, sf_dir):
 @query(
     "job_status",
     f"""WITH jobs AS (SELECT k // 20 AS j, count(*) AS n FROM ({BASE_SQL}) GROUP BY 1),
-      latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY epoch_ms(ts) DESC, run_id DESC) AS rn
+      latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY (epoch_us(ts) // 1000) DESC, run_id DESC) AS rn
         FROM ({_RUN_SQL})) WHERE rn = 1)
       SELECT CAST(j AS VARCHAR) AS job_id, CASE WHEN j % 11 <> 0 THEN 'Job ' || j END AS name, CAST(n AS BIGINT)
         AS defined_task_count, CASE WHEN l.run_id IS NULL THEN 'No runs found for this job.' END AS message, l.run_id,
-        CASE WHEN l.run_id IS NOT NULL THEN {_END_SQL.replace('run_id', 'l.run_id').replace('ts', 'l.ts')} - epoch_ms(l.ts)
+        CASE WHEN l.run_id IS NOT NULL THEN {_END_SQL.replace('run_id', 'l.run_id').replace('ts', 'l.ts')} - (epoch_us(l.ts) // 1000)
         END AS duration_ms, {_CAUSE_SQL} AS probable_cause
       FROM jobs LEFT JOIN latest l ON l.job_id = CAST(j AS VARCHAR)""",
 )
