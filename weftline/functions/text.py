@@ -21,13 +21,29 @@ def rx(pattern: str, flags: str = "") -> str:
     return f"(?dU{flags}){pattern}"
 
 
+# The characters that count as blank at the ends of a text.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + (
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: ColumnLike) -> Column:
-    """Remove blanks and line ends at both sides (``trim`` removes blanks only)."""
-    return F.regexp_replace(as_col(c), rx(r"\A\s+|\s+\z"), "")
+    """Remove blanks and line ends at both sides (``trim`` removes spaces only)."""
+    return F.btrim(as_col(c), F.lit(BLANKS))
 
 
-def extract_all(c: ColumnLike, pattern: str, flags: str = "", group: int = 1) -> Column:
-    return F.regexp_extract_all(as_col(c), F.lit(rx(pattern, flags)), group)
+def extract_all(
+    c: ColumnLike, pattern: str, flags: str = "", group: int = 1, hint: str | None = None
+) -> Column:
+    """All matches of a group. ``hint`` is a text that every match contains.
+
+    Looking for the hint is far cheaper than running the pattern, and most
+    texts do not have it.
+    """
+    found = F.regexp_extract_all(as_col(c), F.lit(rx(pattern, flags)), group)
+    if hint is None:
+        return found
+    return F.when(as_col(c).contains(hint), found).otherwise(F.array().cast("array<string>"))
 
 
 def source_lines(c: ColumnLike) -> Column:

@@ -26,21 +26,27 @@ CODE_LANGUAGES = ["python", "sql", "scala", "r"]
 _MAGIC = rx(r"\A\s*%(\w+)\s*(.*)\z", "s")
 
 
-def split_cells(notebooks: DataFrame) -> DataFrame:
-    """``(path, default_language, cell_index, content)``.
+def cell_texts(source: Column) -> Column:
+    """``array<struct<cell_index, content>>`` of the non-empty cells of a source.
 
     The index counts every piece between separators, so dropping the empty
     ones leaves gaps in it.
     """
-    pieces = F.split("source", rx(CELL_SEPARATOR), -1)
-    language = F.coalesce(F.lower("language"), F.lit("python"))
-    return (
-        notebooks.select(
-            "path", language.alias("default_language"), F.posexplode(pieces).alias("cell_index", "raw")
-        )
-        .withColumn("content", strip("raw"))
-        .where(F.col("content") != "")
-        .drop("raw")
+    pieces = F.transform(
+        F.split(source, rx(CELL_SEPARATOR), -1),
+        lambda p, i: F.struct(i.alias("cell_index"), strip(p).alias("content")),
+    )
+    return F.filter(pieces, lambda c: c["content"] != "")
+
+
+def notebook_language() -> Column:
+    return F.coalesce(F.lower("language"), F.lit("python"))
+
+
+def split_cells(notebooks: DataFrame) -> DataFrame:
+    """``(path, default_language, cell_index, content)``."""
+    return notebooks.select(
+        "path", notebook_language().alias("default_language"), F.inline(cell_texts(F.col("source")))
     )
 
 
@@ -64,7 +70,7 @@ def scan_class(content: Column, language: Column) -> Column:
 
     return (
         F.when(
-            magic.isin(list(MAGICS)),
+            content.startswith("%") & magic.isin(list(MAGICS)),
             cell(
                 _lookup(magic, {m: t for m, (t, _) in MAGICS.items()}),
                 _lookup(magic, {m: lang for m, (_, lang) in MAGICS.items()}),
@@ -92,7 +98,8 @@ def export_class(content: Column, language: Column) -> Column:
         return F.struct(F.lit(cell_type).alias("cell_type"), lang.alias("language"), text.alias("content"))
 
     return (
-        F.when(magic == "md", cell("markdown", F.lit("markdown"), body))
+        F.when(~content.startswith("%") & ~content.startswith("#"), cell("code", language, content))
+        .when(magic == "md", cell("markdown", F.lit("markdown"), body))
         .when(magic.isin(CODE_LANGUAGES), cell("code", magic, body))
         .when(magic != "", cell("code", language, content))
         .when(
@@ -123,10 +130,26 @@ def classify_cells(cells: DataFrame, mode: str = "scan") -> DataFrame:
 
 
 def notebook_cells(notebooks: DataFrame, default_language: str | None = None) -> DataFrame:
-    """Split and classify; ``default_language`` overrides the language column."""
+    """Split and classify; ``default_language`` overrides the language column.
+
+    Both happen inside the notebook's row and the finished cells are exploded
+    once, so that a filter on the cell type cannot pull the classification
+    back into itself and run it again.
+    """
     if default_language is not None:
         notebooks = notebooks.withColumn("language", F.lit(default_language))
-    return classify_cells(split_cells(notebooks))
+    language = notebook_language()
+
+    def classified(cell: Column) -> Column:
+        parts = scan_class(cell["content"], language)
+        return F.struct(
+            cell["cell_index"].alias("cell_index"),
+            parts["cell_type"].alias("cell_type"),
+            parts["language"].alias("language"),
+            parts["content"].alias("content"),
+        )
+
+    return notebooks.select("path", F.inline(F.transform(cell_texts(F.col("source")), classified)))
 
 
 def cell_counts(cells: DataFrame) -> DataFrame:

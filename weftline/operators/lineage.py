@@ -8,36 +8,37 @@ from pyspark.sql import functions as F
 from weftline.functions import sqltext
 from weftline.functions.names import parts_to_name, resolve_name, split_fqn
 from weftline.functions.names import fqn as compose_fqn
-from weftline.functions.text import as_col, extract_all, rx, strip
-from weftline.operators.cells import CELL_SEPARATOR, scan_class
+from weftline.functions.text import as_col, extract_all, rx
+from weftline.operators.cells import cell_texts, notebook_language, scan_class
 from weftline.operators.skew import spread_join
 
 _QUOTED = r"""["']([^"']+)["']\s*\)"""
 
 # Calls that read or write a table, the calls of pipeline code,
 # and the words that make a string passed to spark.sql a SQL text.
-READ_CALLS = [
-    r"spark\.table\(\s*" + _QUOTED,
-    r"spark\.read\.table\(\s*" + _QUOTED,
-    r"DeltaTable\.forName\(\s*\w+\s*,\s*" + _QUOTED,
-    r"""spark\.read\.format\(\s*["']delta["']\s*\)\.load\(\s*""" + _QUOTED,
-]
-PIPELINE_READ_CALLS = [
-    r"dlt\.read\(\s*" + _QUOTED,
-    r"dlt\.read_stream\(\s*" + _QUOTED,
-    r"spark\.readStream\.table\(\s*" + _QUOTED,
-]
-WRITE_CALLS = [
-    r"\.write(?:\.\w+\([^)]*\))*\.saveAsTable\(\s*" + _QUOTED,
-    r"\.write(?:\.\w+\([^)]*\))*\.insertInto\(\s*" + _QUOTED,
-    r"\.writeTo\(\s*" + _QUOTED,
-]
+# Each call comes with the text that has to be there for it to match.
+READ_CALLS = {
+    "spark.table": r"spark\.table\(\s*" + _QUOTED,
+    "spark.read.table": r"spark\.read\.table\(\s*" + _QUOTED,
+    "DeltaTable.forName": r"DeltaTable\.forName\(\s*\w+\s*,\s*" + _QUOTED,
+    "spark.read.format": r"""spark\.read\.format\(\s*["']delta["']\s*\)\.load\(\s*""" + _QUOTED,
+}
+PIPELINE_READ_CALLS = {
+    "dlt.read(": r"dlt\.read\(\s*" + _QUOTED,
+    "dlt.read_stream": r"dlt\.read_stream\(\s*" + _QUOTED,
+    "spark.readStream.table": r"spark\.readStream\.table\(\s*" + _QUOTED,
+}
+WRITE_CALLS = {
+    ".saveAsTable": r"\.write(?:\.\w+\([^)]*\))*\.saveAsTable\(\s*" + _QUOTED,
+    ".insertInto": r"\.write(?:\.\w+\([^)]*\))*\.insertInto\(\s*" + _QUOTED,
+    ".writeTo": r"\.writeTo\(\s*" + _QUOTED,
+}
 SQL_CALL = r"""spark\.sql\(\s*(?:f?["']|f?\"{3})(.*?)(?:["']|\"{3})\s*\)"""
 SQL_WORDS = r"\b(SELECT|INSERT|CREATE|MERGE|UPDATE|DELETE)\b"
 
 
-def _call_refs(content: Column, patterns: list[str], kind: str) -> Column:
-    names = F.concat(*[extract_all(content, p) for p in patterns])
+def _call_refs(content: Column, calls: dict[str, str], kind: str) -> Column:
+    names = F.concat(*[extract_all(content, pattern, hint=hint) for hint, pattern in calls.items()])
     refs = F.transform(
         names,
         lambda n: F.struct(
@@ -52,14 +53,14 @@ def _call_refs(content: Column, patterns: list[str], kind: str) -> Column:
 def code_ref_array(content: Column) -> Column:
     """Table references made by method calls in python code."""
     return F.concat(
-        _call_refs(content, READ_CALLS + PIPELINE_READ_CALLS, "reads_from"),
+        _call_refs(content, READ_CALLS | PIPELINE_READ_CALLS, "reads_from"),
         _call_refs(content, WRITE_CALLS, "writes_to"),
     )
 
 
 def inline_sql_array(content: Column) -> Column:
     """SQL texts passed to ``spark.sql``; quotes left by triple quoting are cut."""
-    texts = extract_all(content, SQL_CALL, "s")
+    texts = extract_all(content, SQL_CALL, "s", hint="spark.sql")
     texts = F.transform(texts, lambda t: F.regexp_replace(t, r"""\A["']+|["']+\z""", ""))
     return F.filter(texts, lambda t: t.rlike(rx(SQL_WORDS, "i")))
 
@@ -275,16 +276,16 @@ def pipeline_ref_array(source: Column) -> Column:
         return as_ref
 
     declared = F.arrays_zip(
-        extract_all(source, TARGET_DECORATOR, "", 1).alias("named"),
-        extract_all(source, TARGET_DECORATOR, "", 2).alias("function"),
+        extract_all(source, TARGET_DECORATOR, "", 1, "@dlt.").alias("named"),
+        extract_all(source, TARGET_DECORATOR, "", 2, "@dlt.").alias("function"),
     )
     targets = F.filter(
         F.transform(declared, lambda d: F.when(d["named"] != "", d["named"]).otherwise(d["function"])),
         lambda t: t.isNotNull() & (t != ""),
     )
     return F.concat(
-        F.transform(extract_all(source, PIPELINE_READ), read(True)),
-        F.transform(extract_all(source, STREAM_READ), read(False)),
+        F.transform(extract_all(source, PIPELINE_READ, hint="dlt.read"), read(True)),
+        F.transform(extract_all(source, STREAM_READ, hint="readStream"), read(False)),
         F.transform(targets, lambda t: ref(whole(t), "writes_to", F.lit(True))),
     )
 
@@ -332,21 +333,18 @@ def workspace_refs(notebooks: DataFrame) -> DataFrame:
     each notebook read as ordinary code, and, where it looks like pipeline
     code, as such too. Which reading counts is for the graph to say.
     """
-    language = F.coalesce(F.lower("language"), F.lit("python"))
-    pieces = F.transform(
-        F.split("source", rx(CELL_SEPARATOR), -1),
-        lambda p: F.struct(F.lit(False).alias("whole"), strip(p).alias("content")),
-    )
+    language = notebook_language()
+
+    def cell(found: Column) -> Column:
+        parts = scan_class(found["content"], language)
+        return F.struct(parts["cell_type"].alias("kind"), parts["content"].alias("content"))
+
+    cells = F.transform(cell_texts(F.col("source")), cell)
     whole = F.when(
-        F.col("source").rlike(r"dlt\.|readStream"),
-        F.array(F.struct(F.lit(True).alias("whole"), F.col("source").alias("content"))),
-    ).otherwise(F.array().cast("array<struct<whole:boolean,content:string>>"))
-    rows = notebooks.select("path", language.alias("lang"), F.explode(F.concat(pieces, whole)).alias("p"))
-    rows = rows.where(F.col("p.content") != "").select("path", "lang", "p.*")
-    cells = rows.select("path", "whole", "content", scan_class(F.col("content"), F.col("lang")).alias("cell"))
-    text = F.when(F.col("whole"), F.col("content")).otherwise(F.col("cell.content"))
-    kind = F.when(F.col("whole"), F.lit("pipeline")).otherwise(F.col("cell.cell_type"))
-    cells = cells.select("path", kind.alias("kind"), text.alias("content")).where(
+        F.col("source").contains("dlt.") | F.col("source").contains("readStream"),
+        F.array(F.struct(F.lit("pipeline").alias("kind"), F.col("source").alias("content"))),
+    ).otherwise(F.array().cast("array<struct<kind:string,content:string>>"))
+    cells = notebooks.select("path", F.inline(F.concat(cells, whole))).where(
         F.col("kind").isin("python", "sql", "pipeline")
     )
     statements = F.flatten(F.transform(sql_texts(F.col("kind"), F.col("content")), sqltext.split_statements))
@@ -357,7 +355,7 @@ def workspace_refs(notebooks: DataFrame) -> DataFrame:
         return lambda t: F.struct(tag.alias("kind"), t.alias("text"))
 
     items = F.concat(F.transform(own, item(F.col("kind"))), F.transform(statements, item("sql")))
-    work = cells.select("path", F.explode(items).alias("item")).select("path", "item.kind", "item.text")
+    work = cells.select("path", F.inline(items))
 
     def unqualified(refs: Column) -> Column:
         return F.transform(
