@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +16,8 @@ SNIPPET_CONTEXT = 2
 SNIPPET_LINES = 5
 
 
-def _matches(rule: Rule, content: Column) -> Column:
+def _matches(rule: Rule, content: Column, lowered: Column) -> Column:
+    """Cell type first, then the cheap search for hints, then the patterns."""
     pattern = rx(rule.pattern, rule.flags)
     if rule.at_least > 1:
         hit = F.regexp_count(content, F.lit(pattern)) >= rule.at_least
@@ -22,6 +25,9 @@ def _matches(rule: Rule, content: Column) -> Column:
         hit = content.rlike(pattern)
     for exception in rule.unless:
         hit = hit & ~content.rlike(rx(exception, rule.flags))
+    if rule.hints:
+        text = lowered if "i" in rule.flags else content
+        hit = reduce(or_, [text.contains(h) for h in rule.hints]) & hit
     if rule.cell_types is not None:
         hit = F.col("cell_type").isin(*rule.cell_types) & hit
     return hit
@@ -67,7 +73,7 @@ def review(
     empty = "array<struct<rule_pos:int,line:int>>"
     hits = [
         F.when(
-            _matches(rule, content),
+            _matches(rule, content, F.col("lowered")),
             F.struct(
                 F.lit(pos).alias("rule_pos"), match_line(content, rx(rule.pattern, rule.flags)).alias("line")
             ),
@@ -75,9 +81,8 @@ def review(
         for pos, rule in enumerate(chosen)
     ]
     found = F.array_compact(F.array(*hits)) if hits else F.array().cast(empty)
-    rows = cells.where(F.col("cell_type") != "markdown").select(
-        *keys, "content", F.explode(found).alias("hit")
-    )
+    rows = cells.where(F.col("cell_type") != "markdown").withColumn("lowered", F.lower(content))
+    rows = rows.select(*keys, "content", F.explode(found).alias("hit"))
     rows = rows.select(*keys, "content", "hit.*")
 
     def of_rule(values: list[str]) -> Column:
