@@ -97,6 +97,13 @@ def build_graph(
     nothing else either. A notebook held by a pipeline and by no job is read
     as pipeline code only; every other notebook as ordinary code.
     """
+    # Definitions are parsed once; several branches below read them.
+    tasks = materialize(
+        tasks.select("job_id", "job_name", "task_key", "notebook_path", "query_id", "pipeline_id"), "tasks"
+    )
+    pipelines = materialize(
+        pipelines.select("pipeline_id", "name", "target_catalog", "target_schema", "notebook_paths"), "pipelines"
+    )
     has_notebook = F.coalesce("notebook_path", F.lit("")) != ""
     real_tasks = tasks.where(F.col("task_key").isNotNull())
     if prefix:

@@ -8,7 +8,7 @@ cuts the lineage, survives lost executors and gives the next join true sizes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,8 +54,11 @@ def reach(
         return f"{folder}/depth={depth}"
 
     def save(df: DataFrame, depth: int) -> int:
-        df.select(*level_schema.names).write.parquet(level(depth))
-        return spark.read.schema(level_schema).parquet(level(depth)).count()
+        """Write a round and tell its rows, counted while they are written."""
+        counted = Observation()
+        rows = df.select(*level_schema.names).observe(counted, F.count(F.lit(1)).alias("rows"))
+        rows.write.parquet(level(depth))
+        return counted.get["rows"]
 
     frontier = seeds.select("seed").distinct().withColumn("node", F.col("seed"))
     if with_paths:
