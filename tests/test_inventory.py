@@ -148,6 +148,10 @@ def test_work_folder_needs_a_shared_place(spark, monkeypatch):
     class Cluster:
         master = "spark://host:7077"
 
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
     class Remote:
         sparkContext = Cluster()
 

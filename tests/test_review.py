@@ -45,7 +45,7 @@ FRAGMENTS = [
     "mlflow.start_run(", "mlflow.end_run(", "with mlflow.start_run():", "mlflow.log_metrics", "mlflow.set_experiment(", "def f(x):",
     'def g(a):\n    """doc"""', "from x import *", "'dbfs:/a'", "%pip install", "print (1)", "password = 'x'", "Token='y'", "bearer abc",
     "dapi" + "0" * 32, "INSERT INTO t", "MERGE INTO m", "OPTIMIZE", "@udf", ".writeStream", ".toPandas()", ".collect( )", "é ü", "JOIN été ", "🙂",
-    "spark.sql('SELECT * FROM t')", "df = 1\nresult = 2\ndata = 3\n", "for y in ys:\n  z.write.save(1)",
+    "spark.sql('SELECT * FROM t')", "df = 1\nresult = 2\ndata = 3\ndf.show()", "for y in ys:\n  z.write.save(1)",
 ]
 
 

@@ -62,3 +62,8 @@ def decode_utf8_or_keep(c: ColumnLike) -> Column:
     raw = as_col(c)
     text = F.try_to_binary(raw, F.lit("base64")).cast("string")
     return F.when(F.is_valid_utf8(text), text).otherwise(raw)
+
+
+def utc_text(at: Column, pattern: str) -> Column:
+    """An instant written in UTC, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), pattern)

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from weftline.functions.names import fqn as compose_fqn
 from weftline.functions.names import last_path_part, node_id
+from weftline.functions.text import utc_text
 from weftline.operators.cells import notebook_cells
 from weftline.operators.filters import scope
 from weftline.operators.lineage import all_refs, qualify_pipeline_refs, workspace_refs
 from weftline.operators.reach import reach
-from weftline.operators.skew import hot_join
+from weftline.operators.skew import HOT_ROWS, hot_join
 from weftline.session import materialize
 
 NODE_COLUMNS = ["id", "node_type", "fqn", "name", "metadata"]
@@ -127,7 +128,6 @@ def build_graph(
                 "path", "fqn", "reference_type"
             )
         )
-        .distinct()
     )
 
     job = node_id("job", "job_id")
@@ -207,9 +207,22 @@ def add_notebook(
 
 
 def node_lookup(nodes: DataFrame, ids: DataFrame) -> DataFrame:
-    """``ids(id)`` with their attributes; ``found`` is false for unknown ones."""
+    """Each asked ``id`` with its attributes; ``found`` is false for unknown ones."""
     hits = nodes.select(*NODE_COLUMNS).withColumn("found", F.lit(True))
-    return ids.join(hits, "id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    return ids.distinct().join(hits, "id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def with_node_info(reached: DataFrame, nodes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add type, name and fqn of ``node``; a node nobody declared is ``unknown``."""
+    info = nodes.select(F.col("id").alias("node"), "node_type", "name", "fqn")
+    joined = hot_join(reached, info, "node", "left", hot_rows, right_total=0)
+    return joined.withColumns(
+        {
+            "node_type": F.coalesce("node_type", F.lit("unknown")),
+            "name": F.coalesce("name", F.lit("")),
+            "fqn": F.coalesce("fqn", F.lit("")),
+        }
+    )
 
 
 def type_counts(df: DataFrame, column: str) -> DataFrame:
@@ -268,8 +281,7 @@ def table_dependencies(nodes: DataFrame, edges: DataFrame, tables: DataFrame) ->
     missing = seeds.join(nodes.select(F.col("id").alias("seed")), "seed", "left_anti")
     both = reach(edges, known, "up").withColumn("direction", F.lit("upstream"))
     both = both.unionByName(reach(edges, known, "down").withColumn("direction", F.lit("downstream")))
-    info = with_undeclared(nodes, edges).select(F.col("id").alias("node"), "node_type", "name", "fqn")
-    hits = hot_join(both, info, "node", "left", right_total=0).select(
+    hits = with_node_info(both, nodes).select(
         F.substring_index("seed", "table::", -1).alias("table"),
         "direction",
         F.col("node").alias("node_id"),
@@ -305,7 +317,7 @@ def with_staleness(df: DataFrame, built_at: Column, ttl_seconds: int = GRAPH_TTL
     now = F.current_timestamp() if now is None else now
     age = F.unix_timestamp(now) - F.unix_timestamp(built_at)
     return (
-        df.withColumn("graph_timestamp", F.date_format(built_at, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        df.withColumn("graph_timestamp", utc_text(built_at, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
         .withColumn("cache_age_seconds", age)
         .withColumn("stale_warning", age > ttl_seconds)
     )

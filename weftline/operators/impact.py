@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.impact import SEVERITY_WEIGHTS, raised, risk_score, severity
 from weftline.functions.names import node_id
-from weftline.operators.graph import with_undeclared
+from weftline.operators.graph import with_node_info
 from weftline.operators.reach import reach
 from weftline.operators.skew import HOT_ROWS, hot_join
 from weftline.session import materialize
@@ -26,13 +26,11 @@ def affected(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hot_rows: int
 
     ``(seed, node_id, node_type, name, fqn, depth, severity, path)``.
     """
-    return _with_severity(reach(edges, seeds, "down", with_paths=True, hot_rows=hot_rows), nodes, edges, hot_rows)
+    return _with_severity(reach(edges, seeds, "down", with_paths=True, hot_rows=hot_rows), nodes, hot_rows)
 
 
-def _with_severity(reached: DataFrame, nodes: DataFrame, edges: DataFrame, hot_rows: int) -> DataFrame:
-    info = with_undeclared(nodes, edges).select(F.col("id").alias("node"), "node_type", "name", "fqn")
-    hits = hot_join(reached, info, "node", "left", hot_rows, right_total=0)
-    return hits.select(
+def _with_severity(reached: DataFrame, nodes: DataFrame, hot_rows: int) -> DataFrame:
+    return with_node_info(reached, nodes, hot_rows).select(
         "seed",
         F.col("node").alias("node_id"),
         "node_type",
@@ -251,7 +249,7 @@ def analyze_impact(
     checked = materialize(find_seeds(check_changes(changes.select(*CHANGE_COLUMNS)), nodes), "changes")
     seeds = checked.where(F.col("seed").isNotNull()).select("seed").distinct()
     reached = reach(edges, seeds, "down", with_paths=True, hot_rows=hot_rows)
-    hits = _with_severity(reached, nodes, edges, hot_rows)
+    hits = _with_severity(reached, nodes, hot_rows)
     counts = severity_counts(hits)
 
     total = F.coalesce("total", F.lit(0))

@@ -331,7 +331,8 @@ def workspace_refs(notebooks: DataFrame) -> DataFrame:
 
     ``(path, as_pipeline, catalog, schema, table, reference_type, qualify)``:
     each notebook read as ordinary code, and, where it looks like pipeline
-    code, as such too. Which reading counts is for the graph to say.
+    code, as such too. Which reading counts is for the graph to say. One row
+    per occurrence, and no shuffle.
     """
     language = notebook_language()
 
@@ -374,7 +375,7 @@ def workspace_refs(notebooks: DataFrame) -> DataFrame:
         .otherwise(pipeline_ref_array(F.col("text")).cast(_PIPELINE_REF))
     )
     found = work.select("path", (F.col("kind") == "pipeline").alias("as_pipeline"), F.explode(refs).alias("ref"))
-    return found.select("path", "as_pipeline", "ref.name.*", "ref.reference_type", "ref.qualify").distinct()
+    return found.select("path", "as_pipeline", "ref.name.*", "ref.reference_type", "ref.qualify")
 
 
 def scan_report(refs: DataFrame, cells: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.diagnose import diagnose
 from weftline.operators.filters import name_filter
+from weftline.operators.skew import spread_join
 
 TRACE_CHARS = 2000
 EVENTS_PER_PIPELINE = 10
@@ -95,7 +96,7 @@ def job_status(
     """``(status, tasks)``: per loaded job its definition and latest run, and that run's tasks."""
     latest = latest_runs(runs)
     last_ids = latest.select("run_id")
-    errors = task_errors(task_runs.join(last_ids, "run_id", "left_semi"), outputs)
+    errors = task_errors(spread_join(task_runs, last_ids, "run_id", "task_pos", "left_semi"), outputs)
     status = run_status(latest, errors)
     schedule = F.col("settings.schedule")
     defined = jobs.select(

@@ -207,6 +207,11 @@ RUN = {
 }
 
 
+def since_epoch(unit: str) -> str:
+    """The time of an event, which has no zone, read as UTC."""
+    return f"timestampdiff({unit}, CAST('1970-01-01' AS TIMESTAMP_NTZ), CAST(ts AS TIMESTAMP_NTZ))"
+
+
 def lineage_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows every notebook corpus is made of.
 
@@ -326,7 +331,7 @@ def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").selectExpr(
         "*",
         *[f"{e} AS {n}" for n, e in RUN.items()],
-        "timestampdiff(MILLISECOND, CAST('1970-01-01' AS TIMESTAMP_NTZ), CAST(ts AS TIMESTAMP_NTZ)) AS start_ms",
+        f"{since_epoch('MILLISECOND')} AS start_ms",
     )
     state = "named_struct('life_cycle_state', 'TERMINATED', 'result_state', {r}, 'state_message', {m})"
     ok = state.format(r="'SUCCESS'", m="CAST(NULL AS STRING)")
@@ -359,7 +364,7 @@ def pipeline_event_records(events: DataFrame) -> DataFrame:
         "'p' || user_id % 10 AS pipeline_id",
         "CAST(event_id AS STRING) AS id",
         "event_type",
-        "CAST(ts AS TIMESTAMP) AS timestamp",
+        f"timestamp_micros({since_epoch('MICROSECOND')}) AS timestamp",
         "CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level",
         f"CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN array({one}, {two})"
         f" WHEN event_type = 'error' THEN array({one}) END AS exceptions",

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.names import fqn, node_id, resolve_name, split_fqn
-from weftline.functions.text import source_lines
+from weftline.functions.text import source_lines, utc_text
 from weftline.operators import cells as cell_ops
 from weftline.operators import filters, graph, impact, inventory, lineage, runs
 from weftline.operators.reach import paths, reach
@@ -179,8 +179,7 @@ _END_SQL = "CASE WHEN run_id % 7 = 0 THEN NULL ELSE (epoch_us(ts) // 1000) + CAS
 )
 def _(spark, sf_dir):
     loaded = logs.load_runs(C.run_records(spark, sf_dir))
-    # The instant is formatted in UTC, whatever the session's zone.
-    at = F.date_format(F.to_utc_timestamp("started_at", F.current_timezone()), "yyyy-MM-dd HH:mm:ss")
+    at = utc_text(F.col("started_at"), "yyyy-MM-dd HH:mm:ss")
     return loaded.select("job_id", "run_id", "result_state", "start_time", "end_time", at.alias("started_at"))
 
 
@@ -739,7 +738,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     counts = graph.type_counts(workspace_graph(spark, sf_dir)[1], "edge_type")
-    built, now = (F.to_timestamp(F.lit(t)) for t in ("2024-01-01 00:00:00", "2024-01-01 01:00:01"))
+    built, now = (F.timestamp_seconds(F.lit(t)) for t in (1704067200, 1704070801))
     return graph.with_staleness(counts, built, now=now)
 
 
@@ -1091,18 +1090,20 @@ def _(spark, sf_dir):
 
 @query(
     "latest_update",
-    """SELECT 'p' || CAST(user_id AS VARCHAR) AS pipeline_id, CAST(max(event_id) AS VARCHAR) AS update_id FROM events
-      GROUP BY user_id""",
-)
-def _(spark, sf_dir):
-    updates = C.table(spark, sf_dir, "events").groupBy("user_id").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("event_id"), F.lit("COMPLETED").alias("state"))), asc=False).alias(
-            "latest_updates"
-        )
+    """SELECT 'p' || CAST(event_id AS VARCHAR) AS pipeline_id,
+      CASE WHEN event_id % 3 > 0 THEN 'u' || CAST(event_id AS VARCHAR) || '_' || CAST(event_id % 3 AS VARCHAR) END AS update_id
+      FROM events""",
+)
+def _(spark, sf_dir):
+    """A pipeline per event with up to two updates, newest first."""
+    pipelines = C.table(spark, sf_dir, "events").selectExpr(
+        "'p' || event_id AS pipeline_id",
+        "'x' AS name",
+        "'IDLE' AS state",
+        "transform(reverse(slice(array(1, 2), 1, CAST(event_id % 3 AS INT))),"
+        " n -> named_struct('update_id', 'u' || event_id || '_' || n, 'state', 'COMPLETED')) AS latest_updates",
     )
-    pipelines = updates.selectExpr("'p' || user_id AS pipeline_id", "'x' AS name", "'IDLE' AS state", "latest_updates")
-    found = runs.latest_update(pipelines)
-    return found.select("pipeline_id", F.col("latest_update.event_id").cast("string").alias("update_id"))
+    return runs.latest_update(pipelines).select("pipeline_id", "latest_update.update_id")
 
 
 @query(
@@ -1316,7 +1317,7 @@ def _(spark, sf_dir):
     events = C.pipeline_event_records(_stream(spark, sf_dir, "events"))
     stream_failure_ops.stream_failures(events, f"{folder}/counts", f"{folder}/checkpoint").awaitTermination()
     counts = stream_failure_ops.current_failures(spark, f"{folder}/counts")
-    return counts.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "probable_cause", "n")
+    return counts.select(utc_text(F.col("window_start"), "yyyy-MM-dd").alias("day"), "probable_cause", "n")
 
 
 @query("stream_lineage", f"SELECT path, fqn, reference_type FROM ({REFS_SQL})")

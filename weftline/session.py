@@ -32,7 +32,7 @@ def work_folder(spark: SparkSession, label: str) -> str:
     lost with its executor, so the missing setting is an error there.
     """
     global _local_folder
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
