@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from weftline.operators import impact
 
 
@@ -135,3 +137,12 @@ def test_risk_score_rounding(spark):
     assets = spark.createDataFrame(rows, "seed string, severity string")
     scores = {r.seed: (r.total, r.risk_score) for r in impact.risk_by_seed(assets.where("severity <> 'other'")).collect()}
     assert scores == {"a": (1, 1.0), "b": (2, 10.0), "c": (30, 10.0), "d": (2, 5.0)}
+
+
+def test_old_graphs_answer_with_a_warning(spark, small_graph):
+    change = changes_of(spark, ("x", "column_drop", "main.bronze.raw", "c", None, None))
+    built = F.current_timestamp() - F.expr("interval 2 hours")
+    old, _ = impact.analyze_impact(*small_graph, change, built_at=built)
+    assert old.first().stale_warning and old.first().total_affected_count == 4
+    young, _ = impact.analyze_impact(*small_graph, change, built_at=built, ttl_seconds=8000)
+    assert not young.first().stale_warning and young.first().graph_timestamp.endswith("Z")

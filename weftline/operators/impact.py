@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.impact import SEVERITY_WEIGHTS, raised, risk_score, severity
 from weftline.functions.names import node_id
-from weftline.operators.graph import with_node_info
+from weftline.operators.graph import GRAPH_TTL_SECONDS, with_node_info, with_staleness
 from weftline.operators.reach import reach
 from weftline.operators.skew import HOT_ROWS, hot_join
 from weftline.session import materialize
@@ -238,10 +238,14 @@ def analyze_impact(
     edges: DataFrame,
     changes: DataFrame,
     built_at: Column | None = None,
+    ttl_seconds: int = GRAPH_TTL_SECONDS,
     hot_rows: int = HOT_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """``(reports, assets)`` for a table of proposed changes.
 
+    ``built_at`` tells when the graph was built (default: now); reports from a
+    graph older than ``ttl_seconds`` still answer and carry a warning.
+
     ``changes`` has the columns of ``CHANGE_COLUMNS``; what a kind of change
     does not need may be null. Every distinct seed is walked once, whatever
     the number of changes to it.
@@ -272,7 +276,9 @@ def analyze_impact(
         counts_map(chosen).alias("severity_counts"),
         risk_score(weight_sum(chosen), total).alias("risk_score"),
         _remediation(total).alias("remediation"),
-        (F.current_timestamp() if built_at is None else built_at).alias("built_at"),
+    )
+    reports = with_staleness(reports, F.current_timestamp() if built_at is None else built_at, ttl_seconds).drop(
+        "cache_age_seconds"
     )
     assets = hot_join(
         checked.where(F.col("seed").isNotNull()).select(

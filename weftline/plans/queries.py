@@ -97,12 +97,24 @@ SCORE_SQL = "CAST(least(10.0, sum(w) / count(*) * least(count(*), 10)) AS DOUBLE
 WEIGHT_SQL = "CASE {s} WHEN 'critical' THEN 10.0 WHEN 'high' THEN 7.0 WHEN 'medium' THEN 4.0 ELSE 1.0 END"
 
 
-def workspace_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def build_workspace_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     tasks = definitions.explode_tasks(definitions.load_jobs(C.jobs(spark, sf_dir)))
     pipelines = definitions.parse_pipeline_configs(C.pipeline_configs(spark, sf_dir))
     return graph.build_graph(C.notebooks(spark, sf_dir), tasks, pipelines)
 
 
+_STORED: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def workspace_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The graph as stored tables, written once per application and asked many times."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        nodes, edges = build_workspace_graph(spark, sf_dir)
+        _STORED[key] = materialize(nodes, "nodes"), materialize(edges, "edges")
+    return _STORED[key]
+
+
 def table_seeds(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("src").startswith("table::")).select(F.col("src").alias("seed")).distinct()
 
@@ -233,7 +245,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     nodes, edges = workspace_graph(spark, sf_dir)
-    return reports.graph_documents(nodes.limit(0), edges).select("section", "json")
+    return reports.graph_documents(nodes, edges).where("section = 'edges'")
 
 
 @query(
@@ -242,7 +254,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     nodes, edges = workspace_graph(spark, sf_dir)
-    documents = reports.graph_documents(nodes, edges.limit(0)).where("section = 'nodes'")
+    documents = reports.graph_documents(nodes, edges).where("section = 'nodes'")
     parsed = documents.select(F.from_json("json", "id string, node_type string, fqn string, name string").alias("d"))
     return parsed.select("d.*")
 
@@ -575,12 +587,12 @@ def _(spark, sf_dir):
 
 @query("graph_edges", EDGES_SQL)
 def _(spark, sf_dir):
-    return workspace_graph(spark, sf_dir)[1]
+    return build_workspace_graph(spark, sf_dir)[1]
 
 
 @query("graph_nodes", NODES_SQL)
 def _(spark, sf_dir):
-    return workspace_graph(spark, sf_dir)[0].select("id", "node_type", "fqn", "name")
+    return build_workspace_graph(spark, sf_dir)[0].select("id", "node_type", "fqn", "name")
 
 
 @query(
@@ -609,7 +621,7 @@ def _(spark, sf_dir):
         (SELECT string_agg(id, ',' ORDER BY id) FROM (SELECT id FROM leaves ORDER BY id LIMIT 50)) AS leaf_nodes""",
 )
 def _(spark, sf_dir):
-    summary = graph.summarize(*[materialize(df, "graph") for df in workspace_graph(spark, sf_dir)])
+    summary = graph.summarize(*workspace_graph(spark, sf_dir))
 
     def listed(column):
         pairs = F.transform(
@@ -642,14 +654,12 @@ def _(spark, sf_dir):
 @query("downstream_depth", closure_sql(TABLE_SEEDS_SQL))
 def _(spark, sf_dir):
     _, edges = workspace_graph(spark, sf_dir)
-    edges = materialize(edges, "edges")
     return reach(edges, table_seeds(edges))
 
 
 @query("upstream_depth", closure_sql("SELECT DISTINCT dst AS seed FROM edges WHERE dst LIKE 'table::%'", "up"))
 def _(spark, sf_dir):
     _, edges = workspace_graph(spark, sf_dir)
-    edges = materialize(edges, "edges")
     written = edges.where(F.col("dst").startswith("table::")).select(F.col("dst").alias("seed")).distinct()
     return reach(edges, written, "up")
 
@@ -657,7 +667,6 @@ def _(spark, sf_dir):
 @query("bounded_depth", closure_sql(TABLE_SEEDS_SQL, max_depth=3))
 def _(spark, sf_dir):
     _, edges = workspace_graph(spark, sf_dir)
-    edges = materialize(edges, "edges")
     return reach(edges, table_seeds(edges), max_depth=3)
 
 
@@ -670,7 +679,6 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Each reachable pair of tables, and the same pairs backwards, which have no path."""
     _, edges = workspace_graph(spark, sf_dir)
-    edges = materialize(edges, "edges")
     pairs = reach(edges, table_seeds(edges)).where(F.col("node").startswith("table::")).select(
         F.col("seed").alias("source"), F.col("node").alias("target")
     )
@@ -691,7 +699,7 @@ def _(spark, sf_dir):
       UNION ALL SELECT 'main.no.such', 0, 0""",
 )
 def _(spark, sf_dir):
-    nodes, edges = (materialize(df, "graph") for df in workspace_graph(spark, sf_dir))
+    nodes, edges = workspace_graph(spark, sf_dir)
     read = table_seeds(edges).select(F.substring("seed", 8, 1000).alias("table"))
     asked = read.unionByName(read.agg(F.lit("main.no.such").alias("table")))
     return graph.dependency_counts(graph.table_dependencies(nodes, edges, asked))
@@ -750,7 +758,7 @@ def _(spark, sf_dir):
     f"SELECT seed, node AS node_id, depth, {SEVERITY_SQL} AS severity FROM ({closure_sql(TABLE_SEEDS_SQL)})",
 )
 def _(spark, sf_dir):
-    nodes, edges = (materialize(df, "graph") for df in workspace_graph(spark, sf_dir))
+    nodes, edges = workspace_graph(spark, sf_dir)
     return impact.affected(nodes, edges, table_seeds(edges)).select("seed", "node_id", "depth", "severity")
 
 
@@ -764,7 +772,7 @@ def _(spark, sf_dir):
         (SELECT seed, {SEVERITY_SQL} AS severity FROM ({closure_sql(TABLE_SEEDS_SQL)}))) GROUP BY seed""",
 )
 def _(spark, sf_dir):
-    nodes, edges = (materialize(df, "graph") for df in workspace_graph(spark, sf_dir))
+    nodes, edges = workspace_graph(spark, sf_dir)
     return impact.risk_by_seed(impact.affected(nodes, edges, table_seeds(edges)))
 
 
@@ -794,7 +802,7 @@ def _flat_report(found: DataFrame) -> DataFrame:
 
 @query("impact_column_drop", _change_report("drop ", TABLE_SEEDS_SQL))
 def _(spark, sf_dir):
-    nodes, edges = (materialize(df, "graph") for df in workspace_graph(spark, sf_dir))
+    nodes, edges = workspace_graph(spark, sf_dir)
     drops = table_seeds(edges).select(
         F.concat(F.lit("drop "), "seed").alias("change_id"),
         F.substring("seed", 8, 1000).alias("table_name"),
@@ -805,7 +813,7 @@ def _(spark, sf_dir):
 
 @query("impact_schema_change", _change_report("change ", TABLE_SEEDS_SQL, raised=True))
 def _(spark, sf_dir):
-    nodes, edges = (materialize(df, "graph") for df in workspace_graph(spark, sf_dir))
+    nodes, edges = workspace_graph(spark, sf_dir)
     changes = table_seeds(edges).select(
         F.concat(F.lit("change "), "seed").alias("change_id"),
         F.substring("seed", 8, 1000).alias("table_name"),
@@ -823,7 +831,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    nodes, edges = (materialize(df, "graph") for df in workspace_graph(spark, sf_dir))
+    nodes, edges = workspace_graph(spark, sf_dir)
     seeds = edges.where("src LIKE 'job::%' OR src LIKE 'pipeline::%'").select(F.col("src").alias("seed")).distinct()
     failures = seeds.select(
         F.concat(F.lit("fail "), "seed").alias("change_id"),
@@ -851,7 +859,7 @@ _CHANGE_KINDS = 6
 )
 def _(spark, sf_dir):
     """Requests that are incomplete, malformed, or ask for a table nobody knows."""
-    nodes, edges = (materialize(df, "graph") for df in workspace_graph(spark, sf_dir))
+    nodes, edges = workspace_graph(spark, sf_dir)
     kind = f"k % {_CHANGE_KINDS}"
     changes = C.lineage_base(spark, sf_dir).selectExpr(
         "CAST(k AS STRING) AS change_id",
@@ -879,7 +887,7 @@ def _(spark, sf_dir):
       FROM ({_change_report('drop ', TABLE_SEEDS_SQL)})""",
 )
 def _(spark, sf_dir):
-    nodes, edges = (materialize(df, "graph") for df in workspace_graph(spark, sf_dir))
+    nodes, edges = workspace_graph(spark, sf_dir)
     drops = table_seeds(edges).select(
         F.concat(F.lit("drop "), "seed").alias("change_id"),
         F.substring("seed", 8, 1000).alias("table_name"),
