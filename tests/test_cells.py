@@ -102,9 +102,10 @@ def test_long_run_of_blanks(spark):
 def test_load_decodes_base64_only_when_it_is_text(spark):
     text = "été = spark.table('t')"
     encoded = base64.b64encode(text.encode()).decode()
-    rows = [("/a", encoded, None), ("/b", text, None), ("/c", "SELECT 1 FROM t", None), ("/d", "abcd", "text")]
+    rows = [("/a", encoded, None), ("/b", text, None), ("/c", "SELECT 1 FROM t", None), ("/d", "abcd", "text"), ("/e", "YWI", None)]
     df = spark.createDataFrame(rows, "path string, source string, encoding string")
     plain = {r.path: r.source for r in load_notebooks(df.drop("encoding")).collect()}
+    assert plain["/e"] == "YWI"
     assert plain["/a"] == text and plain["/b"] == text and plain["/c"] == "SELECT 1 FROM t"
     marked = {r.path: r.source for r in load_notebooks(df.withColumn("encoding", F.coalesce("encoding", F.lit("base64")))).collect()}
     assert marked["/a"] == text and marked["/d"] == "abcd"

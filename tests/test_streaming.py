@@ -3,6 +3,7 @@ import datetime as dt
 from weftline.operators import graph
 from weftline.operators.review import review
 from weftline.operators.cells import notebook_cells
+from weftline.sources import logs
 from weftline.streaming import failures, lineage
 from weftline.streaming.review import stream_review
 
@@ -76,6 +77,17 @@ def test_failures_equal_the_batch_counts(spark, tmp_path):
     assert got == want and sum(n for _, _, n in got) == 80
 
 
+def test_events_from_json_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.json").write_text(
+        '{"pipeline_id":"p","id":"1","timestamp":"2024-01-01T00:00:00Z","exceptions":[{"message":"timed out"}]}\n'
+        '{"pipeline_id":"p","id":"2","timestamp":"2024-01-01T05:00:00Z","level":"INFO"}\n'
+    )
+    stream = logs.load_events(logs.stream_json_events(spark, str(tmp_path / "in")))
+    failures.stream_failures(stream, str(tmp_path / "c"), str(tmp_path / "checkpoint")).awaitTermination()
+    assert [(r.probable_cause, r.n) for r in failures.current_failures(spark, str(tmp_path / "c")).collect()] == [("timeout", 1)]
+
+
 def test_stream_review_equals_batch(spark, tmp_path):
     rows = [(f"/n{i}", "python", f"x = df.collect()\nprint({i})", 1) for i in range(5)]
     books = spark.createDataFrame(rows, BOOK)

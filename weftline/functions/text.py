@@ -57,11 +57,13 @@ def source_lines(c: ColumnLike) -> Column:
 def decode_utf8_or_keep(c: ColumnLike) -> Column:
     """Base64 text to UTF-8 text; anything that does not decode stays as it is.
 
-    Decoding is lenient, so the result counts only when it is valid UTF-8.
+    Decoding is lenient, so the result counts only when it is valid UTF-8 and
+    the base64 signs of the text form whole groups of four.
     """
     raw = as_col(c)
     text = F.try_to_binary(raw, F.lit("base64")).cast("string")
-    return F.when(F.is_valid_utf8(text), text).otherwise(raw)
+    signs = F.length(F.regexp_replace(raw, "[^A-Za-z0-9+/=]+", ""))
+    return F.when(F.is_valid_utf8(text) & (signs % 4 == 0), text).otherwise(raw)
 
 
 def utc_text(at: Column, pattern: str) -> Column:

@@ -103,7 +103,10 @@ def build_graph(
         tasks.select("job_id", "job_name", "task_key", "notebook_path", "query_id", "pipeline_id"), "tasks"
     )
     pipelines = materialize(
-        pipelines.select("pipeline_id", "name", "target_catalog", "target_schema", "notebook_paths"), "pipelines"
+        pipelines.where(F.col("pipeline_id") != "").select(
+            "pipeline_id", "name", "target_catalog", "target_schema", "notebook_paths"
+        ),
+        "pipelines",
     )
     has_notebook = F.coalesce("notebook_path", F.lit("")) != ""
     real_tasks = tasks.where(F.col("task_key").isNotNull())
