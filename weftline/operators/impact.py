@@ -21,12 +21,14 @@ CHANGE_COLUMNS = ["change_id", "change_type", "table_name", "column_name", "sche
 SCHEMA_CHANGES = "array<struct<action:string,column:string,new_type:string>>"
 
 
-def affected(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Everything downstream of each seed with its path and severity.
+def affected(
+    nodes: DataFrame, edges: DataFrame, seeds: DataFrame, with_paths: bool = True, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Everything downstream of each seed with its severity.
 
-    ``(seed, node_id, node_type, name, fqn, depth, severity, path)``.
+    ``(seed, node_id, node_type, name, fqn, depth, severity[, path])``.
     """
-    return _with_severity(reach(edges, seeds, "down", with_paths=True, hot_rows=hot_rows), nodes, hot_rows)
+    return _with_severity(reach(edges, seeds, "down", with_paths=with_paths, hot_rows=hot_rows), nodes, hot_rows)
 
 
 def _with_severity(reached: DataFrame, nodes: DataFrame, hot_rows: int) -> DataFrame:
@@ -38,7 +40,7 @@ def _with_severity(reached: DataFrame, nodes: DataFrame, hot_rows: int) -> DataF
         "fqn",
         "depth",
         severity(F.col("node_type"), F.col("depth")).alias("severity"),
-        "path",
+        *(["path"] if "path" in reached.columns else []),
     )
 
 
@@ -239,10 +241,14 @@ def analyze_impact(
     changes: DataFrame,
     built_at: Column | None = None,
     ttl_seconds: int = GRAPH_TTL_SECONDS,
+    with_paths: bool = True,
     hot_rows: int = HOT_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """``(reports, assets)`` for a table of proposed changes.
 
+    Reports need no paths; without them the walk carries far less, and the
+    assets have no ``relationship_path``.
+
     ``built_at`` tells when the graph was built (default: now); reports from a
     graph older than ``ttl_seconds`` still answer and carry a warning.
 
@@ -252,7 +258,7 @@ def analyze_impact(
     """
     checked = materialize(find_seeds(check_changes(changes.select(*CHANGE_COLUMNS)), nodes), "changes")
     seeds = checked.where(F.col("seed").isNotNull()).select("seed").distinct()
-    reached = reach(edges, seeds, "down", with_paths=True, hot_rows=hot_rows)
+    reached = reach(edges, seeds, "down", with_paths=with_paths, hot_rows=hot_rows)
     hits = _with_severity(reached, nodes, hot_rows)
     counts = severity_counts(hits)
 
@@ -296,7 +302,7 @@ def analyze_impact(
         "name",
         "fqn",
         F.when(F.col("lifted"), raised(F.col("severity"))).otherwise(F.col("severity")).alias("severity"),
-        F.col("path").alias("relationship_path"),
+        *([F.col("path").alias("relationship_path")] if with_paths else []),
         "reason",
     )
     return reports, assets
@@ -308,19 +314,25 @@ def _as_changes(df: DataFrame, kind: str) -> DataFrame:
     return df.select(*[present.get(c, F.lit(None).cast("string")).alias(c) for c in CHANGE_COLUMNS])
 
 
-def impact_column_drop(nodes: DataFrame, edges: DataFrame, drops: DataFrame) -> tuple[DataFrame, DataFrame]:
+def impact_column_drop(
+    nodes: DataFrame, edges: DataFrame, drops: DataFrame, with_paths: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """``drops(change_id, table_name, column_name)``.
 
     The column is named in the answer; it does not narrow the assets.
     """
-    return analyze_impact(nodes, edges, _as_changes(drops, "column_drop"))
+    return analyze_impact(nodes, edges, _as_changes(drops, "column_drop"), with_paths=with_paths)
 
 
-def impact_schema_change(nodes: DataFrame, edges: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def impact_schema_change(
+    nodes: DataFrame, edges: DataFrame, changes: DataFrame, with_paths: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """``changes(change_id, table_name, schema_changes)``, the last one as JSON."""
-    return analyze_impact(nodes, edges, _as_changes(changes, "schema_change"))
+    return analyze_impact(nodes, edges, _as_changes(changes, "schema_change"), with_paths=with_paths)
 
 
-def impact_failure(nodes: DataFrame, edges: DataFrame, failures: DataFrame) -> tuple[DataFrame, DataFrame]:
+def impact_failure(
+    nodes: DataFrame, edges: DataFrame, failures: DataFrame, with_paths: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """``failures(change_id, pipeline_id)``; the id may be a job's."""
-    return analyze_impact(nodes, edges, _as_changes(failures, "pipeline_failure"))
+    return analyze_impact(nodes, edges, _as_changes(failures, "pipeline_failure"), with_paths=with_paths)

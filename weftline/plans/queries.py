@@ -773,7 +773,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     nodes, edges = workspace_graph(spark, sf_dir)
-    return impact.risk_by_seed(impact.affected(nodes, edges, table_seeds(edges)))
+    return impact.risk_by_seed(impact.affected(nodes, edges, table_seeds(edges), with_paths=False))
 
 
 def _change_report(prefix: str, seeds: str, raised: bool = False) -> str:
@@ -808,7 +808,7 @@ def _(spark, sf_dir):
         F.substring("seed", 8, 1000).alias("table_name"),
         F.lit("id").alias("column_name"),
     )
-    return _flat_report(impact.impact_column_drop(nodes, edges, drops)[0])
+    return _flat_report(impact.impact_column_drop(nodes, edges, drops, with_paths=False)[0])
 
 
 @query("impact_schema_change", _change_report("change ", TABLE_SEEDS_SQL, raised=True))
@@ -821,7 +821,7 @@ def _(spark, sf_dir):
             "schema_changes"
         ),
     )
-    return _flat_report(impact.impact_schema_change(nodes, edges, changes)[0])
+    return _flat_report(impact.impact_schema_change(nodes, edges, changes, with_paths=False)[0])
 
 
 @query(
@@ -837,7 +837,7 @@ def _(spark, sf_dir):
         F.concat(F.lit("fail "), "seed").alias("change_id"),
         F.substring_index("seed", "::", -1).alias("pipeline_id"),
     )
-    return _flat_report(impact.impact_failure(nodes, edges, failures)[0])
+    return _flat_report(impact.impact_failure(nodes, edges, failures, with_paths=False)[0])
 
 
 _CHANGE_KINDS = 6
@@ -871,7 +871,7 @@ def _(spark, sf_dir):
         """ '[{"action":"remove","column":"a"},{"action":"modify","column":"b"}]' END AS schema_changes""",
         "CAST(NULL AS STRING) AS pipeline_id",
     )
-    found, _ = impact.analyze_impact(nodes, edges, changes)
+    found, _ = impact.analyze_impact(nodes, edges, changes, with_paths=False)
     return found.select(
         "change_id",
         "error",
@@ -893,7 +893,7 @@ def _(spark, sf_dir):
         F.substring("seed", 8, 1000).alias("table_name"),
         F.lit("id").alias("column_name"),
     )
-    documents = reports.to_report_json(impact.impact_column_drop(nodes, edges, drops)[0])
+    documents = reports.to_report_json(impact.impact_column_drop(nodes, edges, drops, with_paths=False)[0])
     schema = "change_id string, total_affected_count bigint, risk_score double, change_type string"
     return documents.select(F.from_json("json", schema).alias("d")).select("d.*")
 
