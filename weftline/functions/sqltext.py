@@ -60,21 +60,24 @@ def blank_literals(sql: Column) -> Column:
         rx(r"""('[^']*(?:'|\z)|"[^"]*(?:"|\z)|`[^`]*`)|--[^\n]*|/\*(?s:.*?)(?:\*/|\z)"""),
         "$1 ",
     )
-    return F.regexp_replace(no_comments, rx(r"""(`[^`]*`)|'[^']*(?:'|\z)|"[^"]*(?:"|\z)"""), "$1''")
+    marked = F.regexp_replace(no_comments, rx(r"""(`[^`]*`)|'[^']*(?:'|\z)|"[^"]*(?:"|\z)"""), "$1''")
+    # The mark belongs to literals, not to back-ticked names.
+    blanked = F.regexp_replace(marked, rx(r"(`[^`]*`)''"), "$1")
+    return F.when(sql.rlike(r"""['"`]|--|/\*"""), blanked).otherwise(sql)
 
 
 def clean_sql(sql: Column) -> Column:
     """Blanked text in which ``FROM`` is always the clause.
 
-    Back-ticked names lose the literal mark that blanking leaves behind them;
     ``IS [NOT] DISTINCT FROM`` is a comparison, and the ``FROM`` between the
     arguments of EXTRACT, TRIM and SUBSTRING is a comma.
     """
-    text = F.regexp_replace(blank_literals(sql), rx(r"(`[^`]*`)''"), "$1")
-    text = F.regexp_replace(text, rx(r"\bIS\s+(?:NOT\s+)?DISTINCT\s+FROM\b", "i"), "= ")
-    text = F.regexp_replace(text, rx(r"\bEXTRACT\s*\(\s*\w+\s+FROM\b", "i"), "extract( ")
-    text = F.regexp_replace(text, rx(r"\bTRIM\s*\(\s*(?:BOTH|LEADING|TRAILING)\b", "i"), "trim(")
-    return F.regexp_replace(text, rx(r"\b(TRIM|SUBSTRING|SUBSTR|OVERLAY)\s*\(([^()]*?)\bFROM\b", "i"), "$1($2,")
+    text = blank_literals(sql)
+    plain = F.regexp_replace(text, rx(r"\bIS\s+(?:NOT\s+)?DISTINCT\s+FROM\b", "i"), "= ")
+    plain = F.regexp_replace(plain, rx(r"\bEXTRACT\s*\(\s*\w+\s+FROM\b", "i"), "extract( ")
+    plain = F.regexp_replace(plain, rx(r"\bTRIM\s*\(\s*(?:BOTH|LEADING|TRAILING)\b", "i"), "trim(")
+    plain = F.regexp_replace(plain, rx(r"\b(TRIM|SUBSTRING|SUBSTR|OVERLAY)\s*\(([^()]*?)\bFROM\b", "i"), "$1($2,")
+    return F.when(text.rlike(r"(?i)DISTINCT|EXTRACT|TRIM|SUBSTR|OVERLAY"), plain).otherwise(text)
 
 
 def split_statements(sql: Column) -> Column:
@@ -231,13 +234,14 @@ def read_tables(statement: Column) -> Column:
     return F.when(worth_it, F.transform(tables, as_table)).otherwise(nothing)
 
 
-def write_targets(statement: Column) -> Column:
+def write_targets(statement: Column, verb: Column) -> Column:
     """Names of INSERT, CREATE and MERGE targets."""
-    return F.concat(
+    found = F.concat(
         extract_all(statement, _INSERT_TARGET, "i"),
         extract_all(statement, _CREATE_TARGET, "i"),
         extract_all(statement, _MERGE_TARGET, "i"),
     )
+    return F.when(verb.isin("INSERT", "CREATE", "MERGE"), found).otherwise(F.array().cast("array<string>"))
 
 
 def cte_names(statement: Column) -> Column:
@@ -251,20 +255,25 @@ def cte_names(statement: Column) -> Column:
 REF_TYPE = "array<struct<parts:array<string>,alias:string,reference_type:string>>"
 
 
-def table_refs_of(statement: Column, exclude_ctes: bool = False) -> Column:
+def table_refs_of(statement: Column, exclude_ctes: bool = False, verb: Column | None = None) -> Column:
     """All tables of a cleaned statement as ``array<struct<parts, alias, reference_type>>``.
 
+    ``verb`` is the statement's first keyword, if the caller has it at hand.
     The target of INSERT, CREATE and MERGE is written, every other table is
     read; a table both written and read by one statement is written only.
     """
-    targets = F.transform(write_targets(statement), name_parts)
+    verb = first_keyword(statement) if verb is None else verb
+    targets = F.transform(write_targets(statement, verb), name_parts)
     target_names = F.transform(targets, lambda p: F.array_join(p, "."))
 
     def as_ref(parts: Column, alias: Column, kind: str) -> Column:
         return F.struct(parts.alias("parts"), alias.alias("alias"), F.lit(kind).alias("reference_type"))
 
     no_alias = F.lit(None).cast("string")
-    others = F.concat(extract_all(statement, _PLAIN_TARGET, "i"), extract_all(statement, _COPY_SOURCE, "i"))
+    others = F.when(
+        ~verb.isin("SELECT", "INSERT", "MERGE", "DELETE"),
+        F.concat(extract_all(statement, _PLAIN_TARGET, "i"), extract_all(statement, _COPY_SOURCE, "i")),
+    ).otherwise(F.array().cast("array<string>"))
     reads = F.concat(
         F.transform(others, lambda n: as_ref(name_parts(n), no_alias, "reads_from")),
         F.transform(read_tables(statement), lambda t: as_ref(name_parts(t["name"]), t["alias"], "reads_from")),
@@ -276,7 +285,7 @@ def table_refs_of(statement: Column, exclude_ctes: bool = False) -> Column:
         )
     reads = F.filter(reads, lambda r: ~F.array_contains(target_names, F.array_join(r["parts"], ".")))
     refs = F.concat(F.transform(targets, lambda p: as_ref(p, no_alias, "writes_to")), reads)
-    return F.when(statement_type(statement).isNotNull(), refs).otherwise(F.array().cast(REF_TYPE))
+    return F.when(verb.isin(list(STATEMENT_TYPES)), refs).otherwise(F.array().cast(REF_TYPE))
 
 
 # Clause keywords, and the context of a column that follows one.
@@ -401,4 +410,4 @@ def column_refs_of(statement: Column) -> Column:
 
     hits = F.flatten(F.transform(texts, lambda t, i: of_text(t, i == F.size(texts) - 1)))
     nothing = F.array().cast("array<struct<qualifier:string,column:string,context:string>>")
-    return F.when(statement_type(statement).isNotNull(), F.transform(hits, as_column)).otherwise(nothing)
+    return F.when(first_keyword(statement).isin(list(STATEMENT_TYPES)), F.transform(hits, as_column)).otherwise(nothing)

@@ -118,7 +118,9 @@ def text_types(statements: DataFrame) -> DataFrame:
     )
 
 
-def _sql_refs(statement: Column, catalog: str, schema: str, exclude_ctes: bool) -> Column:
+def _sql_refs(
+    statement: Column, catalog: str, schema: str, exclude_ctes: bool, verb: Column | None = None
+) -> Column:
     """References of one cleaned statement, default catalog and schema filled in."""
 
     def named(ref: Column) -> Column:
@@ -136,7 +138,7 @@ def _sql_refs(statement: Column, catalog: str, schema: str, exclude_ctes: bool)
             ref["reference_type"].alias("reference_type"),
         )
 
-    refs = F.transform(sqltext.table_refs_of(statement, exclude_ctes), named)
+    refs = F.transform(sqltext.table_refs_of(statement, exclude_ctes, verb), named)
     return F.filter(refs, lambda r: r["name"].isNotNull())
 
 
@@ -187,6 +189,15 @@ def column_refs(statements: DataFrame) -> DataFrame:
     return hits.select(*keys, "column_pos", "hit.qualifier", "hit.column", "hit.context")
 
 
+def _work_item(kind: Column, text: Column) -> Column:
+    """A text to read; a statement's verb is found once and taken along."""
+    return F.struct(
+        kind.alias("kind"),
+        text.alias("text"),
+        F.when(kind == "sql", sqltext.first_keyword(text)).alias("verb"),
+    )
+
+
 def all_refs(cells: DataFrame, exclude_ctes: bool = False) -> DataFrame:
     """Every reference of every python and sql cell, one row per occurrence.
 
@@ -197,17 +208,17 @@ def all_refs(cells: DataFrame, exclude_ctes: bool = False) -> DataFrame:
     statements = F.flatten(F.transform(sql_texts(cell_type, content), sqltext.split_statements))
     code = F.when(cell_type == "python", F.array(content)).otherwise(F.array().cast("array<string>"))
 
-    def item(kind: str):
-        return lambda text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
-
-    items = F.concat(F.transform(code, item("code")), F.transform(statements, item("sql")))
+    items = F.concat(
+        F.transform(code, lambda t: _work_item(F.lit("code"), t)),
+        F.transform(statements, lambda t: _work_item(F.lit("sql"), t)),
+    )
     work = (
         cells.where(cell_type.isin("python", "sql"))
         .select("path", "cell_index", F.posexplode(items).alias("item_pos", "item"))
-        .select("path", "cell_index", "item_pos", "item.kind", "item.text")
+        .select("path", "cell_index", "item_pos", "item.*")
     )
     refs = F.when(F.col("kind") == "code", code_ref_array(F.col("text"))).otherwise(
-        _sql_refs(F.col("text"), "", "", exclude_ctes)
+        _sql_refs(F.col("text"), "", "", exclude_ctes, F.col("verb"))
     )
     return _as_rows(work, ["path", "cell_index", "item_pos"], refs)
 
@@ -351,11 +362,10 @@ def workspace_refs(notebooks: DataFrame) -> DataFrame:
     statements = F.flatten(F.transform(sql_texts(F.col("kind"), F.col("content")), sqltext.split_statements))
     own = F.when(F.col("kind") == "sql", F.array().cast("array<string>")).otherwise(F.array("content"))
 
-    def item(name: Column | str):
-        tag = F.lit(name) if isinstance(name, str) else name
-        return lambda t: F.struct(tag.alias("kind"), t.alias("text"))
-
-    items = F.concat(F.transform(own, item(F.col("kind"))), F.transform(statements, item("sql")))
+    items = F.concat(
+        F.transform(own, lambda t: _work_item(F.col("kind"), t)),
+        F.transform(statements, lambda t: _work_item(F.lit("sql"), t)),
+    )
     work = cells.select("path", F.inline(items))
 
     def unqualified(refs: Column) -> Column:
@@ -371,7 +381,7 @@ def workspace_refs(notebooks: DataFrame) -> DataFrame:
 
     refs = (
         F.when(F.col("kind") == "python", unqualified(code_ref_array(F.col("text"))).cast(_PIPELINE_REF))
-        .when(F.col("kind") == "sql", unqualified(_sql_refs(F.col("text"), "", "", False)).cast(_PIPELINE_REF))
+        .when(F.col("kind") == "sql", unqualified(_sql_refs(F.col("text"), "", "", False, F.col("verb"))).cast(_PIPELINE_REF))
         .otherwise(pipeline_ref_array(F.col("text")).cast(_PIPELINE_REF))
     )
     found = work.select("path", (F.col("kind") == "pipeline").alias("as_pipeline"), F.explode(refs).alias("ref"))
