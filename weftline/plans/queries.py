@@ -240,7 +240,7 @@ def _(spark, sf_dir):
 
 @query(
     "graph_export",
-    f"""SELECT 'edges' AS section, '{{"source":"' || src || '","target":"' || dst || '","edge_type":"' || edge_type || '"}}'
+    f"""SELECT 'edges' AS section, '{{"source":"' || src || '","target":"' || dst || '","edge_type":"' || edge_type || '","metadata":{{}}}}'
       AS json FROM ({EDGES_SQL})""",
 )
 def _(spark, sf_dir):

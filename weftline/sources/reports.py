@@ -25,7 +25,13 @@ def _node_document() -> Column:
 
 def _edge_document() -> Column:
     return F.to_json(
-        F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "edge_type"), _KEEP_NULLS
+        F.struct(
+            F.col("src").alias("source"),
+            F.col("dst").alias("target"),
+            "edge_type",
+            F.create_map().cast("map<string,string>").alias("metadata"),
+        ),
+        _KEEP_NULLS,
     )
 
 
