@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weftline.operators import graph
 from weftline.operators.reach import paths, reach
 from weftline.operators.skew import hot_join, hot_keys, spread_join
-from weftline.sources import definitions, reports
+from weftline.sources import definitions, graphs, reports
 
 
 def edges_of(spark, pairs):
@@ -287,3 +287,18 @@ def test_export(spark, small_graph, tmp_path):
     assert ("nodes", '{"id":"job::123","node_type":"job","fqn":"123","name":"ETL Job","metadata":{}}') in documents
     reports.write_graph(nodes, edges, str(tmp_path / "g"))
     assert spark.read.json(str(tmp_path / "g" / "edges")).count() == 6
+
+
+def test_stored_versions(spark, small_graph, tmp_path):
+    nodes, edges = small_graph
+    path = str(tmp_path / "graph")
+    graphs.save_graph(nodes, edges, path, built_at=1000)
+    graphs.save_graph(nodes, edges.where("edge_type <> 'triggers'"), path, built_at=2000)
+    # A build that broke off has no entry among the builds.
+    nodes.write.parquet(f"{path}/nodes/built_at=3000")
+    loaded_nodes, loaded_edges, version = graphs.load_graph(spark, path)
+    assert (loaded_nodes.count(), loaded_edges.count(), version) == (7, 5, 2000)
+    status = graphs.graph_status(spark, path, now=5600).first()
+    assert (status.cache_age_seconds, status.stale_warning, status.graph_timestamp) == (3600, False, "1970-01-01T00:33:20Z")
+    assert (status.node_count, status.edge_count, status.root_count, status.leaf_count) == (7, 5, 3, 2)
+    assert graphs.graph_status(spark, path, now=5601).first().stale_warning

@@ -98,6 +98,14 @@ def test_columns(spark):
     assert [tuple(r) for r in rows] == [("t", 0, "id", "int", False, "key", True), ("t", 1, "xs", "array<double>", True, None, False)]
 
 
+def test_table_info(spark):
+    schema = spark.createDataFrame([], "b int, a string").schema
+    columns = inventory.column_inventory(spark, {"m.s.t": schema})
+    profile = spark.createDataFrame([("m.s.t", 5), ("m.s.u", 6)], "full_name string, row_count bigint")
+    found = {r.full_name: r for r in inventory.table_info(profile, columns).collect()}
+    assert [c.name for c in found["m.s.t"].columns] == ["b", "a"] and found["m.s.u"].columns is None
+
+
 def test_sql(spark):
     spark.range(1500).createOrReplaceTempView("numbers")
     full = inventory.run_sql(spark, "SELECT id FROM numbers WHERE id < 3 ORDER BY id")

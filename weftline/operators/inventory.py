@@ -167,6 +167,20 @@ def column_inventory(
     )
 
 
+def table_info(profile: DataFrame, columns: DataFrame) -> DataFrame:
+    """Profiles with their columns as an array, in order.
+
+    ``columns`` is a column inventory whose ``table`` is the full name; the
+    array of a table is as long as its schema.
+    """
+    entry = F.struct("position", "name", "type", "nullable", "comment", "is_partition_column")
+    listed = columns.groupBy(F.col("table").alias("full_name")).agg(
+        F.sort_array(F.collect_list(entry)).alias("columns")
+    )
+    without_position = F.transform("columns", lambda c: c.dropFields("position"))
+    return profile.join(listed, "full_name", "left").withColumn("columns", without_position)
+
+
 @dataclass
 class QueryResult:
     """At most ``limit`` rows of a query as texts, or the error it ended in."""

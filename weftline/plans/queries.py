@@ -21,7 +21,7 @@ from weftline.operators.review import review, review_report
 from weftline.operators.rules import DEFAULT_RULES
 from weftline.plans import corpora as C
 from weftline.session import materialize, work_folder
-from weftline.sources import definitions, files, logs, notebooks, reports
+from weftline.sources import definitions, files, graphs, logs, notebooks, reports
 from weftline.streaming import failures as stream_failure_ops
 from weftline.streaming import lineage as stream_lineage_ops
 from weftline.streaming.review import stream_review
@@ -750,6 +750,22 @@ def _(spark, sf_dir):
     return graph.with_staleness(counts, built, now=now)
 
 
+@query(
+    "graph_status",
+    f"""WITH edges AS ({EDGES_SQL}), nodes AS ({NODES_SQL})
+      SELECT '2024-01-01T00:00:00Z' AS graph_timestamp, CAST(60 AS BIGINT) AS cache_age_seconds, FALSE AS stale_warning,
+        (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges) AS edge_count,
+        least(50, (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT dst FROM edges))) AS root_count,
+        least(50, (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT src FROM edges))) AS leaf_count""",
+)
+def _(spark, sf_dir):
+    path = work_folder(spark, "stored")
+    graphs.save_graph(*workspace_graph(spark, sf_dir), path, built_at=1704067200)
+    status = graphs.graph_status(spark, path, now=1704067260)
+    counts = [F.col(c).cast("bigint").alias(c) for c in ("node_count", "edge_count", "root_count", "leaf_count")]
+    return status.select("graph_timestamp", "cache_age_seconds", "stale_warning", *counts)
+
+
 # -------------------------------------------------------------------- impact
 
 
@@ -1182,6 +1198,32 @@ def _(spark, sf_dir):
     return inventory.column_inventory(spark, schemas).select("table", "name", "type", "position")
 
 
+_DUCK_TYPES = """CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string'
+  WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' ELSE data_type END"""
+
+
+@query(
+    "table_info",
+    " UNION ALL ".join(
+        f"""SELECT '{t}' AS full_name, (SELECT CAST(count(*) AS BIGINT) FROM {t}) AS row_count,
+          (SELECT string_agg(column_name || ' ' || {_DUCK_TYPES}, ', ' ORDER BY ordinal_position)
+           FROM information_schema.columns WHERE table_name = '{t}') AS columns"""
+        for t in TABLES
+    ),
+)
+def _(spark, sf_dir):
+    name = F.regexp_extract("file_path", r"([^/]+)\.parquet(?:/|$)", 1)
+    statistics = inventory.file_statistics(spark, sf_dir, name).withColumnRenamed("table", "full_name")
+    statistics = materialize(statistics, "statistics")
+    tables = statistics.select(
+        "full_name", F.lit("MANAGED").alias("table_type"), F.create_map().cast("map<string,string>").alias("properties")
+    )
+    schemas = {t: C.table(spark, sf_dir, t).schema for t in TABLES}
+    found = inventory.table_info(inventory.table_profile(tables, statistics), inventory.column_inventory(spark, schemas))
+    texts = F.transform("columns", lambda c: F.concat_ws(" ", c["name"], c["type"]))
+    return found.select("full_name", "row_count", F.array_join(texts, ", ").alias("columns"))
+
+
 @query(
     "table_list",
     f"""SELECT DISTINCT 't' || CAST(o_custkey AS VARCHAR) AS name, i AS full_name
