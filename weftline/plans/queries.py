@@ -168,7 +168,7 @@ def _(spark, sf_dir):
 
 
 @query(
-    "pipeline_definitions",
+    "flow_definitions",
     f"""SELECT 'p' || CAST(p AS VARCHAR) AS pipeline_id, 'pipe_' || CAST(p AS VARCHAR) AS name,
       CASE p % 3 WHEN 0 THEN 'l_alt' WHEN 1 THEN 'l_dlt' END AS target_schema, 'main' AS target_catalog,
       string_agg(path, ',' ORDER BY k) AS notebook_paths
@@ -196,7 +196,7 @@ def _(spark, sf_dir):
 
 
 @query(
-    "pipeline_event_log",
+    "event_log",
     f"""SELECT 'p' || CAST(user_id % 10 AS VARCHAR) AS pipeline_id, CAST(event_id AS VARCHAR) AS id,
       CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level,
       CASE WHEN event_type <> 'error' THEN NULL WHEN event_id % 2 = 0
@@ -554,7 +554,7 @@ def _(spark, sf_dir):
 
 
 @query(
-    "pipeline_refs",
+    "flow_refs",
     " UNION ALL ".join(
         f"SELECT path, {name} AS fqn, '{kind}' AS reference_type FROM ({BASE_SQL})"
         for name, kind in [
@@ -985,22 +985,31 @@ def _(spark, sf_dir):
     return report.select("path", "cell_count", "total_findings", of("critical"), of("info"))
 
 
-@query(
-    "credential_scan_documents",
-    """SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)(password|passwd|pwd)\\s*=\\s*["''][^"'']+["'']')
-        THEN 'Hardcoded password detected.'
-      WHEN regexp_matches(text, '(?i)(token|api_key|apikey|secret)\\s*=\\s*["''][^"'']+["'']')
-        THEN 'Hardcoded token/API key detected.'
-      WHEN regexp_matches(text, '(?i)dapi[a-f0-9]{32,}') THEN 'Possible Databricks personal access token detected.'
-      ELSE 'Hardcoded Bearer token detected.' END AS message
-      FROM documents WHERE regexp_matches(text, '(?i)(password|passwd|pwd|token|api_key|apikey|secret)\\s*=\\s*["''][^"'']+["'']')
-        OR regexp_matches(text, '(?i)dapi[a-f0-9]{32,}') OR regexp_matches(text, '(?i)Bearer\\s+[a-zA-Z0-9\\-._~+/]+=*')""",
-)
-def _(spark, sf_dir):
-    documents = C.table(spark, sf_dir, "documents").select(
-        "doc_id", F.lit("unknown").alias("cell_type"), F.col("text").alias("content")
-    )
-    return review(documents, categories="standards").select("doc_id", "message")
+def _credential_sql(source: str, text: str, keys: str) -> str:
+    """The four kinds of credentials in the order in which they are looked for."""
+    assigned = """\\s*=\\s*["''][^"'']+["'']"""
+    kinds = [
+        (f"(password|passwd|pwd){assigned}", "Hardcoded password detected."),
+        (f"(token|api_key|apikey|secret){assigned}", "Hardcoded token/API key detected."),
+        ("dapi[a-f0-9]{32,}", "Possible Databricks personal access token detected."),
+        ("Bearer\\s+[a-zA-Z0-9\\-._~+/]+=*", "Hardcoded Bearer token detected."),
+    ]
+    branches = " ".join(f"WHEN regexp_matches({text}, '(?i){p}') THEN '{m}'" for p, m in kinds)
+    return f"SELECT * FROM (SELECT {keys}, CASE {branches} END AS message FROM {source}) WHERE message IS NOT NULL"
+
+
+def _register_credential_scan(source: str, text: str, keys: list[str]) -> None:
+    @query(f"credential_scan_{source}", _credential_sql(source, text, ", ".join(keys)))
+    def _(spark, sf_dir):
+        texts = C.table(spark, sf_dir, source).select(
+            *keys, F.lit("unknown").alias("cell_type"), F.col(text).alias("content")
+        )
+        return review(texts, categories="standards").select(*keys, "message")
+
+
+_register_credential_scan("documents", "text", ["doc_id"])
+_register_credential_scan("pages", "html", ["page_id"])
+_register_credential_scan("conversations", "text", ["conv_id", "turn"])
 
 
 # --------------------------------------------------------- runs and failures
@@ -1143,7 +1152,7 @@ def _(spark, sf_dir):
 
 
 @query(
-    "pipeline_list",
+    "flow_list",
     f"""SELECT DISTINCT 'p' || CAST(k // 100 AS VARCHAR) AS pipeline_id, 'pipe_' || CAST(k // 100 AS VARCHAR) AS name,
       'RUNNING' AS state FROM ({BASE_SQL}) WHERE k % 10 = 9""",
 )
