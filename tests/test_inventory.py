@@ -49,6 +49,13 @@ def test_listing(spark):
     assert filters.list_notebooks(objects, "/d").where("name = 'n1'").first().language == ""
 
 
+def test_defaults_by_type(spark):
+    rows = [("0", 0, False), ("", None, None), ("false", 2, True), (None, 5, None)]
+    df = spark.createDataFrame(rows, "t string, n int, b boolean")
+    filled = filters.with_defaults(df, {"t": "none", "n": 1, "b": True})
+    assert [tuple(r) for r in filled.collect()] == [("0", 1, True), ("none", 1, True), ("false", 2, True), ("none", 5, True)]
+
+
 def test_inventories(spark):
     clusters = spark.createDataFrame(
         [("1", "Main", None, None, "15", "n", None, None, None), ("2", None, "RUNNING", "me", "15", "n", "d", 30, 0)],

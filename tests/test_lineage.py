@@ -221,5 +221,20 @@ def test_workspace_refs_is_the_sum_of_both_readings(spark):
     ordinary = {(r.path, r.table, r.reference_type) for r in both.where("not as_pipeline").collect()}
     expected = {(r.path, r.table, r.reference_type) for r in lineage.all_refs(notebook_cells(books)).collect()}
     assert ordinary == expected and both.where("as_pipeline").count() == 8
-    report = lineage.scan_report(lineage.table_refs(notebook_cells(books)), notebook_cells(books)).collect()
-    assert {r.path: (r.cell_count, r.table_reference_count) for r in report}["/s"] == (1, 1)
+
+
+def test_scan_report_counts_cells_and_distinct_references(spark):
+    given = cells(
+        spark,
+        ("markdown", "SELECT * FROM no"),
+        ("sql", "SELECT * FROM a.t JOIN a.t JOIN u; INSERT INTO o SELECT * FROM a.t"),
+        ("python", 'spark.table("a.t")\nspark.sql("SELECT * FROM u")'),
+        ("python", "pass"),
+    )
+    report = lineage.scan_report(given).first()
+    assert (report.cell_count, report.table_reference_count) == (4, 3)
+    assert [(r.table, r.reference_type, r.schema, r.table_name) for r in report.table_references] == [
+        ("a.t", "reads_from", "a", "t"), ("o", "writes_to", None, "o"), ("u", "reads_from", None, "u"),
+    ]
+    distinct = {(r.fqn, r.reference_type) for r in lineage.table_refs(given).collect()}
+    assert {(r.table, r.reference_type) for r in report.table_references} == distinct

@@ -25,11 +25,13 @@ def scope(df: DataFrame, prefix: str, column: str = "path") -> DataFrame:
     return df.where(F.col(column).startswith(prefix)) if prefix else df
 
 
-def or_default(c: Column | str, default: object) -> Column:
-    """The value, or ``default`` where it is null, empty, zero or false."""
+def or_default(c: Column | str, default: str | bool | int) -> Column:
+    """The value, or ``default`` where it is null or nothing.
+
+    Nothing is the empty text, false or zero, by the type of the default.
+    """
     value = as_col(c)
-    empty = value.isNull() | value.cast("string").isin("", "0", "0.0", "false")
-    return F.when(empty, F.lit(default)).otherwise(value)
+    return F.when(value.isNull() | (value == F.lit(type(default)())), F.lit(default)).otherwise(value)
 
 
 def with_defaults(df: DataFrame, spec: dict[str, object]) -> DataFrame:

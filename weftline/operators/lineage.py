@@ -388,30 +388,40 @@ def workspace_refs(notebooks: DataFrame) -> DataFrame:
     return found.select("path", "as_pipeline", "ref.name.*", "ref.reference_type", "ref.qualify")
 
 
-def scan_report(refs: DataFrame, cells: DataFrame) -> DataFrame:
-    """Per notebook: cell count, reference count and the references.
+def scan_report(cells: DataFrame, exclude_ctes: bool = False) -> DataFrame:
+    """Per notebook: cell count, reference count and the distinct references.
 
-    ``refs`` is deduplicated, so a notebook's list is bounded by its own text,
-    which was a single value before.
+    One pass over the cells and one shuffle of what they mention. A notebook's
+    list is bounded by its own text, which was a single value before.
     """
+    cell_type, content = F.col("cell_type"), F.col("content")
+    no_refs = F.array().cast(
+        "array<struct<name:struct<catalog:string,schema:string,table:string>,alias:string,reference_type:string>>"
+    )
+    statements = F.flatten(F.transform(sql_texts(cell_type, content), sqltext.split_statements))
+    found = F.concat(
+        F.when(cell_type == "python", code_ref_array(content)).otherwise(no_refs),
+        F.flatten(F.transform(statements, lambda s: _sql_refs(s, "", "", exclude_ctes))),
+    )
+    # A cell without references still gives one row, so that it counts.
+    rows = cells.select("path", F.posexplode_outer(found).alias("pos", "ref"))
+    full_name = compose_fqn("ref.name.catalog", "ref.name.schema", "ref.name.table")
     entry = F.struct(
-        F.col("fqn").alias("table"),
-        "reference_type",
-        "catalog",
-        "schema",
-        F.col("table").alias("table_name"),
+        full_name.alias("table"),
+        F.col("ref.reference_type").alias("reference_type"),
+        F.col("ref.name.catalog").alias("catalog"),
+        F.col("ref.name.schema").alias("schema"),
+        F.col("ref.name.table").alias("table_name"),
     )
-    per_notebook = refs.groupBy("path").agg(
-        F.count(F.lit(1)).alias("table_reference_count"),
-        F.sort_array(F.collect_list(entry)).alias("table_references"),
+    report = rows.groupBy("path").agg(
+        F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("cell_count"),
+        F.sort_array(F.collect_set(F.when(full_name != "", entry))).alias("table_references"),
     )
-    counts = cells.groupBy("path").agg(F.count(F.lit(1)).alias("cell_count"))
-    nothing = F.array().cast(per_notebook.schema["table_references"].dataType)
-    return counts.join(per_notebook, "path", "left").select(
+    return report.select(
         "path",
         "cell_count",
-        F.coalesce("table_reference_count", F.lit(0)).alias("table_reference_count"),
-        F.coalesce("table_references", nothing).alias("table_references"),
+        F.size("table_references").cast("bigint").alias("table_reference_count"),
+        "table_references",
     )
 
 

@@ -576,8 +576,7 @@ def _(spark, sf_dir):
       CAST(2 AS BIGINT) AS table_reference_count, i || ':reads_from,' || o || ':writes_to' AS refs FROM ({BASE_SQL})""",
 )
 def _(spark, sf_dir):
-    cells = cell_ops.notebook_cells(C.notebooks(spark, sf_dir))
-    report = lineage.scan_report(lineage.table_refs(cells), cells)
+    report = lineage.scan_report(cell_ops.notebook_cells(C.notebooks(spark, sf_dir)))
     listed = F.transform("table_references", lambda r: F.concat_ws(":", r["table"], r["reference_type"]))
     return report.select("path", "cell_count", "table_reference_count", F.array_join(listed, ",").alias("refs"))
 
