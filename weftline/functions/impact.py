@@ -24,13 +24,6 @@ def raised(level: Column) -> Column:
     return F.when(level == "medium", "high").when(level == "low", "medium").otherwise(level)
 
 
-def weight(level: Column) -> Column:
-    chosen = F.lit(1)
-    for name, value in SEVERITY_WEIGHTS.items():
-        chosen = F.when(level == name, value).otherwise(chosen)
-    return chosen
-
-
 def risk_score(total_weight: Column, assets: Column) -> Column:
     """0 to 10, one decimal: mean weight, scaled down below ten assets."""
     n = assets.cast("double")

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import sqltext
-from weftline.functions.names import parts_to_name, resolve_name, split_fqn
+from weftline.functions.names import parts_to_name, split_fqn
 from weftline.functions.names import fqn as compose_fqn
-from weftline.functions.text import as_col, extract_all, rx
+from weftline.functions.text import extract_all, rx
 from weftline.operators.cells import cell_texts, notebook_language, scan_class
 from weftline.operators.skew import spread_join
 
@@ -423,8 +423,3 @@ def scan_report(cells: DataFrame, exclude_ctes: bool = False) -> DataFrame:
         F.size("table_references").cast("bigint").alias("table_reference_count"),
         "table_references",
     )
-
-
-def resolve_refs(df: DataFrame, column: str, catalog: str, schema: str) -> DataFrame:
-    """Add ``full_name``: the named column qualified with the defaults."""
-    return df.withColumn("full_name", resolve_name(as_col(column), F.lit(catalog), F.lit(schema)))
