@@ -133,7 +133,7 @@ def schedule(sources: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
     )
 
 
-def mixed(documents: DataFrame, seed: str = "mix", block: int = BLOCK_TOKENS) -> DataFrame:
+def mixed(documents: DataFrame, seed: str = "mix", block: int = BLOCK_TOKENS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``documents`` (doc_id, text, source): size, source_size, target and taken, the words the mix takes.
 
     Sources keep their documents shuffled by a digest of seed, doc_id and
@@ -143,7 +143,7 @@ def mixed(documents: DataFrame, seed: str = "mix", block: int = BLOCK_TOKENS) ->
     repeated rows are separate documents. No documents give no rows.
     """
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")))
-    rows = documents.select("doc_id", F.col("source").cast("string").alias("source"), word_count("text").alias("size"))
+    rows = documents.select("doc_id", F.col("source").cast("string").alias("source"), word_count("text").alias("size"), *carry)
     rows = materialize(rows.withColumn("digest", digest), "mix-rows")  # the texts are read once
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = materialize(targets(sizes), "targets")
@@ -157,7 +157,7 @@ def mixed(documents: DataFrame, seed: str = "mix", block: int = BLOCK_TOKENS) ->
     inner = Window.partitionBy("src", "_bucket").orderBy("digest", "doc_id", "size")
     laid = rows.withColumn("_in", F.coalesce(F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     laid = laid.join(offsets, ["src", "_bucket"]).withColumn("_at", F.col("_offset") + F.col("_in"))
-    laid = laid.select("doc_id", "size", "source_size", "target", "src", "_at")
+    laid = laid.select("doc_id", "size", "source_size", "target", "src", "_at", *carry)
     pieces = laid.filter("size > 0").withColumn(
         "block", F.explode(F.expr(f"sequence(_at div {block}, (_at + size - 1) div {block})"))
     )
@@ -166,10 +166,33 @@ def mixed(documents: DataFrame, seed: str = "mix", block: int = BLOCK_TOKENS) ->
         "_taken",
         F.expr(f"greatest(0, least(_at + size, block * {block} + coalesce(_tokens, 0)) - greatest(_at, block * {block}))"),
     )
-    keys = ["src", "_at", "doc_id", "size", "source_size", "target"]
+    keys = ["src", "_at", "doc_id", "size", "source_size", "target", *carry]
     taken = met.groupBy(*keys).agg(F.sum("_taken").cast("long").alias("taken"))
     empty = laid.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    return taken.unionByName(empty.select(*taken.columns)).select("doc_id", "size", "source_size", "target", "taken")
+    return taken.unionByName(empty.select(*taken.columns)).select(
+        "doc_id", "size", "source_size", "target", "taken", *carry
+    )
+
+
+def mix(documents: DataFrame) -> DataFrame:
+    """``documents`` as the mix has them: each row as often as the mix takes its words, to the nearest whole number.
+
+    Columns stay. Rows that are alike in doc_id, source and text share their
+    copies as evenly as can be. Rows without words are left out.
+    """
+    columns = documents.columns
+    text, source = F.coalesce("text", F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit(""))
+    row = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), source, text)
+    marked = documents.withColumn("_mix_row", row)
+    taken = mixed(marked, carry=("_mix_row",)).filter("size > 0")
+    copies = taken.groupBy("_mix_row").agg(
+        F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("_mix_copies"), F.count("*").alias("_mix_alike")
+    )
+    met = marked.join(copies.filter("_mix_copies > 0"), "_mix_row")
+    place = F.row_number().over(Window.partitionBy("_mix_row").orderBy(F.lit(1)))
+    times = F.expr("_mix_copies div _mix_alike") + F.when(place <= F.expr("_mix_copies % _mix_alike"), 1).otherwise(0)
+    out = met.withColumn("_mix_times", times.cast("int")).withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("_mix_times"))))
+    return out.select(*columns)
 
 
 def op10_low_discrepancy_mix(spark, sf_dir: str) -> DataFrame:
