@@ -1,7 +1,32 @@
 """The registered queries of this subpackage and their SQL."""
 
-from weftline.llm import decontaminate, mixing, quality, sharding, token_codec
+import corpus_pipeline
+from weftline.llm import (
+    decontaminate,
+    html_text,
+    lm_scoring,
+    mixing,
+    ngram_join,
+    quality,
+    secrets,
+    sharding,
+    suffix_dedup,
+    token_codec,
+)
 
-_MODULES = (sharding, token_codec, decontaminate, quality, mixing)
-QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+_MODULES = (
+    sharding,
+    lm_scoring,
+    token_codec,
+    suffix_dedup,
+    ngram_join,
+    html_text,
+    secrets,
+    decontaminate,
+    quality,
+    mixing,
+)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 ORACLES = {name: sql for module in _MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
