@@ -14,9 +14,21 @@ from weftline.llm.words import NOT_SPACE, find_words, hash_runs, hash_words, pie
 from weftline.llm.workers import map_batches
 from weftline.session import materialize
 
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters")
+FEATURES = (
+    "n_words",
+    "word_chars",
+    "n_symbols",
+    "n_dup_lines",
+    "n_repeat_words",
+    "n_lines",
+    "n_letters",
+    "n_upper",
+    "n_bare",
+)
 _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _LETTERS = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
+_UPPER = np.array([65 <= b <= 90 for b in range(256)])
+_ALNUM = _LETTERS | np.array([48 <= b <= 57 for b in range(256)])
 _CONTINUES = (np.arange(256) & 0xC0) == 0x80  # bytes that continue a code point
 
 
@@ -64,6 +76,9 @@ def measure(column: pa.Array) -> np.ndarray:
         rows[:, 2] = _sums(_SYMBOLS[part], at)
         rows[:, 4] = _repeat_words(hash_words(part, starts, ends), first)
         rows[:, 6] = _sums(_LETTERS[part] & ~_CONTINUES[part], at)
+        rows[:, 7] = _sums(_UPPER[part], at)
+        alnum = np.concatenate(([0], np.cumsum(_ALNUM[part])))
+        rows[:, 8] = _sums(alnum[ends] == alnum[starts], first)  # words without letter or digit
         raw = part.tobytes()
         for k in range(high - low):
             rows[k, 5], rows[k, 3] = _repeat_lines(raw[at[k] : at[k + 1]])
@@ -99,34 +114,36 @@ def _rule(bad: Column, good: Column) -> Column:
 
 
 def votes(prefix: str = "") -> list[Column]:
-    """Each rule's vote: 0 against the document, 1 for it, 2 abstains."""
+    """Each rule's vote: 0 against the document, 1 for it, 2 abstains. Some rules can only speak against."""
     c: Callable[[str], Column] = lambda name: F.col(f"{prefix}{name}")
-    words, lines = c("n_words"), c("n_lines")
+    words, chars, never = c("n_words"), c("word_chars"), F.lit(False)
     return [
-        _rule(words < MIN_WORDS, words >= 2 * MIN_WORDS),
-        _rule((c("word_chars") < 2 * words) | (c("word_chars") > 15 * words), c("word_chars") <= 12 * words),
+        _rule(words < MIN_WORDS, never),
+        _rule((chars < 2 * words) | (chars > 15 * words), never),
         _rule(c("n_symbols") * 10 > words, c("n_symbols") * 50 <= words),
-        _rule(c("n_dup_lines") * 10 > lines * 3, c("n_dup_lines") == 0),
-        _rule(c("n_repeat_words") * 10 > words * 3, c("n_repeat_words") * 10 <= words),
-        _rule(c("n_letters") * 10 < c("word_chars") * 6, c("n_letters") * 10 >= c("word_chars") * 8),
+        _rule(c("n_dup_lines") * 10 > c("n_lines") * 4, never),
+        _rule(c("n_repeat_words") * 10 > words * 4, c("n_repeat_words") * 10 <= words),
+        _rule(c("n_letters") * 100 < chars * 75, c("n_letters") * 100 >= chars * 92),
+        _rule(c("n_bare") * 20 > words, c("n_bare") * 100 <= words),
+        _rule(c("n_upper") * 10 > c("n_letters") * 4, c("n_upper") * 10 <= c("n_letters")),
     ]
 
 
 def pattern(prefix: str = "") -> Column:
-    """All votes as one number: at most 729 values, however many documents."""
+    """All votes as one number: at most 6,561 values, however many documents."""
     total = F.lit(0)
     for vote in votes(prefix):
         total = total * 3 + vote
     return total.cast("int")
 
 
-def posteriors(counts: dict[int, int], n_rules: int, rounds: int = 100) -> dict[int, float]:
+def posteriors(counts: dict[int, int], n_rules: int, rounds: int = 200) -> dict[int, float]:
     """Expectation-maximisation over vote patterns: each one's probability of being good.
 
     A rule has one accuracy for good and one for bad documents, and abstaining
-    says nothing. Pseudo-counts of a tenth of the documents (accuracy 0.8)
-    and a floor of 0.55 keep a rule that nearly always votes alike from
-    turning round; the share of good documents stays at or above one half.
+    says nothing. Pseudo-counts of a hundredth of the documents (accuracy 0.8)
+    steady rules that seldom vote. On good documents a rule is right more often
+    than not, and at least half of the documents are good: that names the classes.
     """
     if not counts:
         return {}
@@ -134,8 +151,8 @@ def posteriors(counts: dict[int, int], n_rules: int, rounds: int = 100) -> dict[
     n = np.array([counts[k] for k in keys], float)
     cast = np.array([[k // 3**j % 3 for j in reversed(range(n_rules))] for k in keys])
     voted, good_vote = cast < 2, cast == 1
-    weight = max(1.0, 0.1 * n.sum())
-    share, on_good, on_bad = 0.9, np.full(n_rules, 0.8), np.full(n_rules, 0.8)
+    weight = max(1.0, 0.01 * n.sum())
+    share, on_good, on_bad = 0.9, np.full(n_rules, 0.9), np.full(n_rules, 0.6)
     for _ in range(rounds):
         like_good = np.where(voted, np.where(good_vote, on_good, 1 - on_good), 1.0).prod(1)
         like_bad = np.where(voted, np.where(good_vote, 1 - on_bad, on_bad), 1.0).prod(1)
@@ -145,14 +162,14 @@ def posteriors(counts: dict[int, int], n_rules: int, rounds: int = 100) -> dict[
         before = on_good, on_bad
         on_good = ((good[:, None] * (voted & good_vote)).sum(0) + 0.8 * weight) / ((good[:, None] * voted).sum(0) + weight)
         on_bad = ((bad[:, None] * (voted & ~good_vote)).sum(0) + 0.8 * weight) / ((bad[:, None] * voted).sum(0) + weight)
-        on_good, on_bad = np.clip(on_good, 0.55, 0.99), np.clip(on_bad, 0.55, 0.99)
+        on_good, on_bad = np.clip(on_good, 0.55, 0.999), np.clip(on_bad, 0.05, 0.999)
         if max(abs(on_good - before[0]).max(), abs(on_bad - before[1]).max()) < 1e-9:
             break
     return dict(zip(keys, post.tolist(), strict=True))
 
 
 def learned(measured: DataFrame, prefix: str = "") -> DataFrame:
-    """pattern and p_good for each vote pattern that occurs: at most 729 rows, learnt from the counts of all documents."""
+    """pattern and p_good for each vote pattern that occurs: at most 6,561 rows, learnt from the counts of all documents."""
     counts = {r[0]: r[1] for r in measured.groupBy(pattern(prefix).alias("p")).count().collect()}
     found = posteriors(counts, len(votes(prefix)))
     return measured.sparkSession.createDataFrame(sorted(found.items()), "_pattern int, p_good double")
@@ -161,7 +178,7 @@ def learned(measured: DataFrame, prefix: str = "") -> DataFrame:
 def scored(measured: DataFrame, table: DataFrame, prefix: str = "") -> DataFrame:
     """``measured`` with base_failed, p_good and kept."""
     keyed = measured.withColumn("_pattern", pattern(prefix))
-    joined = keyed.join(F.broadcast(table), "_pattern", "left").drop("_pattern")  # 729 rows at most
+    joined = keyed.join(F.broadcast(table), "_pattern", "left").drop("_pattern")  # 6,561 rows at most
     failed = base_failed(prefix)
     return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("p_good") >= 0.5))
 
@@ -170,7 +187,7 @@ def quality(documents: DataFrame) -> DataFrame:
     """doc_id, FEATURES, base_failed, p_good and kept of each row.
 
     Documents stay where they are: texts are measured in place, vote patterns
-    are counted, and expectation-maximisation runs on at most 729 counts. A
+    are counted, and expectation-maximisation runs on at most 6,561 counts. A
     null or empty text has no words and fails the base rules; repeated rows
     are judged alike; no rows give no rows.
     """
