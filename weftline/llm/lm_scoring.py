@@ -242,8 +242,10 @@ def _averaged(parts: DataFrame) -> np.ndarray | None:
     return np.concatenate([np.frombuffer(r["values"], np.float64) for r in rows]).astype(np.float32)
 
 
-def trained(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent words' hashes and the network, learnt from every document of the column text.
+def trained(documents: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The frequent words' hashes, the network, and the logarithm of how many words share each number.
+
+    All are learnt from every document of the column text.
 
     Word counts of the whole corpus choose the vocabulary and the first
     network. Each document trains in one of ROUNDS rounds; a task starts from
@@ -257,6 +259,11 @@ def trained(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     totals[: len(top)] = [r["n"] for r in top]
     everything = counts.agg(F.sum("n")).first()[0] or 0
     totals[NAMED:] = max(0, everything - totals.sum()) // (VOCABULARY - NAMED)
+    sharing = np.ones(VOCABULARY)
+    for r in counts.groupBy(F.shiftrightunsigned("hash", 58).alias("part")).agg(F.count("*").alias("n")).collect():  # 64 rows
+        sharing[NAMED + r["part"]] += r["n"]  # and one for all words never seen
+    for part in (named >> np.uint64(58)).astype(int):
+        sharing[NAMED + part] -= 1
     flat = initial(totals)
     for turn in range(ROUNDS):
         held = spark.sparkContext.broadcast((named, flat))  # of fixed size
@@ -294,24 +301,24 @@ def trained(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         parts = map_batches(share, run, "slice int, salt int, weight double, values binary")
         now = _averaged(parts)
         flat = flat if now is None else now
-    return named, flat
+    return named, flat, np.log(sharing)
 
 
-def scored(documents: DataFrame, named: np.ndarray, flat: np.ndarray) -> DataFrame:
-    """doc_id, n_tokens, log_prob (summed) and mean_log_prob of every row.
+def scored(documents: DataFrame, named: np.ndarray, flat: np.ndarray, sharing: np.ndarray) -> DataFrame:
+    """doc_id, n_tokens, log_prob (summed) and mean_log_prob of every row; words that share a number are equally likely.
 
     A null text, or one without words, has no tokens, a sum of 0 and a null
     mean; repeated rows score alike.
     """
-    held = documents.sparkSession.sparkContext.broadcast((named, flat))  # of fixed size
+    held = documents.sparkSession.sparkContext.broadcast((named, flat, sharing))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, values = held.value
+        words, values, shares = held.value
         numbers, net = Numbers(words), split(values)
         for batch in batches:
             counts, sums = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             for low, owner, word, around in windows(batch.column(1), numbers):
-                found = log_probabilities(net, word, around)
+                found = log_probabilities(net, word, around) - shares[word]
                 counts += np.bincount(owner + low, minlength=batch.num_rows)
                 sums += np.bincount(owner + low, found, batch.num_rows)
             yield pa.RecordBatch.from_arrays(

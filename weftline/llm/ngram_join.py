@@ -53,7 +53,7 @@ def partners(n: int, most: int) -> list[int]:
 
 
 def subset_keys(n: int, most: int) -> int:
-    return sum(comb(n, needed(n, m)) for m in partners(n, most))
+    return sum(comb(n, needed(n, m)) for m in partners(n, most) if not needed(n, m) == n == m)
 
 
 def boundary(sizes: dict[int, int]) -> int:
