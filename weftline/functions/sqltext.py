@@ -67,17 +67,16 @@ def blank_literals(sql: Column) -> Column:
 
 
 def clean_sql(sql: Column) -> Column:
-    """Blanked text in which ``FROM`` is always the clause.
+    """Blanked text without the ``FROM`` of comparisons and of EXTRACT.
 
-    ``IS [NOT] DISTINCT FROM`` is a comparison, and the ``FROM`` between the
-    arguments of EXTRACT, TRIM and SUBSTRING is a comma.
+    Other functions keep the ``FROM`` between their arguments until
+    ``_peel`` meets them as innermost parentheses.
     """
     text = blank_literals(sql)
     plain = F.regexp_replace(text, rx(r"\bIS\s+(?:NOT\s+)?DISTINCT\s+FROM\b", "i"), "= ")
     plain = F.regexp_replace(plain, rx(r"\bEXTRACT\s*\(\s*\w+\s+FROM\b", "i"), "extract( ")
     plain = F.regexp_replace(plain, rx(r"\bTRIM\s*\(\s*(?:BOTH|LEADING|TRAILING)\b", "i"), "trim(")
-    plain = F.regexp_replace(plain, rx(r"\b(TRIM|SUBSTRING|SUBSTR|OVERLAY)\s*\(([^()]*?)\bFROM\b", "i"), "$1($2,")
-    return F.when(text.rlike(r"(?i)DISTINCT|EXTRACT|TRIM|SUBSTR|OVERLAY"), plain).otherwise(text)
+    return F.when(text.rlike(r"(?i)DISTINCT|EXTRACT|TRIM"), plain).otherwise(text)
 
 
 def split_statements(sql: Column) -> Column:
@@ -90,7 +89,16 @@ def first_keyword(statement: Column) -> Column:
     """The verb of a statement; after a ``WITH`` list it is the main verb."""
     word = F.upper(F.regexp_extract(statement, rx(r"\A[\s(]*(\w+)"), 1))
     after_list = F.upper(F.regexp_extract(statement, rx(r"\)\s*(SELECT|INSERT|MERGE|UPDATE|DELETE)\b", "i"), 1))
-    return F.when((word == "WITH") & (after_list == ""), "SELECT").when(word == "WITH", after_list).otherwise(word)
+    # FROM may come first, before the INSERT or SELECT it feeds.
+    fed = F.upper(F.regexp_extract(statement, rx(r"\b(INSERT|SELECT)\b", "i"), 1))
+    return (
+        F.when((word == "WITH") & (after_list == ""), "SELECT")
+        .when(word == "WITH", after_list)
+        .when((word == "FROM") & (fed == ""), "SELECT")
+        .when(word == "FROM", fed)
+        .when(word == "REPLACE", "CREATE")
+        .otherwise(word)
+    )
 
 
 def statement_type(statement: Column) -> Column:
@@ -123,7 +131,7 @@ def name_parts(name: Column) -> Column:
 
 _INSERT_TARGET = rf"\bINSERT\s+(?:INTO|OVERWRITE)\s+(?:TABLE\s+)?(?!TABLE\b|DIRECTORY\b|LOCAL\b)({NAME})"
 _CREATE_TARGET = (
-    r"\bCREATE\s+(?:OR\s+(?:REPLACE|REFRESH)\s+)?"
+    r"(?:\bCREATE\s+(?:OR\s+(?:REPLACE|REFRESH)\s+)?|\A\s*REPLACE\s+)"
     r"(?:(?:GLOBAL|TEMP|TEMPORARY|EXTERNAL|MATERIALIZED|STREAMING|LIVE|DELTA)\s+)*"
     rf"(?:TABLE|VIEW)\s+(?:IF\s+NOT\s+EXISTS\s+)?(?!IF\b)({NAME})"
 )
@@ -148,6 +156,8 @@ def _peel(statement: Column, keep_plain: bool) -> Column:
     handed out like queries.
     """
     opens = F.size(F.split(statement, r"\(", -1)) - 1
+    by_from = statement.rlike(rx(r"\b(?:TRIM|SUBSTR|SUBSTRING|OVERLAY)\s*\(", "i"))
+    windowed = statement.rlike(rx(r"\bOVER\s*\(", "i"))
     start = F.struct(
         statement.alias("text"), F.array().cast("array<string>").alias("out"), F.lit(False).alias("done")
     )
@@ -158,7 +168,13 @@ def _peel(statement: Column, keep_plain: bool) -> Column:
 
     def once(state: Column, _: Column) -> Column:
         text = state["text"]
+        # Whatever stood in parentheses inside is gone by now, at any depth.
+        arguments = F.regexp_replace(text, rx(r"\b(TRIM|SUBSTR|SUBSTRING|OVERLAY)\s*\(([^()]*?)\bFROM\b", "i"), "$1($2,")
+        text = F.when(by_from, arguments).otherwise(text)
         if keep_plain:
+            # The ORDER BY of a window ends with its parenthesis, not with a clause.
+            ordered = F.regexp_replace(text, rx(r"\bOVER\s*\(([^()]*?)\bORDER\s+BY\b([^()]*)\)", "i"), "OVER ($1 ⦃ $2 ⦄)")
+            text = F.when(windowed, ordered).otherwise(text)
             less = F.regexp_replace(text, inner_plain, "⟨$1⟩")
             out = F.concat(state["out"], F.regexp_extract_all(less, F.lit(inner_query), 1))
             less = F.regexp_replace(less, inner_query, _HOLE)
@@ -318,7 +334,7 @@ CLAUSES = {
 }
 _CLAUSE_WORDS = "|".join(k for k in CLAUSES if k not in ("MATCHED", "UPDATE", "VIEW"))
 _CLAUSE = (
-    rf"\b(?:{_CLAUSE_WORDS}|(?<!LATERAL\s{{1,20}})VIEW|UPDATE(?!\s+SET\b)|WHEN(?=\s+(?:NOT\s+)?MATCHED\b))\b"
+    rf"\b(?:{_CLAUSE_WORDS}|(?<!LATERAL )VIEW|UPDATE(?!\s+SET\b)|WHEN(?=\s+(?:NOT\s+)?MATCHED\b))\b"
 )
 # Words that join or modify values, and words that are values.
 _OPERATOR_WORDS = "|".join(
@@ -350,13 +366,9 @@ def column_refs_of(statement: Column) -> Column:
     stands in, but for the ORDER BY of a window.
     """
     in_merge = statement.rlike(rx(r"\A\s*(?:WITH\b[\s\S]*)?\bMERGE\b", "i"))
-    # The ORDER BY of a window ends with its parenthesis, not with a clause.
     windows = F.regexp_replace(statement, rx(r"\bWITHIN\s+GROUP\b", "i"), "OVER")
-    marked = F.regexp_replace(
-        windows, rx(r"\b(OVER\s*\([^()]*(?:\([^()]*\)[^()]*)*?)\bORDER\s+BY\b([^()]*(?:\([^()]*\)[^()]*)*)\)", "i"),
-        "$1 ⦃ $2 ⦄)",
-    )
-    texts = _peel(marked, keep_plain=True)
+    single = F.regexp_replace(windows, rx(r"\bLATERAL\s+VIEW\b", "i"), "LATERAL VIEW")
+    texts = _peel(single, keep_plain=True)
 
     def of_text(text: Column, outermost: Column) -> Column:
         words = F.regexp_extract_all(text, F.lit(rx(_CLAUSE, "i")), 0)

@@ -40,8 +40,16 @@ def _table_name(fqn: Column) -> Column:
     return F.when(F.size(F.split(fqn, r"\.", -1)) > 3, fqn).otherwise(F.substring_index(fqn, ".", -1))
 
 
-def table_nodes(fqns: DataFrame) -> DataFrame:
-    return _nodes(fqns.select("fqn").distinct(), "table", _table_name(F.col("fqn")))
+def table_nodes(refs: DataFrame) -> DataFrame:
+    """A node per full name, named after its table part.
+
+    References that carry ``table`` tell that part, which may hold dots itself;
+    without it the name is split.
+    """
+    if "table" not in refs.columns:
+        return _nodes(refs.select("fqn").distinct(), "table", _table_name(F.col("fqn")))
+    named = refs.groupBy("fqn").agg(F.min("table").alias("table"))
+    return _nodes(named, "table", F.coalesce("table", _table_name(F.col("fqn"))))
 
 
 def notebook_nodes(paths: DataFrame) -> DataFrame:
@@ -125,10 +133,10 @@ def build_graph(
     mentioned = materialize(workspace_refs(notebooks), "refs")
     ordinary = mentioned.where(~F.col("as_pipeline")).join(pipeline_only, "path", "left_anti")
     refs = (
-        ordinary.select("path", compose_fqn("catalog", "schema", "table").alias("fqn"), "reference_type")
+        ordinary.select("path", compose_fqn("catalog", "schema", "table").alias("fqn"), "table", "reference_type")
         .unionByName(
             qualify_pipeline_refs(mentioned.where(F.col("as_pipeline")).drop("as_pipeline"), pipelines).select(
-                "path", "fqn", "reference_type"
+                "path", "fqn", "table", "reference_type"
             )
         )
     )
@@ -246,7 +254,8 @@ def summarize(nodes: DataFrame, edges: DataFrame, cap: int = SUMMARY_CAP) -> Dat
     """One row: counts, counts by type, and the first ``cap`` roots and leaves by id.
 
     The id lists are capped before anything is gathered, so the one row stays
-    small; ``roots`` and ``leaves`` give them whole.
+    small; ``root_count`` and ``leaf_count`` count all, and ``roots`` and
+    ``leaves`` give them whole.
     """
     nodes = with_undeclared(nodes, edges)
 
@@ -261,11 +270,16 @@ def summarize(nodes: DataFrame, edges: DataFrame, cap: int = SUMMARY_CAP) -> Dat
         first = df.select("id").orderBy("id").limit(cap)
         return first.agg(F.sort_array(F.collect_list("id")).alias(name))
 
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        return df.agg(F.count(F.lit(1)).alias(name))
+
     parts = [
         by_type(nodes, "node_type", "node"),
         by_type(edges, "edge_type", "edge"),
         listed(roots(nodes, edges), "root_nodes"),
         listed(leaves(nodes, edges), "leaf_nodes"),
+        counted(roots(nodes, edges), "root_count"),
+        counted(leaves(nodes, edges), "leaf_count"),
     ]
     summary = parts[0].withColumn("one", F.lit(1))
     for part in parts[1:]:

@@ -104,8 +104,8 @@ def list_tables(tables: DataFrame, catalog: str, schema: str) -> DataFrame:
 def file_statistics(spark: SparkSession, path: str, table_of: Column) -> DataFrame:
     """``(table, num_records, size_bytes)`` of all parquet tables below ``path``.
 
-    One scan that reads no column: row counts come from the file footers,
-    sizes from the listing, so thousands of tables cost one job.
+    One scan that reads no column, only how many rows each file has; sizes
+    come from the listing, so thousands of tables cost one job.
     ``table_of`` derives the table from the ``file_path`` column.
     """
     rows = (
@@ -208,7 +208,7 @@ def run_sql(spark: SparkSession, sql: str, limit: int = ROW_LIMIT) -> QueryResul
         df = spark.sql(sql)
         rows = [r.asDict() for r in capped(df, limit + 1).collect()]
         result = QueryResult(sql, list(df.columns), rows[:limit], len(rows) > limit)
-        if result.truncated:
+        if result.truncated:  # the query runs again, for its count alone
             result.total_row_count = df.count()
         return result
     except PySparkException as problem:

@@ -10,7 +10,6 @@ from weftline.functions.names import parts_to_name, split_fqn
 from weftline.functions.names import fqn as compose_fqn
 from weftline.functions.text import extract_all, rx
 from weftline.operators.cells import cell_texts, notebook_language, scan_class
-from weftline.operators.skew import spread_join
 
 _QUOTED = r"""["']([^"']+)["']\s*\)"""
 
@@ -33,7 +32,7 @@ WRITE_CALLS = {
     ".insertInto": r"\.write(?:\.\w+\([^)]*\))*\.insertInto\(\s*" + _QUOTED,
     ".writeTo": r"\.writeTo\(\s*" + _QUOTED,
 }
-SQL_CALL = r"""spark\.sql\(\s*(?:f?["']|f?\"{3})(.*?)(?:["']|\"{3})\s*\)"""
+SQL_CALL = r"""spark\.sql\(\s*(?:f?["']|f?\"\"\")(.*?)(?:["']|\"\"\")\s*\)"""
 SQL_WORDS = r"\b(SELECT|INSERT|CREATE|MERGE|UPDATE|DELETE)\b"
 
 
@@ -103,7 +102,7 @@ def statement_types(statements: DataFrame) -> DataFrame:
     """Kind of every statement, and an error text where the verb is unknown."""
     kind = sqltext.statement_type(F.col("statement"))
     error = F.when(
-        kind.isNull(), F.concat(F.lit("no known statement starts with: "), F.substring("statement", 1, 40))
+        kind.isNull(), F.concat(F.lit("no known statement starts with: "), F.col("statement"))
     )
     return statements.withColumn("statement_type", kind).withColumn("error", error)
 
@@ -304,13 +303,13 @@ def pipeline_ref_array(source: Column) -> Column:
 def qualify_pipeline_refs(raw: DataFrame, pipelines: DataFrame) -> DataFrame:
     """Raw references met with every pipeline that holds their notebook.
 
-    A notebook shared by very many pipelines is a hot path, so the pipelines'
-    side is spread; the raw references of a notebook are few.
+    A notebook shared by very many pipelines is a hot path; its references
+    are few, and adaptive execution splits the pipelines' side.
     """
     held = pipelines.select(
         "pipeline_id", "target_catalog", "target_schema", F.explode("notebook_paths").alias("path")
     )
-    joined = spread_join(held, raw, "path", "pipeline_id")
+    joined = held.join(raw, "path")
     catalog = F.when(F.col("qualify"), F.col("target_catalog")).otherwise(F.col("catalog"))
     schema = F.when(F.col("qualify"), F.col("target_schema")).otherwise(F.col("schema"))
     return joined.select(

@@ -36,14 +36,14 @@ def _matches(rule: Rule, content: Column, lowered: Column) -> Column:
 def match_line(content: Column, pattern: str) -> Column:
     """Zero-based line on which the first match starts."""
     before = F.element_at(F.split(content, pattern, 2), 1)
-    return F.size(F.split(before, "\n", -1)) - 1
+    return F.size(F.split(before, "\r\n|\r|\n", -1)) - 1
 
 
 def snippet(
     content: Column, line: Column, context: int = SNIPPET_CONTEXT, max_lines: int = SNIPPET_LINES
 ) -> Column:
     """The line with its neighbours, at most ``max_lines`` of them."""
-    lines = F.split(content, "\n", -1)
+    lines = F.split(content, "\r\n|\r|\n", -1)
     first = F.greatest(line - context, F.lit(0))
     last = F.least(line + context + 1, F.size(lines))
     return F.array_join(F.slice(lines, first + 1, F.least(last - first, F.lit(max_lines))), "\n")

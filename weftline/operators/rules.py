@@ -40,7 +40,7 @@ _QUOTED_PATHS = ("dbfs:/", "/mnt/", "abfss://", "s3://", "gs://")
 
 # Fixed values from here on: patterns, severities and texts of the rules.
 # PERF005 and PERF010 are written so that long cells cannot exhaust the regex
-# engine's stack; they fire on the same cells.
+# engine's stack; they fire on the same cells, from the same line on.
 
 _PASSWORD = r"""(?:password|passwd|pwd)\s*=\s*["'][^"']+["']"""
 _TOKEN = r"""(?:token|api_key|apikey|secret)\s*=\s*["'][^"']+["']"""
@@ -58,7 +58,7 @@ DEFAULT_RULES = [
     ),
     Rule(
         "PERF001", "performance", "high", _PYTHON,
-        r"""(?:spark\.sql|sql)\(\s*(?:f?["']|f?\"{3})\s*SELECT\s+\*\s+FROM\s""", "i",
+        r"""(?:spark\.sql|sql)\(\s*(?:f?["']|f?\"\"\")\s*SELECT\s+\*\s+FROM\s""", "i",
         "SELECT * without column pruning found in spark.sql() call. This reads all columns from the table.",
         "Specify explicit column names instead of SELECT * for better performance and schema safety.",
         hints=("*",),
@@ -86,7 +86,7 @@ DEFAULT_RULES = [
     ),
     Rule(
         "PERF005", "performance", "medium", _CODE,
-        r"(?:(?:df|result|data)\s*=.*\n){3,200}.*\.show\(\)", "",
+        r"(?:(?:df|result|data)\s*=.*\n){3}(?:(?!.*\.show\(\))(?:df|result|data)\s*=.*\n)*+.*\.show\(\)", "",
         "Multiple DataFrame transformations may trigger repeated computation.",
         "Cache intermediate DataFrames with .cache() or .persist() if reused.",
         hints=(".show()",),
@@ -143,7 +143,7 @@ DEFAULT_RULES = [
         r"def\s+\w+\s*\(", "",
         "Function definition without docstring.",
         "Add a docstring to document the function's purpose, parameters, and return value.",
-        unless=(r"""def\s+\w+\s*\([^)]*\)\s*(?:->.*)?:\s*\n\s*(?:\"{3}|'{3})""",),
+        unless=(r"""def\s+\w+\s*\([^)]*\)\s*(?:->.*)?:\s*\n\s*(?:\"\"\"|''')""",),
         hints=("def",),
     ),
     Rule(

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from weftline.functions.diagnose import diagnose
 from weftline.operators.filters import name_filter
-from weftline.operators.skew import spread_join
 
 TRACE_CHARS = 2000
 EVENTS_PER_PIPELINE = 10
@@ -38,11 +37,12 @@ def _text(name: str) -> Column:
     return F.nullif(F.col(name), F.lit(""))
 
 
-def task_errors(task_runs: DataFrame, outputs: DataFrame) -> DataFrame:
+def task_errors(task_runs: DataFrame, outputs: DataFrame, trace_chars: int | None = TRACE_CHARS) -> DataFrame:
     """Every task run with its error, if it failed with a message.
 
     ``outputs(task_run_id, error, error_trace)``. The detailed error is
-    preferred over the state message; the trace keeps 2000 characters.
+    preferred over the state message; the trace keeps ``trace_chars``
+    characters, or all of them with None.
     """
     wrong = is_failed() & _text("state_message").isNotNull()
     # Tasks that need no output get a key of their own, so that they neither
@@ -54,6 +54,7 @@ def task_errors(task_runs: DataFrame, outputs: DataFrame) -> DataFrame:
     joined = task_runs.withColumn("output_key", key).join(details, "output_key", "left")
     message = F.when(wrong, F.col("state_message"))
     detail = F.when(wrong, _text("error"))
+    trace = _text("error_trace") if trace_chars is None else F.substring(_text("error_trace"), 1, trace_chars)
     return joined.select(
         "run_id",
         "task_pos",
@@ -62,7 +63,7 @@ def task_errors(task_runs: DataFrame, outputs: DataFrame) -> DataFrame:
         "result_state",
         message.alias("error_message"),
         detail.alias("error_detail"),
-        F.when(wrong, F.substring(_text("error_trace"), 1, TRACE_CHARS)).alias("error_trace"),
+        F.when(wrong, trace).alias("error_trace"),
         F.when(wrong, diagnose(F.coalesce(detail, message))).alias("diagnosis"),
     )
 
@@ -96,7 +97,7 @@ def job_status(
     """``(status, tasks)``: per loaded job its definition and latest run, and that run's tasks."""
     latest = latest_runs(runs)
     last_ids = latest.select("run_id")
-    errors = task_errors(spread_join(task_runs, last_ids, "run_id", "task_pos", "left_semi"), outputs)
+    errors = task_errors(task_runs.join(last_ids, "run_id", "left_semi"), outputs)
     status = run_status(latest, errors)
     schedule = F.col("settings.schedule")
     defined = jobs.select(

@@ -113,8 +113,22 @@ REVIEW_CELLS: list[tuple[str, str, list[str]]] = [
     ("sql", "MERGE INTO {o} AS t USING {i} AS s ON t.k = s.k WHEN MATCHED THEN DELETE; OPTIMIZE {o}", []),
     ("python", 'print("x"); display(df) # ok', ["STD005"]),
     ("r", 'token = "abc"', ["STD020"]),
+    ("python", "x = 1\r\nrows = df.collect()\r\ny = 2\r\nz = 3", ["PERF002"]),
+    ("python", "".join(f"df = {n}\n" for n in range(300)) + "df.show()", ["PERF005"]),
 ]
 N_CELLS = len(REVIEW_CELLS)
+# What is shown of the cells that are longer than a snippet, by cell.
+SNIPPETS = {
+    n: shown
+    for n, (_, text, _) in enumerate(REVIEW_CELLS)
+    for start, shown in (
+        ('df = spark.table("{i}")', 'df = spark.table("{i}")\ndf = df.filter("a")\ndf = df.filter("b")'),
+        ("@udf", '@udf\ndef f(x):\n    """doc"""'),
+        ("x = 1\r", "x = 1\nrows = df.collect()\ny = 2\nz = 3"),
+        ("df = 0", "df = 0\ndf = 1\ndf = 2"),
+    )
+    if text.startswith(start) and text.count("\n") >= 3
+}
 
 # SQL texts for statement, table and column extraction. Per text: the kinds of
 # its statements, and (name, direction) of the tables it mentions.
@@ -165,6 +179,26 @@ SQL_TEXTS: list[tuple[str, list[str], list[tuple[str, str]], list[tuple[str, str
         [(".d", "select"), (".d", "where"), (".e", "where"), (".v", "select")],
     ),
     ("THIS IS NO SQL FROM {i}", [""], [], []),
+    ("FROM {i} INSERT INTO {o} SELECT x", ["Insert"], [("{o}", "writes_to"), ("{i}", "reads_from")], [(".x", "select")]),
+    ("REPLACE TABLE {o} AS SELECT x FROM {i}", ["Create"], [("{o}", "writes_to"), ("{i}", "reads_from")], [(".x", "select")]),
+    (
+        "SELECT SUBSTRING(lower(a) FROM 2 FOR 3), TRIM(concat(a, b) FROM c) FROM {i}",
+        ["Select"],
+        [("{i}", "reads_from")],
+        [(".a", "select"), (".a", "select"), (".b", "select"), (".c", "select")],
+    ),
+    (
+        "SELECT row_number() OVER (PARTITION BY f(g(x)) ORDER BY h(y)) AS r, z FROM {i}",
+        ["Select"],
+        [("{i}", "reads_from")],
+        [(".x", "select"), (".y", "order_by"), (".z", "select")],
+    ),
+    (
+        "SELECT v FROM {i} LATERAL                         VIEW explode(arr) t AS v",
+        ["Select"],
+        [("{i}", "reads_from")],
+        [(".v", "select"), (".arr", "select")],
+    ),
 ]
 N_TEXTS = len(SQL_TEXTS)
 
@@ -216,12 +250,10 @@ def lineage_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows every notebook corpus is made of.
 
     The texts derived from a row are far larger than the row, so an input of
-    one or two splits is spread before they are made; a table with enough
-    splits is left as it lies.
+    few splits is spread before they are made.
     """
     base = table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS {n}" for n, e in BASE.items()])
-    cores = spark.sparkContext.defaultParallelism
-    return base if base.rdd.getNumPartitions() >= cores else base.repartition(cores, "k")
+    return base.repartition("k")
 
 
 def notebooks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -699,7 +699,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     nodes, edges = workspace_graph(spark, sf_dir)
-    read = table_seeds(edges).select(F.substring("seed", 8, 1000).alias("table"))
+    read = table_seeds(edges).select(F.expr("substring(seed, 8)").alias("table"))
     asked = read.unionByName(read.agg(F.lit("main.no.such").alias("table")))
     return graph.dependency_counts(graph.table_dependencies(nodes, edges, asked))
 
@@ -754,8 +754,8 @@ def _(spark, sf_dir):
     f"""WITH edges AS ({EDGES_SQL}), nodes AS ({NODES_SQL})
       SELECT '2024-01-01T00:00:00Z' AS graph_timestamp, CAST(60 AS BIGINT) AS cache_age_seconds, FALSE AS stale_warning,
         (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges) AS edge_count,
-        least(50, (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT dst FROM edges))) AS root_count,
-        least(50, (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT src FROM edges))) AS leaf_count""",
+        (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT dst FROM edges)) AS root_count,
+        (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT src FROM edges)) AS leaf_count""",
 )
 def _(spark, sf_dir):
     path = work_folder(spark, "stored")
@@ -820,7 +820,7 @@ def _(spark, sf_dir):
     nodes, edges = workspace_graph(spark, sf_dir)
     drops = table_seeds(edges).select(
         F.concat(F.lit("drop "), "seed").alias("change_id"),
-        F.substring("seed", 8, 1000).alias("table_name"),
+        F.expr("substring(seed, 8)").alias("table_name"),
         F.lit("id").alias("column_name"),
     )
     return _flat_report(impact.impact_column_drop(nodes, edges, drops, with_paths=False)[0])
@@ -831,7 +831,7 @@ def _(spark, sf_dir):
     nodes, edges = workspace_graph(spark, sf_dir)
     changes = table_seeds(edges).select(
         F.concat(F.lit("change "), "seed").alias("change_id"),
-        F.substring("seed", 8, 1000).alias("table_name"),
+        F.expr("substring(seed, 8)").alias("table_name"),
         F.lit('[{"action":"remove","column":"a"},{"action":"modify","column":"b","new_type":"DOUBLE"}]').alias(
             "schema_changes"
         ),
@@ -905,7 +905,7 @@ def _(spark, sf_dir):
     nodes, edges = workspace_graph(spark, sf_dir)
     drops = table_seeds(edges).select(
         F.concat(F.lit("drop "), "seed").alias("change_id"),
-        F.substring("seed", 8, 1000).alias("table_name"),
+        F.expr("substring(seed, 8)").alias("table_name"),
         F.lit("id").alias("column_name"),
     )
     documents = reports.to_report_json(impact.impact_column_drop(nodes, edges, drops, with_paths=False)[0])
@@ -920,8 +920,21 @@ _FINDINGS_SQL = (
     f"SELECT path, CAST(k % 3 AS INTEGER) AS cell_index, r.rule_id FROM ({BASE_SQL}) b"
     f" JOIN (VALUES {_RULES_BY_CELL}) r(cell, rule_id) ON r.cell = b.k % {C.N_CELLS}"
 )
-_SEVERITY_OF = {r.rule_id: r.severity for r in DEFAULT_RULES}
-_CATEGORY_OF = {r.rule_id: r.category for r in DEFAULT_RULES}
+# The rules by severity; the category follows from the name.
+_RULES_BY_SEVERITY = {
+    "critical": "PERF002 PERF003 STD020",
+    "high": "PERF001 PERF007 PERF010 PERF011 OPT011",
+    "medium": (
+        "PERF004 PERF005 PERF006 PERF008 PERF009 STD002 STD003 STD011 OPT002 OPT004 OPT005 OPT012 OPT015"
+    ),
+    "low": "STD001 STD004 STD010 OPT003 OPT013",
+    "info": "STD005 OPT001 OPT006 OPT010 OPT014 OPT016",
+}
+_SEVERITY_OF = {rule: severity for severity, rules in _RULES_BY_SEVERITY.items() for rule in rules.split()}
+_CATEGORY_OF = {
+    rule: {"PERF": "performance", "STD": "standards", "OPT": "optimization"}[rule.rstrip("0123456789")]
+    for rule in _SEVERITY_OF
+}
 
 
 @query("findings", _FINDINGS_SQL)
@@ -945,24 +958,22 @@ def _register_rule(rule_id: str) -> None:
         return found.select("path", "cell_index", "category", "severity")
 
 
-for _rule_id in dict.fromkeys(r.rule_id for r in DEFAULT_RULES):
+for _rule_id in _SEVERITY_OF:
     _register_rule(_rule_id)
 
 
 @query(
     "finding_snippets",
     " UNION ALL ".join(
-        f"SELECT path, {C.sql_text(text)} AS code_snippet FROM ({BASE_SQL}) WHERE k % {C.N_CELLS} = {n}"
+        f"SELECT path, '{rule}' AS rule_id, {C.sql_text(C.SNIPPETS.get(n, text))} AS code_snippet"
+        f" FROM ({BASE_SQL}) WHERE k % {C.N_CELLS} = {n}"
         for n, (_, text, rules) in enumerate(C.REVIEW_CELLS)
         for rule in rules
-        if rule != "PERF005"
-        # A snippet ends two lines below the match; these cells are longer.
-        if text.count("\n") < 3
     ),
 )
 def _(spark, sf_dir):
     found = review(C.review_cells(spark, sf_dir))
-    return found.where(~F.col("rule_id").isin("PERF005", "PERF008")).select("path", "code_snippet")
+    return found.select("path", "rule_id", "code_snippet")
 
 
 @query(
@@ -985,7 +996,7 @@ def _(spark, sf_dir):
 
 
 def _credential_sql(source: str, text: str, keys: str) -> str:
-    """The four kinds of credentials in the order in which they are looked for."""
+    """The four kinds of credentials in the order in which they are looked for; patterns and messages are fixed values."""
     assigned = """\\s*=\\s*["''][^"'']+["'']"""
     kinds = [
         (f"(password|passwd|pwd){assigned}", "Hardcoded password detected."),
@@ -997,18 +1008,25 @@ def _credential_sql(source: str, text: str, keys: str) -> str:
     return f"SELECT * FROM (SELECT {keys}, CASE {branches} END AS message FROM {source}) WHERE message IS NOT NULL"
 
 
-def _register_credential_scan(source: str, text: str, keys: list[str]) -> None:
-    @query(f"credential_scan_{source}", _credential_sql(source, text, ", ".join(keys)))
+def _register_credential_scan(source: str, text: str, keys: list[str], planted: str | None = None) -> None:
+    """``planted``: the key whose multiples of 7 get a credential behind their text; all rows are read."""
+    content = text
+    if planted:
+        tails = [""" password = "s3cret" """, " token='abc' ", " Bearer abc.def= ", " dapi" + "0a" * 16 + " "]
+        cases = " ".join(f"WHEN {planted} % 28 = {7 * n} THEN {C.sql_text(t)}" for n, t in enumerate(tails))
+        content = f"concat({text}, CASE {cases} ELSE '' END)"
+
+    @query(f"credential_scan_{source}", _credential_sql(source, content, ", ".join(keys)))
     def _(spark, sf_dir):
         texts = C.table(spark, sf_dir, source).select(
-            *keys, F.lit("unknown").alias("cell_type"), F.col(text).alias("content")
+            *keys, F.lit("unknown").alias("cell_type"), F.expr(content).alias("content")
         )
         return review(texts, categories="standards").select(*keys, "message")
 
 
 _register_credential_scan("documents", "text", ["doc_id"])
-_register_credential_scan("pages", "html", ["page_id"])
-_register_credential_scan("conversations", "text", ["conv_id", "turn"])
+_register_credential_scan("pages", "html", ["page_id"], "page_id")
+_register_credential_scan("conversations", "text", ["conv_id", "turn"], "conv_id")
 
 
 # --------------------------------------------------------- runs and failures

@@ -18,19 +18,41 @@ def _all_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
+def _children(spark: SparkSession, path: str) -> DataFrame:
+    """What one folder holds, from its listing."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") or "/")
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = [
+        (s.getPath().getName(), s.getPath().toString(), s.isDirectory(), s.getLen(), s.getModificationTime())
+        for s in system.listStatus(folder)
+    ]
+    found = spark.createDataFrame(rows, "name string, path string, is_directory boolean, bytes bigint, millis bigint")
+    return found.select(
+        "name",
+        _plain(F.col("path")).alias("path"),
+        "is_directory",
+        F.when(~F.col("is_directory"), F.col("bytes")).alias("file_size"),
+        F.when(~F.col("is_directory"), F.timestamp_millis("millis")).alias("last_modified"),
+    )
+
+
 def list_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """``(name, path, is_directory, file_size, last_modified)`` below ``path``.
 
-    Contents are not read. Directories are those that hold a file somewhere
-    below; without ``recursive`` only direct children are listed.
+    Contents are not read. Without ``recursive`` the folder's own listing
+    answers, empty folders included, and nothing below it is visited. With it
+    the whole tree is listed by Spark, and directories are those that hold a
+    file somewhere below.
     """
+    if not recursive:
+        return _children(spark, path)
     root = _plain(F.lit(path.rstrip("/") + "/"))
     files = _all_files(spark, path).select(
         _plain(F.col("path")).alias("path"),
         F.col("length").alias("file_size"),
         F.col("modificationTime").alias("last_modified"),
     )
-    files = files.withColumn("relative", F.replace("path", root, F.lit("")))
+    files = files.where(F.startswith("path", root)).withColumn("relative", F.substring("path", F.length(root) + 1, F.length("path")))
     steps = F.split("relative", "/", -1)
     parents = files.select(
         F.explode(
@@ -48,8 +70,6 @@ def list_files(spark: SparkSession, path: str, recursive: bool = False) -> DataF
         F.lit(True).alias("is_directory"),
     )
     items = files.withColumn("is_directory", F.lit(False)).unionByName(folders)
-    if not recursive:
-        items = items.where(~F.col("relative").contains("/"))
     return items.select(
         F.substring_index("path", "/", -1).alias("name"), "path", "is_directory", "file_size", "last_modified"
     )
@@ -75,5 +95,18 @@ def file_contents(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Contents of every file below ``path``."""
-    return file_contents(_all_files(spark, path).select("path", "content"), max_bytes)
+    """Contents of every file below ``path``.
+
+    A file beyond 2 GiB, which Spark cannot hold as one value, is a row
+    without content, marked ``truncated``.
+    """
+    files = _all_files(spark, path)
+    fits = F.col("length") < (1 << 31) - 16
+    large = files.where(~fits).select(
+        "path",
+        F.lit(None).cast("string").alias("encoding"),
+        F.lit(0).alias("content_length"),
+        F.lit(True).alias("truncated"),
+        F.lit(None).cast("string").alias("content"),
+    )
+    return file_contents(files.where(fits).select("path", "content"), max_bytes).unionByName(large)
