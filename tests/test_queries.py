@@ -47,6 +47,3 @@ def test_entry(spark):
     assert found.columns[:2] == ["change_id", "node_id"] and found.count() > 0
 
 
-def test_file_listing_is_the_folder(spark):
-    listed = {(r.name, r.file_size) for r in contract.queries()["file_listing"](spark, SF).collect()}
-    assert listed == {(f, os.path.getsize(f"{SF}/{f}")) for f in os.listdir(SF)}

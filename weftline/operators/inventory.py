@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -167,6 +168,16 @@ def column_inventory(
     )
 
 
+def value_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """``(table, name, value_count)``: the values that are not null, one scan for each table."""
+    parts = []
+    for name, df in tables.items():
+        counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").alias("value_count")) for c in df.columns]))
+        parts.append(counts.select(F.lit(name).alias("table"), pairs.alias("one")).select("table", "one.*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def table_info(profile: DataFrame, columns: DataFrame) -> DataFrame:
     """Profiles with their columns as an array, in order.
 

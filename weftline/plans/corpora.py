@@ -256,6 +256,28 @@ def lineage_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.repartition("k")
 
 
+def knots_sql() -> str:
+    """Edges of a second graph over all orders, the same text for Spark and DuckDB.
+
+    A third of the notebooks read one hub table, 25 tables follow one another
+    in a chain of 50 hops, and ten notebooks read the table they write.
+    """
+    key, link, ring = "CAST(o_orderkey AS STRING)", "CAST(o_orderkey % 25 AS STRING)", "CAST(o_orderkey % 10 AS STRING)"
+    pairs = [
+        ("'table::main.k.hub'", f"concat('notebook::/K/', {key})", "o_orderkey % 3 = 0"),
+        (f"concat('notebook::/K/', {key})", f"concat('table::main.k.out', {link})", "TRUE"),
+        (f"concat('table::main.k.out', {link})", f"concat('notebook::/C/', {link})", "TRUE"),
+        (f"concat('notebook::/C/', {link})", "concat('table::main.k.out', CAST(o_orderkey % 25 + 1 AS STRING))", "TRUE"),
+        (f"concat('table::main.k.ring', {ring})", f"concat('notebook::/R/', {ring})", "TRUE"),
+        (f"concat('notebook::/R/', {ring})", f"concat('table::main.k.ring', {ring})", "TRUE"),
+    ]
+    return " UNION ".join(f"SELECT {a} AS src, {b} AS dst FROM orders WHERE {which}" for a, b, which in pairs)
+
+
+def knots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(knots_sql().replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+
+
 def notebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = lineage_base(spark, sf_dir)
     return base.selectExpr("path", "'python' AS language", f"{SOURCE} AS source")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.names import fqn, node_id, resolve_name, split_fqn
@@ -19,6 +19,7 @@ from weftline.operators import filters, graph, impact, inventory, lineage, runs
 from weftline.operators.reach import paths, reach
 from weftline.operators.review import review, review_report
 from weftline.operators.rules import DEFAULT_RULES
+from weftline.operators.skew import HOT_ROWS
 from weftline.plans import corpora as C
 from weftline.session import materialize, work_folder
 from weftline.sources import definitions, files, graphs, logs, notebooks, reports
@@ -103,12 +104,18 @@ def build_workspace_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame,
     return graph.build_graph(C.notebooks(spark, sf_dir), tasks, pipelines)
 
 
-_STORED: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+_STORED: dict[tuple[str, str, int], tuple[DataFrame, DataFrame]] = {}
+
+
+def _written_at(spark: SparkSession, path: str) -> int:
+    """When the table at ``path`` was last written."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).getModificationTime()
 
 
 def workspace_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The graph as stored tables, written once per application and asked many times."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The graph as stored tables, written once per application and version of its input, and asked many times."""
+    key = (spark.sparkContext.applicationId, sf_dir, _written_at(spark, f"{sf_dir}/orders.parquet"))
     if key not in _STORED:
         nodes, edges = build_workspace_graph(spark, sf_dir)
         _STORED[key] = materialize(nodes, "nodes"), materialize(edges, "edges")
@@ -208,10 +215,41 @@ def _(spark, sf_dir):
     return runs.diagnosed_events(events).select("pipeline_id", "id", "level", "error_message")
 
 
-# The folder of the given tables is known to the query alone, so no SQL.
-@query("file_listing")
+def _text_files(spark: SparkSession, sf_dir: str) -> str:
+    """All documents as text files, a folder for each language."""
+    path = work_folder(spark, "files")
+    texts = C.table(spark, sf_dir, "documents").selectExpr("coalesce(lang, '') AS lang", "coalesce(text, '') AS text")
+    texts.repartition("lang").write.partitionBy("lang").text(path)
+    return path
+
+
+def _folder() -> Column:
+    return F.regexp_extract("path", r"(lang=[^/]*)", 1).alias("folder")
+
+
+@query(
+    "file_listing",
+    """SELECT 'lang=' || lang AS folder, CAST(sum(strlen(text) + 1) AS BIGINT) AS file_bytes FROM documents GROUP BY lang
+      UNION ALL SELECT DISTINCT 'folder lang=' || lang, CAST(NULL AS BIGINT) FROM documents""",
+)
+def _(spark, sf_dir):
+    """The files below a folder, by their bytes, and its own children."""
+    path = _text_files(spark, sf_dir)
+    below = files.list_files(spark, path, recursive=True).where("not is_directory")
+    sizes = below.groupBy(_folder()).agg(F.sum("file_size").alias("file_bytes"))
+    own = files.list_files(spark, path).where("is_directory")
+    return sizes.unionByName(own.select(F.concat(F.lit("folder "), "name").alias("folder"), F.col("file_size").alias("file_bytes")))
+
+
+@query(
+    "file_reading",
+    """SELECT 'lang=' || lang AS folder, CAST(least(5000, sum(strlen(text) + 1)) AS BIGINT) AS content_length,
+      sum(strlen(text) + 1) >= 5000 AS truncated FROM documents GROUP BY lang""",
+)
 def _(spark, sf_dir):
-    return files.list_files(spark, sf_dir).select("name", "is_directory", "file_size")
+    """The first bytes of every file; a folder holds one."""
+    found = files.read_files(spark, _text_files(spark, sf_dir), max_bytes=5000)
+    return found.select(_folder(), F.col("content_length").cast("bigint").alias("content_length"), "truncated")
 
 
 @query(
@@ -656,6 +694,26 @@ def _(spark, sf_dir):
     return reach(edges, table_seeds(edges))
 
 
+def _register_knot(name: str, seed: str, hot_rows: int = HOT_ROWS) -> None:
+    @query(
+        name,
+        f"""WITH RECURSIVE edges AS MATERIALIZED ({C.knots_sql()}),
+        r AS (SELECT dst AS node, 1 AS depth FROM edges WHERE src = '{seed}'
+          UNION SELECT e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.node WHERE r.depth < 60)
+        SELECT '{seed}' AS seed, node, CAST(min(depth) AS INTEGER) AS depth FROM r WHERE node <> '{seed}' GROUP BY node""",
+    )
+    def _(spark, sf_dir):
+        edges = materialize(C.knots(spark, sf_dir), "knots")
+        seeds = edges.where(F.col("src") == seed).select(F.col("src").alias("seed")).distinct()
+        return reach(edges, seeds, hot_rows=hot_rows)
+
+
+_register_knot("downstream_hub", "table::main.k.hub")
+_register_knot("downstream_hub_cut", "table::main.k.hub", hot_rows=50)
+_register_knot("downstream_cycle", "table::main.k.ring3")
+_register_knot("downstream_chain", "table::main.k.out0")
+
+
 @query("upstream_depth", closure_sql("SELECT DISTINCT dst AS seed FROM edges WHERE dst LIKE 'table::%'", "up"))
 def _(spark, sf_dir):
     _, edges = workspace_graph(spark, sf_dir)
@@ -1212,20 +1270,30 @@ def _(spark, sf_dir):
     return inventory.table_profile(tables.union(view), named).select("full_name", "row_count")
 
 
+_DUCK_TYPES = """CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string'
+  WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' ELSE data_type END"""
+
+
 @query(
     "column_inventory",
-    f"""SELECT table_name AS "table", column_name AS name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int'
-      WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
-      WHEN 'FLOAT[]' THEN 'array<float>' ELSE data_type END AS type, CAST(ordinal_position - 1 AS INTEGER) AS position
-      FROM information_schema.columns WHERE table_name IN ({', '.join(f"'{t}'" for t in TABLES)})""",
+    f"""SELECT table_name AS "table", column_name AS name, {_DUCK_TYPES} AS type,
+      CAST(ordinal_position - 1 AS INTEGER) AS position, p.value_count
+      FROM information_schema.columns c JOIN (
+      """
+    + " UNION ALL ".join(
+        f"""SELECT '{t}' AS t, name AS col, CAST(value_count AS BIGINT) AS value_count FROM
+        (UNPIVOT (SELECT count(COLUMNS(*)) FROM {t}) ON COLUMNS(*) INTO NAME name VALUE value_count)"""
+        for t in TABLES
+    )
+    + f""") p ON p.t = c.table_name AND p.col = c.column_name
+      WHERE table_name IN ({', '.join(f"'{t}'" for t in TABLES)})""",
 )
 def _(spark, sf_dir):
-    schemas = {t: C.table(spark, sf_dir, t).schema for t in TABLES}
-    return inventory.column_inventory(spark, schemas).select("table", "name", "type", "position")
-
-
-_DUCK_TYPES = """CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string'
-  WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' ELSE data_type END"""
+    """Every column with its type and how many values it holds."""
+    tables = {t: C.table(spark, sf_dir, t) for t in TABLES}
+    columns = inventory.column_inventory(spark, {t: df.schema for t, df in tables.items()})
+    counted = inventory.value_counts(tables)
+    return columns.join(counted, ["table", "name"]).select("table", "name", "type", "position", "value_count")
 
 
 @query(
@@ -1375,8 +1443,10 @@ def _(spark, sf_dir):
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    schema = C.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """The rows of a table, arriving in three files and as many batches, in no order of time."""
+    rows, path = C.table(spark, sf_dir, name), work_folder(spark, "arriving")
+    rows.repartition(3).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 _FIRST_CAUSE_SQL = f"""CASE WHEN event_id % 2 = 0 AND (event_id + 4) % 9 < event_id % 9 THEN {C.cause('event_id + 4')}
@@ -1391,7 +1461,10 @@ _FIRST_CAUSE_SQL = f"""CASE WHEN event_id % 2 = 0 AND (event_id + 4) % 9 < event
 def _(spark, sf_dir):
     folder = work_folder(spark, "stream")
     events = C.pipeline_event_records(_stream(spark, sf_dir, "events"))
-    stream_failure_ops.stream_failures(events, f"{folder}/counts", f"{folder}/checkpoint").awaitTermination()
+    # Days arrive in no order, so a window stays open for as long as they span.
+    stream_failure_ops.stream_failures(
+        events, f"{folder}/counts", f"{folder}/checkpoint", watermark="3650 days"
+    ).awaitTermination()
     counts = stream_failure_ops.current_failures(spark, f"{folder}/counts")
     return counts.select(utc_text(F.col("window_start"), "yyyy-MM-dd").alias("day"), "probable_cause", "n")
 

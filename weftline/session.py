@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,7 +30,7 @@ def work_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared one that ``spark.checkpoint.dir`` names.
 
     Only a local session may go without that setting; it then gets a
-    temporary folder of its own. On a cluster a machine-local folder would be
+    temporary folder of its own, which goes with the application. On a cluster a machine-local folder would be
     lost with its executor, so the missing setting is an error there.
     """
     global _local_folder
@@ -36,7 +38,9 @@ def work_folder(spark: SparkSession, label: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        _local_folder = _local_folder or tempfile.mkdtemp(prefix="weftline-")
+        if _local_folder is None:
+            _local_folder = tempfile.mkdtemp(prefix="weftline-")
+            atexit.register(shutil.rmtree, _local_folder, ignore_errors=True)
         base = _local_folder
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
