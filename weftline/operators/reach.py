@@ -23,6 +23,14 @@ def _adjacency(edges: DataFrame, direction: str) -> DataFrame:
     return edges.select(F.col(source).alias("node"), F.col(target).alias("next")).distinct()
 
 
+def _names(adjacency: DataFrame, seeds: DataFrame) -> DataFrame | None:
+    """``(code, name)``: a 64-bit number for every id, or None should two ids share one."""
+    ids = adjacency.select("node").union(adjacency.select("next")).union(seeds.select("seed")).distinct()
+    names = materialize(ids.select(F.xxhash64("node").alias("code"), F.col("node").alias("name")), "names")
+    shared = names.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return names if shared.isEmpty() else None
+
+
 def reach(
     edges: DataFrame,
     seeds: DataFrame,
@@ -38,13 +46,23 @@ def reach(
     in which a cycle can lead back to the seed. ``path`` holds the node ids
     from seed to node along a shortest path, the smallest one where several
     tie. Runs jobs: the number of rounds depends on the data.
+
+    Without paths the rounds carry 64-bit numbers in place of the ids, which
+    come back at the end.
     """
     spark = edges.sparkSession
-    adjacency = materialize(_adjacency(edges, direction), "adjacency")
+    adjacency = _adjacency(edges, direction)
+    names = None if with_paths else _names(adjacency, seeds)
+    kind = T.StringType()
+    if names is not None:
+        kind = T.LongType()
+        adjacency = adjacency.select(F.xxhash64("node").alias("node"), F.xxhash64("next").alias("next"))
+        seeds = seeds.select(F.xxhash64("seed").alias("seed"))
+    adjacency = materialize(adjacency, "adjacency")
     edge_rows = adjacency.count()
     folder = work_folder(spark, "reach")
 
-    fields = [T.StructField("seed", T.StringType()), T.StructField("node", T.StringType())]
+    fields = [T.StructField("seed", kind), T.StructField("node", kind)]
     if with_paths:
         fields.append(T.StructField("path", T.ArrayType(T.StringType())))
     level_schema = T.StructType(fields)
@@ -80,8 +98,12 @@ def reach(
         found = found.withColumnRenamed("next", "node")
         depth += 1
         rows = save(found.join(known.select("seed", "node"), ["seed", "node"], "left_anti"), depth)
-    result = spark.read.schema(all_levels).parquet(folder)
-    return result.where(F.col("depth") > 0).select(
+    result = spark.read.schema(all_levels).parquet(folder).where(F.col("depth") > 0)
+    if names is not None:
+        for end in ("seed", "node"):
+            named = names.select(F.col("code").alias(end), F.col("name").alias(f"{end}_name"))
+            result = result.join(named, end).drop(end).withColumnRenamed(f"{end}_name", end)
+    return result.select(
         "seed", "node", "depth", *(["path"] if with_paths else [])
     )
 
