@@ -286,16 +286,12 @@ def analyze_impact(
     reports = with_staleness(reports, F.current_timestamp() if built_at is None else built_at, ttl_seconds).drop(
         "cache_age_seconds"
     )
-    assets = hot_join(
-        checked.where(F.col("seed").isNotNull()).select(
-            "change_id", "seed", lifted.alias("lifted"), _reason().alias("reason")
-        ),
-        hits,
-        "seed",
-        "inner",
-        hot_rows,
-        right_total=reached.count(),
-    ).select(
+    # A seed has few changes but may have very many hits; adaptive execution
+    # splits those, so nothing is counted before someone asks for the assets.
+    asked = checked.where(F.col("seed").isNotNull()).select(
+        "change_id", "seed", lifted.alias("lifted"), _reason().alias("reason")
+    )
+    assets = asked.join(hits, "seed").select(
         "change_id",
         "node_id",
         "node_type",

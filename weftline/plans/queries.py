@@ -786,12 +786,11 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """A graph of one part of the notebooks, with the others merged in."""
     everything = C.notebooks(spark, sf_dir)
-    first = everything.where(F.col("path").startswith("/Workspace/team0/"))
+    of_team = F.col("path").startswith("/Workspace/team0/")
+    first = everything.where(of_team)
     nodes = graph.notebook_nodes(first)
     refs = lineage.all_refs(cell_ops.notebook_cells(first))
-    nodes, edges = graph.add_notebook(
-        nodes, graph.merge_edges(graph.table_edges(refs)), everything.join(first, "path", "left_anti")
-    )
+    nodes, edges = graph.add_notebook(nodes, graph.merge_edges(graph.table_edges(refs)), everything.where(~of_team))
     return edges
 
 
