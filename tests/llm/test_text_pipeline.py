@@ -48,13 +48,7 @@ def test_stages_one_by_one(spark, documents):
         want.append((doc, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert sorted(map(tuple, last.collect()), key=lambda r: r[1]) == want
-
-
-def test_run(spark, documents):
-    docs = documents
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, SF)
-    assert Counter(map(tuple, corpus_pipeline.run(spark, SF).collect())) == Counter(map(tuple, docs.collect()))
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect()), key=lambda r: r[1]) == want
 
 
 @pytest.mark.parametrize("which", ["odd", "nothing"])
