@@ -179,3 +179,19 @@ def test_work_folder_needs_a_shared_place(spark, monkeypatch):
         session.work_folder(Remote(), "x")
     monkeypatch.setattr(Remote.conf, "get", staticmethod(lambda key, default: "hdfs://shared/"))
     assert session.work_folder(Remote(), "x").startswith("hdfs://shared/x-")
+
+
+def test_a_listing_shows_empty_folders_and_cuts_only_the_root(spark, tmp_path):
+    root = tmp_path / "R"
+    (root / "a" / "R").mkdir(parents=True)
+    (root / "empty").mkdir()
+    (root / "a" / "R" / "f.txt").write_text("x")
+    (root / "g.txt").write_text("yy")
+    own = files.list_files(spark, str(root)).collect()
+    assert {(r.name, r.is_directory, r.file_size) for r in own} == {
+        ("a", True, None), ("empty", True, None), ("g.txt", False, 2)
+    }
+    below = files.list_files(spark, str(root), recursive=True).collect()
+    assert {(r.path.removeprefix(str(root)), r.is_directory) for r in below} == {
+        ("/a", True), ("/a/R", True), ("/a/R/f.txt", False), ("/g.txt", False)
+    }
