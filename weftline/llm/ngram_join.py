@@ -15,7 +15,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.links import components
@@ -30,7 +30,10 @@ SAMPLE_EVERY = 16
 HEAVY_SEEN, HEAVY_LIMIT = 4, 200_000
 #: Largest set size that may enumerate subsets, and the cost of a posting in subset keys.
 SMALL_MOST, POSTING_COST = 24, 3
-_SKETCH_BITS = 1024
+#: Bits of a small set's sketch; larger sets have the next power of two of their size.
+_SKETCH_BITS = 512
+#: A set meets so many leaders of its lists at first, those it shares most lists with.
+LEADERS = 3
 #: Bits of the table that tells which texts to read again.
 _TABLE_BITS = 1 << 24
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -91,8 +94,12 @@ def _set_id(found: np.ndarray) -> np.uint64:
 
 
 def _sketch(found: np.ndarray) -> np.ndarray:
-    """Parity of the shingles in each of 1,024 cells, as 16 longs; two sets' sketches differ in no more bits than the sets in shingles."""
-    parity = np.bincount((found >> np.uint64(54)).astype(np.int64), minlength=_SKETCH_BITS) & 1
+    """Parity of the shingles in each of some cells, 64 to a long; two sets' sketches differ in no more bits than the sets in shingles.
+
+    The halves of a sketch, one upon the other, are the sketch of half the size.
+    """
+    bits = max(_SKETCH_BITS, 1 << (len(found) - 1).bit_length()) if len(found) else _SKETCH_BITS
+    parity = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
@@ -211,8 +218,17 @@ def _possible(pairs: DataFrame, info: DataFrame) -> DataFrame:
         return info.select(F.col("set_id").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
 
     both = pairs.join(side("b"), "b").join(side("a"), "a")
+    both = both.filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
+    # Sizes that can link have sketches of one size, or one of half the other's.
+    both = both.withColumn("half", F.least(F.size("sketch_a"), F.size("sketch_b")))
+    for name in ("sketch_a", "sketch_b"):
+        both = both.withColumn(
+            name,
+            F.expr(
+                f"if(size({name}) = half, {name}, zip_with(slice({name}, 1, half), slice({name}, half + 1, half), (x, y) -> x ^ y))"
+            ),
+        )
     both = both.filter(
-        f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b) and "
         f"aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) "
         f"<= n_a + n_b - 2 * (({PERCENT} * (n_a + n_b) + {99 + PERCENT}) div {100 + PERCENT})"
     )
@@ -290,8 +306,8 @@ def linked(documents: DataFrame) -> DataFrame:
     Two rows link when their sets of five-word shingles (lower case; a shorter
     text is one shingle) have a Jaccard similarity of 0.8 or more;
     ``component_id`` is the smallest doc_id that links reach. Rows with equal
-    sets are one node throughout, so copies are never paired. Lists first link
-    each set with one leader; only where a list then still holds several
+    sets are one node throughout, so copies are never paired. Each set first
+    meets a few leaders of its lists; only where a list then still holds several
     components, the sets of different components are paired, so a group of near
     copies is not paired with itself. Sets are told apart by 64-bit hashes.
 
@@ -306,9 +322,13 @@ def linked(documents: DataFrame) -> DataFrame:
     info = materialize(info, "set-info")
     postings = some.select("set_id", F.explode("heads").alias("shingle"))
     lists = postings.groupBy("shingle").agg(F.min("set_id").alias("leader"), F.max("set_id").alias("_last"))
-    shared = postings.join(lists.filter("leader != _last").drop("_last"), "shingle").distinct()
-    shared = materialize(shared, "lists")
-    stars = shared.filter("set_id != leader").select(F.col("leader").alias("a"), F.col("set_id").alias("b")).distinct()
+    # Written, so that the join meets two plain shuffles, of which Spark can split a frequent shingle's.
+    lists = materialize(lists.filter("leader != _last").drop("_last"), "leaders")
+    shared = materialize(postings.join(lists, "shingle").distinct(), "lists")
+    stars = shared.filter("set_id != leader").groupBy("set_id", "leader").agg(F.count("*").alias("_lists"))
+    best = Window.partitionBy("set_id").orderBy(F.desc("_lists"), "leader")  # a set posts to a bounded number of lists
+    stars = stars.withColumn("_place", F.row_number().over(best)).filter(F.col("_place") <= LEADERS)
+    stars = stars.select(F.col("leader").alias("a"), F.col("set_id").alias("b"))
     small = materialize(_subset_edges(described), "subset-links")
     edges = small.union(_verified(documents, described, info, stars))
     roots = components(edges)
@@ -318,7 +338,8 @@ def linked(documents: DataFrame) -> DataFrame:
     )
     placed = placed.join(info.select("set_id", "n"), "set_id")
     mixed = placed.groupBy("shingle").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low != _high")
-    open_lists = materialize(placed.join(mixed.select("shingle"), "shingle", "left_semi"), "open-lists")
+    mixed = materialize(mixed.select("shingle"), "mixed")
+    open_lists = materialize(placed.join(mixed, "shingle", "left_semi"), "open-lists")
     left = open_lists.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("set_id", "root", "n")])
     right = open_lists.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("set_id", "root", "n")])
     across = left.join(right, "shingle").filter(
@@ -330,7 +351,7 @@ def linked(documents: DataFrame) -> DataFrame:
         roots = components(edges.union(more))
     rows = some.select("doc_id", "text_id", "n", "set_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
     rows = rows.withColumn("root", F.coalesce("root", "set_id"))
-    names = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    names = materialize(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "names")
     out = rows.join(names, "root").select(
         "doc_id", "text_id", F.col("n").cast("long").alias("n_shingles"), "set_id", "root", "component_id"
     )
