@@ -50,6 +50,10 @@ def posted(n):
     return n - -(-PERCENT * n // 100) + 1
 
 
+def posted_column(n: str) -> Column:
+    return F.col(n) - F.expr(f"({PERCENT} * {n} + 99) div 100") + 1
+
+
 def partners(n: int, most: int) -> list[int]:
     """Sizes up to ``most`` that a set of ``n`` can link with."""
     return [m for m in range(-(-PERCENT * n // 100), min(most, n * 100 // PERCENT) + 1)]
@@ -320,12 +324,19 @@ def linked(documents: DataFrame) -> DataFrame:
     some = described.filter("n > 0")
     info = some.groupBy("set_id").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     info = materialize(info, "set-info")
-    postings = some.select("set_id", F.explode("heads").alias("shingle"))
-    lists = postings.groupBy("shingle").agg(F.min("set_id").alias("leader"), F.max("set_id").alias("_last"))
+    postings = some.select("set_id", F.posexplode("heads").alias("place", "shingle"))
+    lists = postings.groupBy("shingle").agg(F.min("set_id").alias("_first"), F.max("set_id").alias("_last"))
     # Written, so that the join meets two plain shuffles, of which Spark can split a frequent shingle's.
-    lists = materialize(lists.filter("leader != _last").drop("_last"), "leaders")
+    lists = materialize(lists.filter("_first != _last").select("shingle"), "leaders")
     shared = materialize(postings.join(lists, "shingle").distinct(), "lists")
-    stars = shared.filter("set_id != leader").groupBy("set_id", "leader").agg(F.count("*").alias("_lists"))
+    # The leader of a list is its most typical set: the one that shares most of what it posts.
+    typical = shared.groupBy("set_id").agg(F.count("*").alias("_lists")).join(info.select("set_id", "n"), "set_id")
+    typical = typical.select("set_id", (F.col("_lists") / posted_column("n")).alias("share"))
+    ranked = shared.join(materialize(typical, "typical"), "set_id")
+    leaders = ranked.groupBy("shingle").agg(F.max(F.struct("share", "set_id")).alias("_top"))
+    leaders = materialize(leaders.select("shingle", F.col("_top.set_id").alias("leader")), "leaders")
+    stars = shared.join(leaders, "shingle").filter("set_id != leader")
+    stars = stars.groupBy("set_id", "leader").agg(F.count("*").alias("_lists"))
     best = Window.partitionBy("set_id").orderBy(F.desc("_lists"), "leader")  # a set posts to a bounded number of lists
     stars = stars.withColumn("_place", F.row_number().over(best)).filter(F.col("_place") <= LEADERS)
     stars = stars.select(F.col("leader").alias("a"), F.col("set_id").alias("b"))
@@ -334,16 +345,19 @@ def linked(documents: DataFrame) -> DataFrame:
     roots = components(edges)
     # Where a list still holds several components, pairs across them may link.
     placed = shared.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select(
-        "shingle", "set_id", F.coalesce("root", "set_id").alias("root")
+        "shingle", "place", "set_id", F.coalesce("root", "set_id").alias("root")
     )
     placed = placed.join(info.select("set_id", "n"), "set_id")
     mixed = placed.groupBy("shingle").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low != _high")
     mixed = materialize(mixed.select("shingle"), "mixed")
     open_lists = materialize(placed.join(mixed, "shingle", "left_semi"), "open-lists")
-    left = open_lists.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("set_id", "root", "n")])
-    right = open_lists.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("set_id", "root", "n")])
+    names = ("set_id", "root", "n", "place")
+    left = open_lists.select("shingle", *[F.col(c).alias(f"{c}_a") for c in names])
+    right = open_lists.select("shingle", *[F.col(c).alias(f"{c}_b") for c in names])
+    # The first shingle that two linked sets share, in the order of all, has enough left behind it in both.
     across = left.join(right, "shingle").filter(
-        f"root_a != root_b and set_id_a < set_id_b and 100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)"
+        f"root_a != root_b and set_id_a < set_id_b and 100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b) and "
+        f"least(n_a - place_a, n_b - place_b) >= ({PERCENT} * (n_a + n_b) + {99 + PERCENT}) div {100 + PERCENT}"
     )
     across = across.select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).distinct()
     more = _verified(documents, described, info, across)
@@ -351,8 +365,8 @@ def linked(documents: DataFrame) -> DataFrame:
         roots = components(edges.union(more))
     rows = some.select("doc_id", "text_id", "n", "set_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
     rows = rows.withColumn("root", F.coalesce("root", "set_id"))
-    names = materialize(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "names")
-    out = rows.join(names, "root").select(
+    smallest = materialize(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
+    out = rows.join(smallest, "root").select(
         "doc_id", "text_id", F.col("n").cast("long").alias("n_shingles"), "set_id", "root", "component_id"
     )
     empty = described.filter("n = 0").select(
