@@ -233,7 +233,9 @@ def repeats(rows: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> Da
     """
     anchors = _anchors(rows, min_words, gram)
     ends = anchors.groupBy("key").agg(F.min("row").alias("_low"), F.max("row").alias("_high"))
-    shared = anchors.join(ends.filter("_low != _high").select("key"), "key")
+    # Written, so that the join meets two plain shuffles, of which Spark can split a frequent key's.
+    ends = materialize(ends.filter("_low != _high").select("key"), "shared-keys")
+    shared = anchors.join(ends, "key")
     return _compared(_suffixes(rows, shared, min_words, gram), min_words)
 
 
