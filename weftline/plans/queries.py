@@ -1415,6 +1415,29 @@ def _(spark, sf_dir):
     return inventory.counts_by(inventory.inventory("cluster", C.clusters(spark, sf_dir)), "state")
 
 
+@query(
+    "sql_results",
+    """SELECT 'cut' AS asked, CAST(100 AS BIGINT) AS row_count, TRUE AS truncated,
+        (SELECT CAST(count(*) AS BIGINT) FROM lineitem) AS total_row_count, FALSE AS failed
+      UNION ALL SELECT 'whole', (SELECT CAST(count(*) AS BIGINT) FROM nation), FALSE, NULL, FALSE
+      UNION ALL SELECT 'wrong', 0, FALSE, NULL, TRUE""",
+)
+def _(spark, sf_dir):
+    """A result that is cut, one that is whole, and an error as data."""
+    for name in ("lineitem", "nation"):
+        C.table(spark, sf_dir, name).createOrReplaceTempView(f"asked_{name}")
+    asked = {
+        "cut": "SELECT * FROM asked_lineitem",
+        "whole": "SELECT * FROM asked_nation",
+        "wrong": "SELECT no_such_column FROM asked_nation",
+    }
+    found = {key: inventory.run_sql(spark, sql, limit=100) for key, sql in asked.items()}
+    rows = [(key, r.row_count, r.truncated, r.total_row_count, r.error is not None) for key, r in found.items()]
+    return spark.createDataFrame(
+        rows, "asked string, row_count bigint, truncated boolean, total_row_count bigint, failed boolean"
+    )
+
+
 @query(
     "capped_sql",
     """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus FROM orders
