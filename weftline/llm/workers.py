@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 
 import weftline
 
+#: Rows of an Arrow batch; what a Python worker holds at once follows this and the longest texts.
+BATCH_ROWS = 2_000
+
 
 def ship(spark: SparkSession) -> None:
     """Give the package to the executors, once for each application, so that they need no installation."""
@@ -32,6 +35,9 @@ def ship(spark: SparkSession) -> None:
 def map_batches(
     df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str
 ) -> DataFrame:
-    """``df.mapInArrow`` with the package at hand on the executors."""
+    """``df.mapInArrow`` with the package at hand on the executors, and in batches that leave their memory alone."""
     ship(df.sparkSession)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(size, "0")) <= BATCH_ROWS:
+        df.sparkSession.conf.set(size, str(BATCH_ROWS))
     return df.mapInArrow(run, schema)
