@@ -194,10 +194,11 @@ def _compared(suffixes: DataFrame, min_words: int) -> DataFrame:
                 out.append(edge(first, 0))
             records = held + records
             out += [(*span, part, None, None, None, None, None) for span in compare(records, min_words)]
-            # The last run of one row, and the record before it, go on.
-            held = records[-1:]
-            if len(records) > 1:
-                held = records[-2:] if records[-2][1] != records[-1][1] else records[-1:]
+            # The last record goes on, and the one before the run of its row.
+            start = len(records) - 1
+            while start and records[start - 1][:2] == records[-1][:2]:
+                start -= 1
+            held = [*records[max(0, start - 1) : start], records[-1]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v, t) for v, t in zip(zip(*out, strict=True), _KINDS, strict=True)], names=_NAMES
             ) if out else pa.RecordBatch.from_arrays([pa.array([], t) for t in _KINDS], names=_NAMES)
