@@ -285,6 +285,37 @@ def test_network_learns_from_both_sides(spark):
     assert abs(total - 1) < 1e-3
 
 
+@pytest.mark.parametrize("local", [0, 3, 1 << 18])
+def test_words_that_share_a_number_have_their_own_counts(spark, monkeypatch, local):
+    """With the network's part taken away, a rare word has its count's part of its number."""
+    monkeypatch.setattr(lm_scoring, "LOCAL", local)
+    texts = [" ".join(f"w{k}" for k in range(1500) for _ in range(1 + (k < 1000) + (k % 5 == 0)))] * 3
+    train = spark.createDataFrame([(t,) for t in texts], "text string")
+    named, flat, shares = lm_scoring.trained(train)
+    every = [f"w{k}" for k in range(1500)] + ["garbage"]
+    rows = spark.createDataFrame([*enumerate(every), (0, every[0])], "doc_id long, text string")
+    got = {r.doc_id: r.log_prob for r in lm_scoring.scored(rows, named, flat, shares).collect()}
+    counts = Counter(" ".join(texts).split())
+    import pyarrow as pa
+    numbers, totals, own = lm_scoring.Numbers(named), Counter(), {}
+    number = {}
+    for k, (_, _, words, around) in enumerate(next(lm_scoring.windows(pa.array([w]), numbers)) for w in every):
+        number[k], own[k] = int(words[0]), lm_scoring.log_probabilities(lm_scoring.split(flat), words, around)[0]
+        totals[number[k]] += counts[every[k]]
+    assert sum(n >= lm_scoring.VOCABULARY - 64 for n in number.values()) == 1501 - 960
+    for k, word in enumerate(every):
+        shared = number[k] >= lm_scoring.VOCABULARY - 64
+        part = np.log((counts[word] or 1) / (totals[number[k]] + 1)) if shared else 0
+        assert abs(got[k] - own[k] - part) < 1e-4
+    assert lm_scoring.scored(rows, named, flat, shares).count() == len(every) + 1
+
+
+def test_vocabulary_follows_the_counts(spark):
+    counts = spark.range(5000).selectExpr("xxhash64(id) as hash", "if(id < 4500, 70L, 2L) as n")
+    named, totals, _ = lm_scoring._vocabulary(counts)
+    assert len(named) == 64 * 64 - 64 and totals.sum() == 4500 * 70 + 500 * 2
+
+
 def test_words_counted(documents):
     got = lm_scoring.word_counts(documents).agg(F.count("*"), F.sum("n")).first()
     words = Counter(re.sub("[A-Z]", lambda m: m[0].lower(), w) for r in documents.collect() for w in WORD.findall(r.text or ""))

@@ -3,12 +3,16 @@
 Words are numbered: the most frequent ones each have a number, all others
 share some by hash. The network sums one vector for each of the four words
 around the hidden one, and predicts the word's group and then its place in
-the group. Its summed log-probabilities score a document.
+the group. A word that shares its number has the part of the number's
+probability that it has of the number's count. The summed log-probabilities
+score a document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +23,15 @@ from weftline.llm.words import NOT_SPACE, find_words, hash_words, pieces, text_b
 from weftline.llm.workers import map_batches
 from weftline.session import materialize
 
-GROUPS, PLACES = 32, 32
-VOCABULARY = GROUPS * PLACES
-#: The rest of the vocabulary are numbers that infrequent words share.
-NAMED = VOCABULARY - 64
+#: Groups (and places in each) of a network, the smallest first; the vocabulary is their square.
+SIZES = (32, 64, 128)
+VOCABULARY = SIZES[0] ** 2
+#: Numbers, the last of a vocabulary, that words without one of their own share.
+SHARED = 64
+#: The network grows as long as every word that gets a number occurs so often.
+ENOUGH = 64
+#: Words without a number of their own whose counts each task holds; those of all others are joined.
+LOCAL = 1 << 18
 WIDTH = 16
 OFFSETS = (-2, -1, 1, 2)
 #: Each document trains in one round; after a round the tasks' networks are averaged.
@@ -33,21 +42,26 @@ _COUNT_BYTES = 1 << 24
 _SLICE, _SALTS = 16_384, 64
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
-_SHAPES = {
-    "context": (len(OFFSETS), VOCABULARY + 1, WIDTH),
-    "hidden": (WIDTH,),
-    "group": (WIDTH, GROUPS),
-    "group_bias": (GROUPS,),
-    "place": (GROUPS, WIDTH, PLACES),
-    "place_bias": (GROUPS, PLACES),
-}
-PARAMETERS = sum(int(np.prod(shape)) for shape in _SHAPES.values())
+
+def _shapes(groups: int) -> dict[str, tuple[int, ...]]:
+    return {
+        "context": (len(OFFSETS), groups * groups + 1, WIDTH),
+        "hidden": (WIDTH,),
+        "group": (WIDTH, groups),
+        "group_bias": (groups,),
+        "place": (groups, WIDTH, groups),
+        "place_bias": (groups, groups),
+    }
+
+
+#: Groups of a network by its number of parameters.
+_GROUPS = {sum(int(np.prod(shape)) for shape in _shapes(groups).values()): groups for groups in SIZES}
 
 
 def split(flat: np.ndarray) -> dict[str, np.ndarray]:
     """Views of ``flat`` by the network's parts."""
     out, at = {}, 0
-    for name, shape in _SHAPES.items():
+    for name, shape in _shapes(_GROUPS[len(flat)]).items():
         size = int(np.prod(shape))
         out[name] = flat[at : at + size].reshape(shape)
         at += size
@@ -56,13 +70,14 @@ def split(flat: np.ndarray) -> dict[str, np.ndarray]:
 
 def initial(counts: np.ndarray) -> np.ndarray:
     """A network that gives each word its frequency, whatever stands around it."""
-    flat = np.zeros(PARAMETERS, np.float32)
+    groups = isqrt(len(counts))
+    flat = np.zeros(next(size for size, held in _GROUPS.items() if held == groups), np.float32)
     parts = split(flat)
     draw = np.random.default_rng(11)
     parts["context"][:] = draw.normal(0, 0.1, parts["context"].shape)
     parts["group"][:] = draw.normal(0, 0.1, parts["group"].shape)
     parts["place"][:] = draw.normal(0, 0.1, parts["place"].shape)
-    table = (counts.astype(float) + 1).reshape(PLACES, GROUPS).T  # number = place * GROUPS + group
+    table = (counts.astype(float) + 1).reshape(groups, groups).T  # number = place * groups + group
     parts["group_bias"][:] = np.log(table.sum(1) / table.sum())
     parts["place_bias"][:] = np.log(table / table.sum(1, keepdims=True))
     return flat
@@ -72,38 +87,39 @@ class Numbers:
     """Word hashes to numbers: ``named`` are the hashes of the most frequent words, in order."""
 
     def __init__(self, named: np.ndarray) -> None:
-        self.named = named
-        for shift in range(0, 44):  # until no two frequent words meet
-            spots = (named >> np.uint64(shift)) & np.uint64(0xFFFFF)
-            if len(np.unique(spots)) == len(named):
-                break
-        else:
-            raise ValueError("the frequent words' hashes meet")
-        self.shift = np.uint64(shift)
-        self.table = np.zeros(1 << 20, np.int16)
-        self.table[spots] = np.arange(len(named))
+        self.vocabulary = next(groups**2 for groups in SIZES if groups**2 - SHARED >= len(named))
+        self.first_shared = self.vocabulary - SHARED
+        self.order = np.argsort(named).astype(np.int16)
+        self.named = named[self.order]
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        shared = (NAMED + (hashes >> np.uint64(58)).astype(np.int64)).astype(np.int16)
+        shared = (self.first_shared + (hashes >> np.uint64(58)).astype(np.int64)).astype(np.int16)
         if not len(self.named):
             return shared
-        spot = self.table[(hashes >> self.shift) & np.uint64(0xFFFFF)]
-        return np.where(self.named[spot] == hashes, spot, shared)
+        spot = np.minimum(np.searchsorted(self.named, hashes), len(self.named) - 1)
+        return np.where(self.named[spot] == hashes, self.order[spot], shared)
 
 
-def windows(column: pa.Array, numbers: Numbers) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each piece of a text column: its first row, the words' rows, their numbers and the numbers around them."""
+def _numbered(column: pa.Array, numbers: Numbers) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """What ``windows`` gives, and the words' hashes."""
     body, offsets = text_bytes(column)
     for low, high in pieces(offsets):
         part, at = _LOWER[body[offsets[low] : offsets[high]]], offsets[low : high + 1] - offsets[low]
         starts, ends, first = find_words(part, at, NOT_SPACE)
-        words = numbers(hash_words(part, starts, ends))
+        hashes = hash_words(part, starts, ends)
+        words = numbers(hashes)
         owner = np.repeat(np.arange(high - low), np.diff(first))
         spots = np.arange(len(words)) + 2 * (owner + 1)
-        padded = np.full(len(words) + 2 * (high - low + 1), VOCABULARY, np.int16)  # the number behind the last one: no word
+        padded = np.full(len(words) + 2 * (high - low + 1), numbers.vocabulary, np.int16)  # the number behind the last one: no word
         padded[spots] = words
         around = np.stack([padded[spots + o] for o in OFFSETS])
-        yield low, owner, words, around
+        yield low, owner, words, around, hashes
+
+
+def windows(column: pa.Array, numbers: Numbers) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each piece of a text column: its first row, the words' rows, their numbers and the numbers around them."""
+    for found in _numbered(column, numbers):
+        yield found[:4]
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -124,14 +140,15 @@ def _hidden(net: dict[str, np.ndarray], around: np.ndarray) -> np.ndarray:
 def log_probabilities(net: dict[str, np.ndarray], words: np.ndarray, around: np.ndarray) -> np.ndarray:
     """Log-probability of each word given the words around it."""
     out = np.empty(len(words), np.float64)
+    groups = len(net["group_bias"])
     for low in range(0, len(words), BATCH):
         word = words[low : low + BATCH]
         hidden = _hidden(net, around[:, low : low + BATCH])
-        group, place = word % GROUPS, word // GROUPS
+        group, place = word % groups, word // groups
         first = _softmax(hidden @ net["group"] + net["group_bias"])
         chance = first[np.arange(len(word)), group].astype(np.float64)
         order = np.argsort(group.astype(np.uint8), kind="stable")
-        ends = np.cumsum(np.bincount(group, minlength=GROUPS))
+        ends = np.cumsum(np.bincount(group, minlength=groups))
         begin = 0
         for g, end in enumerate(ends.tolist()):
             if end > begin:
@@ -149,23 +166,24 @@ class Trainer:
     def __init__(self, flat: np.ndarray) -> None:
         self.flat = flat.copy()
         self.net = split(self.flat)
-        self.slope = np.zeros(PARAMETERS, np.float32)
+        self.slope = np.zeros(len(flat), np.float32)
         self.grad = split(self.slope)
-        self.seen = np.full(PARAMETERS, 1e-4, np.float32)
+        self.seen = np.full(len(flat), 1e-4, np.float32)
         self.words = 0
 
     def step(self, word: np.ndarray, around: np.ndarray) -> None:
         net, grad, n = self.net, self.grad, len(word)
+        groups = len(net["group_bias"])
         self.slope[:] = 0
         hidden = _hidden(net, around)
-        group, place = word % GROUPS, word // GROUPS
+        group, place = word % groups, word // groups
         first = _softmax(hidden @ net["group"] + net["group_bias"])
         first[np.arange(n), group] -= 1
         grad["group"][:] = hidden.T @ first
         grad["group_bias"][:] = first.sum(0)
         back = first @ net["group"].T
         order = np.argsort(group.astype(np.uint8), kind="stable")
-        ends = np.cumsum(np.bincount(group, minlength=GROUPS))
+        ends = np.cumsum(np.bincount(group, minlength=groups))
         begin = 0
         for g, end in enumerate(ends.tolist()):
             if end > begin:
@@ -182,7 +200,7 @@ class Trainer:
         flat, columns = back.ravel(), np.arange(WIDTH)
         for k in range(len(OFFSETS)):
             spots = (around[k].astype(np.int64)[:, None] * WIDTH + columns).ravel()
-            grad["context"][k] = np.bincount(spots, flat, (VOCABULARY + 1) * WIDTH).reshape(VOCABULARY + 1, WIDTH)
+            grad["context"][k] = np.bincount(spots, flat, grad["context"][k].size).reshape(-1, WIDTH)
         self.slope /= n
         self.seen += self.slope * self.slope
         self.flat -= RATE * self.slope / np.sqrt(self.seen)
@@ -242,28 +260,56 @@ def _averaged(parts: DataFrame) -> np.ndarray | None:
     return np.concatenate([np.frombuffer(r["values"], np.float64) for r in rows]).astype(np.float32)
 
 
-def trained(documents: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The frequent words' hashes, the network, and the logarithm of how many words share each number.
+class Shares(NamedTuple):
+    """What part of its number's probability a word without a number of its own has.
+
+    ``totals`` are the logarithms of how often each shared number occurs, and
+    once more for all words never seen; ``local`` and ``logs`` are the most
+    frequent of the words and the logarithms of their counts, ``counts`` (hash,
+    n) the table of all words.
+    """
+
+    totals: np.ndarray
+    local: np.ndarray
+    logs: np.ndarray
+    counts: DataFrame
+
+
+def _vocabulary(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, Shares]:
+    """The named words' hashes, the count of each number, and the shares of all others, by the counts of all words."""
+    by_count = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect()  # a row for each count that occurs
+    times, words = np.array([r["n"] for r in by_count], np.int64), np.cumsum([r["words"] for r in by_count])
+    often = int(words[times >= ENOUGH].max(initial=0))
+    groups = next((g for g in reversed(SIZES) if often >= g * g - SHARED), SIZES[0])
+    most = groups * groups - SHARED
+    least = int(times[min(np.searchsorted(words, most), len(times) - 1)]) if len(times) else 0
+    top = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "hash").limit(most).toArrow()  # the vocabulary
+    named = top.column("hash").to_numpy().view(np.uint64)
+    totals = np.zeros(groups * groups, np.int64)
+    totals[: len(named)] = top.column("n").to_numpy()
+    parts = counts.groupBy(F.shiftrightunsigned("hash", 58).alias("part")).agg(F.sum("n").alias("n")).collect()  # 64 rows
+    for r in parts:
+        totals[most + r["part"]] = r["n"]
+    np.subtract.at(totals, most + (named >> np.uint64(58)).astype(np.int64), totals[: len(named)])
+    fits = times[(words <= LOCAL + len(named)) & (times > 1)]  # a word that occurs once has a logarithm of 0
+    near = counts.filter(F.col("n") >= (int(fits.min()) if len(fits) else 1 << 62)).toArrow()  # LOCAL and the named ones at most
+    local = near.column("hash").to_numpy().view(np.uint64)
+    order = np.argsort(local)
+    logs = np.log(near.column("n").to_numpy()[order].astype(float))
+    return named, totals, Shares(np.log(totals[most:] + 1.0), local[order], logs, counts)
+
+
+def trained(documents: DataFrame) -> tuple[np.ndarray, np.ndarray, Shares]:
+    """The frequent words' hashes, the network, and the shares of words that have no number of their own.
 
     All are learnt from every document of the column text.
 
-    Word counts of the whole corpus choose the vocabulary and the first
-    network. Each document trains in one of ROUNDS rounds; a task starts from
-    the last network, and the tasks' networks are averaged by their words.
+    Word counts of the whole corpus choose the vocabulary, its size and the
+    first network. Each document trains in one of ROUNDS rounds; a task starts
+    from the last network, and the tasks' networks are averaged by their words.
     """
     spark = documents.sparkSession
-    counts = materialize(word_counts(documents), "word-counts")
-    top = counts.orderBy(F.desc("n"), "hash").limit(NAMED).collect()  # the vocabulary, of fixed size
-    named = np.array([r["hash"] for r in top], np.int64).view(np.uint64)
-    totals = np.zeros(VOCABULARY, np.int64)
-    totals[: len(top)] = [r["n"] for r in top]
-    everything = counts.agg(F.sum("n")).first()[0] or 0
-    totals[NAMED:] = max(0, everything - totals.sum()) // (VOCABULARY - NAMED)
-    sharing = np.ones(VOCABULARY)
-    for r in counts.groupBy(F.shiftrightunsigned("hash", 58).alias("part")).agg(F.count("*").alias("n")).collect():  # 64 rows
-        sharing[NAMED + r["part"]] += r["n"]  # and one for all words never seen
-    for part in (named >> np.uint64(58)).astype(int):
-        sharing[NAMED + part] -= 1
+    named, totals, shares = _vocabulary(materialize(word_counts(documents), "word-counts"))
     flat = initial(totals)
     for turn in range(ROUNDS):
         held = spark.sparkContext.broadcast((named, flat))  # of fixed size
@@ -285,7 +331,7 @@ def trained(documents: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 trainer.step(rest_words, rest_around)
             if trainer.words:
                 salt = TaskContext.get().partitionId() % _SALTS
-                parts = [trainer.flat[k : k + _SLICE].astype(np.float64).tobytes() for k in range(0, PARAMETERS, _SLICE)]
+                parts = [trainer.flat[k : k + _SLICE].astype(np.float64).tobytes() for k in range(0, len(trainer.flat), _SLICE)]
                 n = len(parts)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -301,33 +347,66 @@ def trained(documents: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         parts = map_batches(share, run, "slice int, salt int, weight double, values binary")
         now = _averaged(parts)
         flat = flat if now is None else now
-    return named, flat, np.log(sharing)
+    return named, flat, shares
+
+
+_FOUND = "row long, hash long, times int, doc_id long, n_tokens long, log_prob double"
 
 
-def scored(documents: DataFrame, named: np.ndarray, flat: np.ndarray, sharing: np.ndarray) -> DataFrame:
-    """doc_id, n_tokens, log_prob (summed) and mean_log_prob of every row; words that share a number are equally likely.
+def scored(documents: DataFrame, named: np.ndarray, flat: np.ndarray, shares: Shares) -> DataFrame:
+    """doc_id, n_tokens, log_prob (summed) and mean_log_prob of every row.
 
-    A null text, or one without words, has no tokens, a sum of 0 and a null
-    mean; repeated rows score alike.
+    A word that shares its number has its part of the number's count; all
+    words never seen together count as one. A null text, or one without words,
+    has no tokens, a sum of 0 and a null mean; repeated rows score alike.
     """
-    held = documents.sparkSession.sparkContext.broadcast((named, flat, sharing))  # of fixed size
+    held = documents.sparkSession.sparkContext.broadcast((named, flat, *shares[:3]))  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, values, shares = held.value
+        words, values, totals, local, logs = held.value
         numbers, net = Numbers(words), split(values)
         for batch in batches:
-            counts, sums = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for low, owner, word, around in windows(batch.column(1), numbers):
-                found = log_probabilities(net, word, around) - shares[word]
-                counts += np.bincount(owner + low, minlength=batch.num_rows)
-                sums += np.bincount(owner + low, found, batch.num_rows)
+            rows, n = batch.column(0).to_numpy(), batch.num_rows
+            tokens, sums = np.zeros(n, np.int64), np.zeros(n)
+            for low, owner, word, around, hashes in _numbered(batch.column(2), numbers):
+                found = log_probabilities(net, word, around)
+                shared = np.flatnonzero(word >= numbers.first_shared)
+                found[shared] -= totals[word[shared] - numbers.first_shared]
+                far = shared
+                if len(local):
+                    spot = np.minimum(np.searchsorted(local, hashes[shared]), len(local) - 1)
+                    near = local[spot] == hashes[shared]
+                    found[shared[near]] += logs[spot[near]]
+                    far = shared[~near]
+                tokens += np.bincount(owner + low, minlength=n)
+                sums += np.bincount(owner + low, found, n)
+                if len(far):  # what these words add is joined
+                    size = len(far)
+                    columns = [pa.array(rows[low + owner[far]]), pa.array(hashes[far].view(np.int64)), pa.array(np.ones(size, np.int32))]
+                    columns += [pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.float64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["row", "hash", "times", "doc_id", "n_tokens", "log_prob"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts), pa.array(sums)], names=["doc_id", "n_tokens", "log_prob"]
+                [batch.column(0), batch.column(0), pa.array(np.zeros(n, np.int32)), batch.column(1), pa.array(tokens), pa.array(sums)],
+                names=["row", "hash", "times", "doc_id", "n_tokens", "log_prob"],
             )
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = map_batches(rows, run, "doc_id long, n_tokens long, log_prob double")
-    return found.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
+    doc = F.col("doc_id").cast("long")
+    row = F.xxhash64(F.coalesce(doc, F.lit(-1)), F.coalesce("text", F.lit("")))
+    found = map_batches(documents.select(row.alias("row"), doc.alias("doc_id"), "text"), run, _FOUND)
+    joined = found.join(shares.counts.filter("n > 1"), "hash", "left")  # a document's own row adds nothing, whatever it meets
+    gain = F.sum(F.col("times") * F.log(F.coalesce("n", F.lit(1)).cast("double")))
+    one = joined.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
+        F.count("n_tokens").alias("_copies"),
+        F.sum("n_tokens").alias("n_tokens"),
+        (F.coalesce(F.sum("log_prob"), F.lit(0.0)) + F.coalesce(gain, F.lit(0.0))).alias("log_prob"),
+    )
+    each = one.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(
+        "doc_id",
+        F.expr("n_tokens div _copies").alias("n_tokens"),
+        (F.col("log_prob") / F.col("_copies")).alias("log_prob"),
+    )
+    return each.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
 
 
 def op2_pseudo_likelihood(spark, sf_dir: str) -> DataFrame:
