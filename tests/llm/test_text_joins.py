@@ -169,3 +169,28 @@ def test_later_copies_go(spark):
         assert passages == [(20, 80)]
         text = table.filter(F.col("doc_id") == doc).first().text
         assert suffix_dedup.without_words(text, passages) == f"{prose(10 + doc, 20)} {prose(20 + doc, 20)}"
+
+
+@pytest.mark.parametrize("size", [50, 52, 60, 70, 83])
+def test_a_tail_that_others_hold_hides_no_passage(spark, size):
+    """Ten rows share only the tail of a passage that two share whole, with 25 words of its head."""
+    texts = []
+    for k in range(8):
+        whole = prose(50 + k, size)
+        tail = " ".join(whole.split()[25:])
+        texts += [f"{prose(1000 + 2 * k + j, 30)} {whole} {prose(2000 + 2 * k + j, 30)}" for j in range(2)]
+        texts += [f"{prose(3000 + 10 * k + j, 40)} {tail} {prose(4000 + 10 * k + j, 40)}" for j in range(10)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = suffix_dedup.document_rows(table)
+    got = {r.row: {k for p in r.passages for k in range(p["first"], p["last"])} for r in suffix_dedup.merged(suffix_dedup.repeats(rows)).collect()}
+    assert got == brute_repeats([(r.row, r.text) for r in rows.collect()])
+
+
+def test_window_hashes():
+    import numpy as np
+
+    from weftline.llm.words import hash_runs
+
+    words = np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64)
+    for k in (1, 8, 50, 500, 501):
+        assert (suffix_dedup.window_hashes(words, k) == hash_runs(words, k)).all()

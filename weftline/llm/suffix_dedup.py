@@ -1,10 +1,11 @@
 """Repeated passages by a sparse suffix array.
 
 Suffixes are kept at minimiser positions only: of every ``min_words - gram + 1``
-consecutive word runs the one with the smallest hash. Equal passages of
-``min_words`` words therefore keep a suffix at the same place. The kept suffixes
-are sorted by range over all partitions, neighbours are compared, and a match is
-extended to both sides word by word.
+consecutive word runs the one with the smallest hash, the anchor of the window
+of ``min_words`` words around them. Equal windows have equal anchors, so only
+the windows of anchors that several rows share are looked at. Equal windows are
+one class, whoever stands between their rows in any order, and every member of
+a class is known to share the passage and who holds it first.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.words import NOT_SPACE, find_words, hash_runs, hash_words, pieces, text_bytes
+from weftline.llm.words import _STEP, NOT_SPACE, _mixed, find_words, hash_runs, hash_words, pieces, text_bytes
 from weftline.llm.workers import map_batches
 from weftline.session import materialize
 
@@ -26,11 +27,11 @@ MIN_WORDS, GRAM = 50, 16
 _SCOPE = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def minimisers(runs: np.ndarray, whole: np.ndarray, width: int) -> np.ndarray:
-    """Positions that hold the smallest of ``width`` consecutive run hashes somewhere; runs that are not ``whole`` break the windows."""
+def windows(runs: np.ndarray, whole: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows of ``width`` consecutive run hashes, and where each has its smallest; runs that are not ``whole`` break windows."""
     n = len(runs)
     if n < width:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     bits = np.uint64(max(20, n.bit_length()))
     place = np.arange(n, dtype=np.uint64)
     order = runs >> bits << bits | place
@@ -41,220 +42,166 @@ def minimisers(runs: np.ndarray, whole: np.ndarray, width: int) -> np.ndarray:
     behind = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].reshape(-1)
     least = np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
     broken = np.concatenate(([0], np.cumsum(~whole)))
-    least = least[broken[width:] == broken[: n - width + 1]]
-    return np.unique(least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    starts = np.flatnonzero(broken[width:] == broken[: n - width + 1])
+    return starts, (least[starts] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+
+def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """What ``hash_runs`` gives, by differences of running sums, so that the cost does not follow ``k``."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    back = np.full(len(words), pow(int(_STEP), -1, 1 << 64), np.uint64)
+    back[0] = 1
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * np.cumprod(back, dtype=np.uint64), dtype=np.uint64)))
+    forth = np.full(n, _STEP)
+    forth[0] = np.uint64(pow(int(_STEP), k - 1, 1 << 64))
+    return _mixed((sums[k:] - sums[:-k]) * np.cumprod(forth, dtype=np.uint64))
 
 
 def _anchors(rows: DataFrame, min_words: int, gram: int) -> DataFrame:
-    """key, row and pos of every kept suffix of ``rows`` (row, scope, text)."""
+    """key, row and doc of every anchor of ``rows`` (row, doc, scope, text), the first of its windows, their number and a hash of their words."""
     width = min_words - gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, scopes = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            body, offsets = text_bytes(batch.column(2))
+            scopes = batch.column(2).to_numpy().view(np.uint64)
+            body, offsets = text_bytes(batch.column(3))
             for low, high in pieces(offsets):
                 part, at = body[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
                 starts, ends, first = find_words(part, at, NOT_SPACE)
-                runs = hash_runs(hash_words(part, starts, ends), gram)
+                words = hash_words(part, starts, ends)
+                runs = hash_runs(words, gram)
                 owner = np.searchsorted(first, np.arange(len(runs)), "right") - 1
                 whole = np.arange(len(runs)) + gram <= first[owner + 1] if len(runs) else np.empty(0, bool)
-                kept = minimisers(runs, whole, width)
+                begins, kept = windows(runs, whole, width)
+                if not len(begins):
+                    continue
+                change = np.flatnonzero(np.concatenate(([True], kept[1:] != kept[:-1])))
+                number = np.diff(change, append=len(kept))
+                begin, kept = begins[change], kept[change]
                 owner = owner[kept]
+                hashes = window_hashes(words, min_words)
+                # The first and the last window hold all words of those between.
+                around = _mixed((hashes[begin] * _STEP + hashes[begin + number - 1]) * _STEP + number.astype(np.uint64))
                 keys = runs[kept] ^ (scopes[low + owner] * _SCOPE)
+                whose = pa.array(low + owner)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), pa.array(ids[low + owner]), pa.array(kept - first[owner])],
-                    names=["key", "row", "pos"],
+                    [
+                        pa.array(keys.view(np.int64)),
+                        batch.column(0).take(whose),
+                        batch.column(1).take(whose),
+                        pa.array((begin - first[owner]).astype(np.int32)),
+                        pa.array(number.astype(np.int32)),
+                        pa.array(around.view(np.int64)),
+                    ],
+                    names=["key", "row", "doc", "begin", "number", "around"],
                 )
 
-    return materialize(map_batches(rows.select("row", "scope", "text"), run, "key long, row long, pos long"), "anchors")
-
-
-_SUFFIX = "key long, row long, doc long, pos long, ahead binary, behind binary"
+    kind = "key long, row long, doc long, begin int, number int, around long"
+    return materialize(map_batches(rows.select("row", "doc", "scope", "text"), run, kind), "anchors")
 
 
-def _suffixes(rows: DataFrame, shared: DataFrame, min_words: int, gram: int) -> DataFrame:
-    """The shared suffixes with the words from their position on and those before it, nearest first, as 32-bit hashes."""
-    before = min_words - gram
+def _windows(rows: DataFrame, anchors: DataFrame, min_words: int) -> DataFrame:
+    """key, words' hash, row, doc and first word of each window of ``anchors``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, whole.num_rows, 200):
                 batch = whole.slice(low, 200)
                 body, offsets = text_bytes(batch.column(2))
-                out: list[list] = [[] for _ in range(6)]
                 for k in range(batch.num_rows):
                     part = body[offsets[k] : offsets[k + 1]]
                     starts, ends, _ = find_words(part, np.array([0, len(part)]), NOT_SPACE)
-                    words = (hash_words(part, starts, ends) >> np.uint64(32)).astype(">u4")
-                    for found in batch.column(3)[k].as_py():
-                        pos = found["pos"]
-                        out[0].append(found["key"])
-                        out[1].append(batch.column(0)[k].as_py())
-                        out[2].append(batch.column(1)[k].as_py())
-                        out[3].append(pos)
-                        out[4].append(words[pos : pos + min_words].tobytes())
-                        out[5].append(words[max(0, pos - before) : pos][::-1].tobytes())
-                        if len(out[0]) >= 5000:
-                            yield _batch(out)
-                            out = [[] for _ in range(6)]
-                yield _batch(out)
-
-    def _batch(out: list[list]) -> pa.RecordBatch:
-        kinds = [pa.int64()] * 4 + [pa.binary()] * 2
-        names = ["key", "row", "doc", "pos", "ahead", "behind"]
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=names)
-
-    places = shared.groupBy("row").agg(F.collect_list(F.struct("key", "pos")).alias("places"))  # within one text
+                    hashes = window_hashes(hash_words(part, starts, ends), min_words)
+                    places = batch.column(3)[k].values
+                    keys, begin, number = (places.field(name).to_numpy() for name in ("key", "begin", "number"))
+                    first = np.repeat(begin - np.cumsum(number) + number, number) + np.arange(number.sum())
+                    n = len(first)
+                    for at in range(0, n, 50_000):
+                        some = first[at : at + 50_000]
+                        size = len(some)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(np.repeat(keys, number)[at : at + 50_000]),
+                                pa.array(hashes[some].view(np.int64)),
+                                pa.array([batch.column(0)[k].as_py()] * size, pa.int64()),
+                                pa.array([batch.column(1)[k].as_py()] * size, pa.int64()),
+                                pa.array(some.astype(np.int32)),
+                            ],
+                            names=["key", "hash", "row", "doc", "begin"],
+                        )
+
+    places = anchors.groupBy("row").agg(F.collect_set(F.struct("key", "begin", "number")).alias("places"))  # within one text
     met = rows.join(places, "row").select("row", "doc", "text", "places")
-    return map_batches(met, run, _SUFFIX)
-
-
-def _matrix(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.array([len(v) // 4 for v in values])
-    width = max(1, int(lengths.max(initial=0)))
-    out = np.zeros((len(values), width), np.uint32)
-    for k, value in enumerate(values):
-        out[k, : lengths[k]] = np.frombuffer(value, ">u4")
-    return out, lengths
-
-
-def _common(values: list[bytes], one: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Length of the common start of ``values[one]`` and ``values[other]``."""
-    matrix, lengths = _matrix(values)
-    least = np.minimum(lengths[one], lengths[other])
-    differs = matrix[one] != matrix[other]
-    first = np.where(differs.any(1), differs.argmax(1), matrix.shape[1])
-    return np.minimum(first, least)
-
-
-def compare(records: list[tuple], min_words: int) -> list[tuple]:
-    """Matches between neighbours in ``records``, sorted (key, row, doc, pos, ahead, behind) tuples.
-
-    Each record meets the nearest earlier one of another row. A match of
-    ``min_words`` or more gives a span for either side: row, doc, first word,
-    word after the last, the other row and the other doc.
-    """
-    if len(records) < 2:
-        return []
-    key = np.array([r[0] for r in records], np.int64)
-    row = np.array([r[1] for r in records], np.int64)
-    change = np.concatenate(([True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])))
-    begin = np.maximum.accumulate(np.where(change, np.arange(len(key)), 0))
-    one = np.flatnonzero(begin > 0)
-    other = begin[one] - 1
-    same = key[one] == key[other]
-    one, other = one[same], other[same]
-    if not len(one):
-        return []
-    after = _common([r[4] for r in records], one, other)
-    ahead = _common([r[5] for r in records], one, other)
-    out = []
-    for k in np.flatnonzero(after + ahead >= min_words).tolist():
-        a, b = records[one[k]], records[other[k]]
-        left, right = int(ahead[k]), int(after[k])
-        out.append((a[1], a[2], a[3] - left, a[3] + right, b[1], b[2]))
-        out.append((b[1], b[2], b[3] - left, b[3] + right, a[1], a[2]))
-    return out
-
-
-_COMPARED = (
-    "row long, doc long, first long, last long, other_row long, other_doc long, "
-    "part int, ending int, key long, pos long, ahead binary, behind binary"
-)
-_KINDS = [pa.int64()] * 6 + [pa.int32()] * 2 + [pa.int64()] * 2 + [pa.binary()] * 2
-_NAMES = [f.split()[0] for f in _COMPARED.split(", ")]
-
-
-def _compared(suffixes: DataFrame, min_words: int) -> DataFrame:
-    """Spans of all matches between neighbours of the sorted suffixes.
-
-    Runs of the sort are compared where they lie; the first and last suffix of
-    each run meet the neighbouring runs in one more small job.
-    """
-    parts = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["key", "ahead", "row", "pos"]  # the last two split what is equal
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, held, first = TaskContext.get().partitionId(), [], None
-
-        def edge(record: tuple, ending: int) -> tuple:
-            key, row, doc, pos, ahead, behind = record
-            return (row, doc, None, None, None, None, part, ending, key, pos, ahead, behind)
-
-        for batch in batches:
-            records = list(zip(*[c.to_pylist() for c in batch.columns], strict=True))
-            if not records:
-                continue
-            out = []
-            if first is None:
-                first = records[0]
-                out.append(edge(first, 0))
-            records = held + records
-            out += [(*span, part, None, None, None, None, None) for span in compare(records, min_words)]
-            # The last record goes on, and the one before the run of its row.
-            start = len(records) - 1
-            while start and records[start - 1][:2] == records[-1][:2]:
-                start -= 1
-            held = [*records[max(0, start - 1) : start], records[-1]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, t) for v, t in zip(zip(*out, strict=True), _KINDS, strict=True)], names=_NAMES
-            ) if out else pa.RecordBatch.from_arrays([pa.array([], t) for t in _KINDS], names=_NAMES)
-        if held:
-            out = [edge(held[-1], 1)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, t) for v, t in zip(zip(*out, strict=True), _KINDS, strict=True)], names=_NAMES
-            )
-
-    ordered = suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    compared = materialize(map_batches(ordered, run, _COMPARED), "matches")
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        records = [r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
-        spans = compare([r[2:] for r in sorted(records, key=lambda r: r[:2])], min_words)
-        columns = list(zip(*spans, strict=True)) or [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns], names=_NAMES[:6])
-
-    edges = compared.filter("ending is not null").select("part", "ending", "key", "row", "doc", "pos", "ahead", "behind")
-    met = map_batches(edges.coalesce(1), across, ", ".join(_COMPARED.split(", ")[:6]))  # two rows for each partition
-    return compared.filter("ending is null").select(*_NAMES[:6]).unionByName(met)
+    return materialize(map_batches(met, run, "key long, hash long, row long, doc long, begin int"), "windows")
 
 
 def repeats(rows: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
-    """Spans (row, doc, first, last, other_row, other_doc) of passages that other rows of the same scope share.
+    """Spans (row, doc, first, last, least, most) of passages that other rows of the same scope share.
 
     ``rows`` has row (a long that tells rows apart), doc (a long to report),
     scope (a long; rows of different scopes never match) and text. Words are
-    runs of anything but ASCII white space. A span is a match between
-    neighbours in the sorted array, at least ``min_words`` words, exact on
-    both sides; long passages give several that overlap. Null and short texts
-    give none.
+    runs of anything but ASCII white space. A span has at least ``min_words``
+    words; each of its windows of ``min_words`` words has the same sharers, of
+    which ``least`` and ``most`` are the smallest and the largest (doc, row).
+    Together the spans of a row cover every shared window. Long passages give
+    several spans that overlap. Null and short texts give none.
     """
     anchors = _anchors(rows, min_words, gram)
-    ends = anchors.groupBy("key").agg(F.min("row").alias("_low"), F.max("row").alias("_high"))
+    holder = F.struct("doc", "row")
+    keys = anchors.groupBy("key").agg(
+        F.min(holder).alias("least"),
+        F.max(holder).alias("most"),
+        (F.min("around") != F.max("around")).alias("mixed"),
+    )
     # Written, so that the join meets two plain shuffles, of which Spark can split a frequent key's.
-    ends = materialize(ends.filter("_low != _high").select("key"), "shared-keys")
-    shared = anchors.join(ends, "key")
-    return _compared(_suffixes(rows, shared, min_words, gram), min_words)
+    keys = materialize(keys.filter("least.row != most.row"), "shared-keys")
+    shared = materialize(anchors.join(keys, "key"), "shared-anchors")
+    # Where the words around an anchor are the same in all rows, all its windows are.
+    alike = shared.filter("not mixed").select(
+        "row", "doc", F.col("begin").cast("long").alias("first"), (F.col("begin") + F.col("number") + min_words - 1).cast("long").alias("last"), "least", "most"
+    )
+    single = _windows(rows, shared.filter("mixed"), min_words)
+    classes = single.groupBy("key", "hash").agg(F.min(holder).alias("least"), F.max(holder).alias("most"))
+    classes = materialize(classes.filter("least.row != most.row"), "classes")
+    met = single.join(classes, ["key", "hash"]).select(
+        "row", "doc", F.col("begin").cast("long").alias("first"), (F.col("begin") + min_words).cast("long").alias("last"), "least", "most"
+    )
+    return alike.unionByName(met)
 
 
 def merged(spans: DataFrame) -> DataFrame:
-    """Per row: doc, passages (first word, word after the last; without overlap), n_repeated and the other docs, sorted."""
-    pairs = F.array_sort(F.collect_set(F.struct("first", "last")))  # within one text
-    grouped = spans.groupBy("row").agg(
-        F.min("doc").alias("doc"), pairs.alias("_spans"), F.array_sort(F.collect_set("other_doc")).alias("others")
+    """Per row: doc, passages and removed (first word, word after the last; without overlap), n_repeated, n_removed and others.
+
+    ``removed`` are the passages that a smaller (doc, row) also has; ``others``
+    the docs of the smallest and the largest other sharer of each passage, sorted.
+    """
+
+    def joined(column: str) -> Column:
+        return F.expr(
+            f"aggregate({column}, cast(array() as array<struct<first:bigint,last:bigint>>), (held, s) -> "
+            "if(size(held) > 0 and s.first <= element_at(held, -1).last, "
+            "concat(slice(held, 1, size(held) - 1), array(named_struct('first', element_at(held, -1).first, "
+            "'last', greatest(s.last, element_at(held, -1).last)))), concat(held, array(s))))"
+        )
+
+    def total(column: str) -> Column:
+        return F.expr(f"aggregate({column}, 0L, (s, p) -> s + p.last - p.first)")
+
+    span = F.struct("first", "last")
+    grouped = spans.groupBy("row").agg(  # within one text
+        F.min("doc").alias("doc"),
+        F.array_sort(F.collect_set(span)).alias("_spans"),
+        F.array_sort(F.collect_set(F.when(F.col("least.row") != F.col("row"), span))).alias("_later"),
+        F.collect_set(F.when(F.col("least.row") != F.col("row"), F.col("least.doc"))).alias("_less"),
+        F.collect_set(F.when(F.col("most.row") != F.col("row"), F.col("most.doc"))).alias("_more"),
     )
-    joined = F.expr(
-        "aggregate(_spans, cast(array() as array<struct<first:bigint,last:bigint>>), (held, s) -> "
-        "if(size(held) > 0 and s.first <= element_at(held, -1).last, "
-        "concat(slice(held, 1, size(held) - 1), array(named_struct('first', element_at(held, -1).first, "
-        "'last', greatest(s.last, element_at(held, -1).last)))), concat(held, array(s))))"
+    out = grouped.withColumns({"passages": joined("_spans"), "removed": joined("_later")})
+    others = F.array_sort(F.array_union("_less", "_more"))
+    return out.select(
+        "row", "doc", "passages", total("passages").alias("n_repeated"), others.alias("others"), "removed", total("removed").alias("n_removed")
     )
-    out = grouped.withColumn("passages", joined)
-    total = F.expr("aggregate(passages, 0L, (s, p) -> s + p.last - p.first)")
-    return out.select("row", "doc", "passages", total.alias("n_repeated"), "others")
 
 
 def document_rows(documents: DataFrame) -> DataFrame:
@@ -266,9 +213,8 @@ def document_rows(documents: DataFrame) -> DataFrame:
 
 
 def later_passages(documents: DataFrame) -> DataFrame:
-    """Per row the passages that a document with a smaller id (or the same, and a smaller row) also has."""
-    spans = repeats(document_rows(documents))
-    return merged(spans.filter("other_doc < doc or (other_doc = doc and other_row < row)"))
+    """Per row the passages that a document with a smaller id (or the same, and a smaller row) also has: all copies but the first."""
+    return merged(repeats(document_rows(documents)).filter("least.row != row"))
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -285,17 +231,18 @@ def without_words(text: str, passages: list[tuple[int, int]]) -> str:
 
 
 def op4_sparse_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    """Documents with passages of 50 words or more that other documents share, and those documents."""
+    """Documents with passages of 50 words or more that other documents share, and the passages to remove so that the first document alone keeps each."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = merged(repeats(document_rows(documents)))
-    passages = F.array_join(
-        F.transform("passages", lambda p: F.concat_ws("-", p["first"].cast("string"), p["last"].cast("string"))), ","
-    )
+
+    def listed(column: str) -> Column:
+        return F.array_join(F.transform(column, lambda p: F.concat_ws("-", p["first"].cast("string"), p["last"].cast("string"))), ",")
+
     return found.select(
         F.col("doc").alias("doc_id"),
         "n_repeated",
         F.size("passages").cast("long").alias("n_passages"),
-        passages.alias("passages"),
+        listed("passages").alias("passages"),
         F.col("others").alias("other_doc_ids"),
     )
 
