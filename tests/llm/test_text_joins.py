@@ -186,6 +186,25 @@ def test_a_tail_that_others_hold_hides_no_passage(spark, size):
     assert got == brute_repeats([(r.row, r.text) for r in rows.collect()])
 
 
+@pytest.mark.parametrize("parts", ["1", "7", "40"])
+def test_a_passage_twice_in_a_document(spark, parts):
+    """Both places count, whichever row sorts first and wherever the partitions are cut."""
+    texts = []
+    for k in range(12):
+        shared = prose(70 + k, 60)
+        twice = f"{prose(500 + k, 20)} {shared} {prose(600 + k, 25)} {shared} {prose(700 + k, 10)}"
+        texts += [twice, f"{prose(800 + k, 15)} {shared}"] if k % 2 else [f"{prose(800 + k, 15)} {shared}", twice]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        rows = suffix_dedup.document_rows(table)
+        got = {r.row: {k for p in r.passages for k in range(p["first"], p["last"])} for r in suffix_dedup.merged(suffix_dedup.repeats(rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert got == brute_repeats([(r.row, r.text) for r in rows.collect()])
+
+
 def test_window_hashes():
     import numpy as np
 
