@@ -171,6 +171,18 @@ def test_later_copies_go(spark):
         assert suffix_dedup.without_words(text, passages) == f"{prose(10 + doc, 20)} {prose(20 + doc, 20)}"
 
 
+def _later(table):
+    """Per doc the words of ``later_passages``, and of brute force over smaller ids."""
+    got = {r.doc: {k for p in r.passages for k in range(p["first"], p["last"])} for r in suffix_dedup.later_passages(table).collect()}
+    first, want = {}, {}
+    rows = sorted((r.doc_id, WORD.findall(r.text)) for r in table.collect())
+    for doc, words in rows:
+        for k in range(len(words) - 49):
+            if first.setdefault(tuple(words[k : k + 50]), doc) != doc:
+                want.setdefault(doc, set()).update(range(k, k + 50))
+    return got, want
+
+
 @pytest.mark.parametrize("size", [50, 52, 60, 70, 83])
 def test_a_tail_that_others_hold_hides_no_passage(spark, size):
     """Ten rows share only the tail of a passage that two share whole, with 25 words of its head."""
@@ -205,6 +217,18 @@ def test_a_passage_twice_in_a_document(spark, parts):
     assert got == brute_repeats([(r.row, r.text) for r in rows.collect()])
 
 
+def test_all_copies_but_the_first_go(spark, tmp_path):
+    shared = [prose(k, n) for k, n in enumerate([60, 50, 90])]
+    texts = [f"{prose(100 + k, 20)} {shared[k % 3]} {prose(200 + k, 20)}" for k in range(60)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got, want = _later(table)
+    assert got == want and len(want) == 57
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in suffix_dedup.op4_sparse_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert len(out) == 60 and {k for k, r in out.items() if r.n_removed} == set(want)
+    assert all(r.n_removed == len(want.get(k, ())) for k, r in out.items())
+
+
 def test_window_hashes():
     import numpy as np
 

@@ -244,6 +244,8 @@ def op4_sparse_suffix_dedup(spark, sf_dir: str) -> DataFrame:
         F.size("passages").cast("long").alias("n_passages"),
         listed("passages").alias("passages"),
         F.col("others").alias("other_doc_ids"),
+        "n_removed",
+        listed("removed").alias("removed"),
     )
 
 
