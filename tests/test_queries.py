@@ -47,3 +47,19 @@ def test_entry(spark):
     assert found.columns[:2] == ["change_id", "node_id"] and found.count() > 0
 
 
+
+
+@pytest.mark.parametrize("file_bytes", [10_000, 1 << 26])
+def test_text_files_are_bounded(spark, monkeypatch, file_bytes):
+    """One language is many files, none much larger than asked, and the queries answer alike."""
+    from weftline.plans import queries as registry
+    from weftline.sources import files
+
+    monkeypatch.setattr(registry._text_files, "__defaults__", (file_bytes,))
+    folder = f"{contract.SMALL}"
+    longest = max(len((r.text or "").encode()) + 1 for r in spark.read.parquet(f"{folder}/documents.parquet").collect())
+    sizes = [r.file_size for r in files.list_files(spark, registry._text_files(spark, folder), recursive=True).where("not is_directory").collect()]
+    assert max(sizes) <= max(2 * longest, 4 * file_bytes) and (len(sizes) > 20) == (file_bytes == 10_000)
+    got = {n: sorted(map(str, contract.queries()[n](spark, folder).collect())) for n in ("file_listing", "file_reading")}
+    monkeypatch.undo()
+    assert got == {n: sorted(map(str, contract.queries()[n](spark, folder).collect())) for n in got}

@@ -215,11 +215,18 @@ def _(spark, sf_dir):
     return runs.diagnosed_events(events).select("pipeline_id", "id", "level", "error_message")
 
 
-def _text_files(spark: SparkSession, sf_dir: str) -> str:
-    """All documents as text files, a folder for each language."""
+#: Bytes of a file of ``_text_files``, about.
+FILE_BYTES = 64 << 20
+
+
+def _text_files(spark: SparkSession, sf_dir: str, file_bytes: int = FILE_BYTES) -> str:
+    """All documents as text files, a folder for each language and in it one for each bucket of documents."""
     path = work_folder(spark, "files")
-    texts = C.table(spark, sf_dir, "documents").selectExpr("coalesce(lang, '') AS lang", "coalesce(text, '') AS text")
-    texts.repartition("lang").write.partitionBy("lang").text(path)
+    texts = C.table(spark, sf_dir, "documents").selectExpr("coalesce(lang, '') AS lang", "coalesce(text, '') AS text", "doc_id")
+    total = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    buckets = int(total // file_bytes) + 1
+    texts = texts.select("lang", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).alias("bucket"), "text")
+    texts.repartition(max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))), "lang", "bucket").write.partitionBy("lang", "bucket").text(path)
     return path
 
 
@@ -247,9 +254,10 @@ def _(spark, sf_dir):
       sum(strlen(text) + 1) >= 5000 AS truncated FROM documents GROUP BY lang""",
 )
 def _(spark, sf_dir):
-    """The first bytes of every file; a folder holds one."""
+    """The first bytes of every language, from those of its files."""
     found = files.read_files(spark, _text_files(spark, sf_dir), max_bytes=5000)
-    return found.select(_folder(), F.col("content_length").cast("bigint").alias("content_length"), "truncated")
+    read = F.sum("content_length").cast("bigint")
+    return found.groupBy(_folder()).agg(F.least(F.lit(5000).cast("bigint"), read).alias("content_length"), (read >= 5000).alias("truncated"))
 
 
 @query(
