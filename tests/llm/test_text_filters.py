@@ -310,6 +310,16 @@ def test_words_that_share_a_number_have_their_own_counts(spark, monkeypatch, loc
     assert lm_scoring.scored(rows, named, flat, shares).count() == len(every) + 1
 
 
+def test_files_do_not_matter(spark, documents, monkeypatch):
+    """The same documents in 1 and in 200 partitions, in many shares and rounds, give the same scores."""
+    monkeypatch.setattr(lm_scoring, "SHARE", 4000)
+    texts = documents.select("doc_id", "text")
+    models = [lm_scoring.trained(texts.repartition(n)) for n in (1, 200)]
+    assert np.abs(models[0][1] - models[1][1]).max() < 1e-3
+    got = [{r.doc_id: r.log_prob for r in lm_scoring.scored(texts, *m).collect()} for m in models]
+    assert all(abs(got[0][k] - got[1][k]) < 1e-3 * (1 + abs(got[0][k])) for k in got[0])
+
+
 def test_vocabulary_follows_the_counts(spark):
     counts = spark.range(5000).selectExpr("xxhash64(id) as hash", "if(id < 4500, 70L, 2L) as n")
     named, totals, _ = lm_scoring._vocabulary(counts)

@@ -10,18 +10,19 @@ score a document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import isqrt
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.words import NOT_SPACE, find_words, hash_words, pieces, text_bytes
 from weftline.llm.workers import map_batches
-from weftline.session import materialize
+from weftline.session import materialize, work_folder
 
 #: Groups (and places in each) of a network, the smallest first; the vocabulary is their square.
 SIZES = (32, 64, 128)
@@ -34,12 +35,14 @@ ENOUGH = 64
 LOCAL = 1 << 18
 WIDTH = 16
 OFFSETS = (-2, -1, 1, 2)
-#: Each document trains in one round; after a round the tasks' networks are averaged.
+#: Words of a training share, about. Documents are dealt to shares by hash, however the files are cut.
+SHARE = 1 << 21
+#: Rounds at least; each share trains in one round, after which the round's networks are averaged.
 ROUNDS = 2
 BATCH = 16_384
 RATE = 0.1
 _COUNT_BYTES = 1 << 24
-_SLICE, _SALTS = 16_384, 64
+_SLICE = 16_384
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
@@ -163,12 +166,12 @@ def log_probabilities(net: dict[str, np.ndarray], words: np.ndarray, around: np.
 class Trainer:
     """Stochastic gradient steps with a step size for each parameter (Adagrad)."""
 
-    def __init__(self, flat: np.ndarray) -> None:
+    def __init__(self, flat: np.ndarray, seen: np.ndarray) -> None:
         self.flat = flat.copy()
         self.net = split(self.flat)
         self.slope = np.zeros(len(flat), np.float32)
         self.grad = split(self.slope)
-        self.seen = np.full(len(flat), 1e-4, np.float32)
+        self.seen = seen.copy()
         self.words = 0
 
     def step(self, word: np.ndarray, around: np.ndarray) -> None:
@@ -240,7 +243,7 @@ def _averaged(parts: DataFrame) -> np.ndarray | None:
     """The mean of the tasks' networks (slice, salt, weight, values) by weight, in two steps, so that no task gets all."""
 
     def add(table: pa.Table) -> pa.Table:
-        values = np.array([np.frombuffer(v.as_buffer(), np.float64) for v in table.column("values")])
+        values = np.array([np.frombuffer(v.as_buffer(), np.float32) for v in table.column("values")])
         weights = table.column("weight").to_numpy()
         total = (values * weights[:, None]).sum(0) / max(1e-9, weights.sum())
         return pa.table(
@@ -248,7 +251,7 @@ def _averaged(parts: DataFrame) -> np.ndarray | None:
                 "slice": pa.array([table.column("slice")[0].as_py()], pa.int32()),
                 "salt": pa.array([0], pa.int32()),
                 "weight": pa.array([weights.sum()], pa.float64()),
-                "values": pa.array([total.tobytes()], pa.binary()),
+                "values": pa.array([total.astype(np.float32).tobytes()], pa.binary()),
             }
         )
 
@@ -257,7 +260,7 @@ def _averaged(parts: DataFrame) -> np.ndarray | None:
     rows = some.groupBy("slice").applyInArrow(add, kind).orderBy("slice").collect()  # the network, of fixed size
     if not rows:
         return None
-    return np.concatenate([np.frombuffer(r["values"], np.float64) for r in rows]).astype(np.float32)
+    return np.concatenate([np.frombuffer(r["values"], np.float32) for r in rows])
 
 
 class Shares(NamedTuple):
@@ -299,54 +302,85 @@ def _vocabulary(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, Shares]:
     return named, totals, Shares(np.log(totals[most:] + 1.0), local[order], logs, counts)
 
 
+def _learner(held: Broadcast, salts: int) -> Callable[[pa.Table], pa.Table]:
+    """Trains ``held``, a network and its step sizes, on one share (key, share, words), in the order of the keys."""
+
+    def learn(table: pa.Table) -> pa.Table:
+        table = table.sort_by("key")
+        trainer = Trainer(*held.value)
+        texts = [np.frombuffer(v.as_buffer(), np.int16) for v in table.column("words")]
+        void, gap = len(trainer.net["group_bias"]) ** 2, max(abs(o) for o in OFFSETS)
+        for at in range(0, len(texts), 5_000):
+            some = texts[at : at + 5_000]
+            sizes = np.array([len(t) for t in some])
+            spots = np.arange(sizes.sum()) + gap * (np.repeat(np.arange(len(some)), sizes) + 1)
+            word = np.concatenate(some)
+            padded = np.full(len(word) + gap * (len(some) + 1), void, np.int16)
+            padded[spots] = word
+            around = np.stack([padded[spots + o] for o in OFFSETS])
+            for low in range(0, len(word), BATCH):
+                trainer.step(word[low : low + BATCH], around[:, low : low + BATCH])
+        both = np.concatenate((trainer.flat, trainer.seen))
+        parts = [both[k : k + _SLICE].tobytes() for k in range(0, len(both), _SLICE)]
+        n, salt = len(parts), table.column("share")[0].as_py() % salts
+        return pa.table(
+            {
+                "slice": pa.array(range(n), pa.int32()),
+                "salt": pa.array([salt] * n, pa.int32()),
+                "weight": pa.array([float(trainer.words)] * n, pa.float64()),
+                "values": pa.array(parts, pa.binary()),
+            }
+        )
+
+    return learn
+
+
 def trained(documents: DataFrame) -> tuple[np.ndarray, np.ndarray, Shares]:
     """The frequent words' hashes, the network, and the shares of words that have no number of their own.
 
     All are learnt from every document of the column text.
 
     Word counts of the whole corpus choose the vocabulary, its size and the
-    first network. Each document trains in one of ROUNDS rounds; a task starts
-    from the last network, and the tasks' networks are averaged by their words.
+    first network. Documents are dealt by hash to shares of about SHARE words,
+    and the shares to rounds, as many as there are shares in a round (ROUNDS at
+    least). A share starts from the last network and its step sizes; after a
+    round both are averaged by the shares' words.
     """
     spark = documents.sparkSession
-    named, totals, shares = _vocabulary(materialize(word_counts(documents), "word-counts"))
+    counts = materialize(word_counts(documents), "word-counts")
+    named, totals, shares = _vocabulary(counts)
     flat = initial(totals)
-    for turn in range(ROUNDS):
-        held = spark.sparkContext.broadcast((named, flat))  # of fixed size
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            words, start = held.value
-            numbers, trainer = Numbers(words), Trainer(start)
-            rest_words, rest_around = np.empty(0, np.int16), np.empty((len(OFFSETS), 0), np.int16)
-            for batch in batches:
-                for _, _, word, around in windows(batch.column(0), numbers):
-                    word, around = np.concatenate((rest_words, word)), np.concatenate((rest_around, around), 1)
-                    whole = len(word) // BATCH * BATCH
-                    for low in range(0, whole, BATCH):
-                        trainer.step(word[low : low + BATCH], around[:, low : low + BATCH])
-                    rest_words, rest_around = word[whole:], around[:, whole:]
-            if len(rest_words):
-                trainer.step(rest_words, rest_around)
-            if trainer.words:
-                salt = TaskContext.get().partitionId() % _SALTS
-                parts = [trainer.flat[k : k + _SLICE].astype(np.float64).tobytes() for k in range(0, len(trainer.flat), _SLICE)]
-                n = len(parts)
+    seen = np.full(len(flat), 1e-4, np.float32)
+    words = counts.agg(F.sum("n")).first()[0] or 0
+    rounds = max(ROUNDS, isqrt(words // SHARE))
+    parallel = -(-words // (SHARE * rounds)) or 1
+    vocabulary = spark.sparkContext.broadcast(named)  # of bounded size
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Numbers(vocabulary.value)
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            for low, owner, word, _ in windows(batch.column(1), numbers):
+                ends = np.cumsum(np.bincount(owner)) if len(owner) else []
+                texts = [word[begin:end].tobytes() for begin, end in zip([0, *ends[:-1]], ends, strict=True)] if len(ends) else []
+                key = keys[low : low + len(texts)]
+                turn = key % rounds
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(range(n), pa.int32()),
-                        pa.array([salt] * n, pa.int32()),
-                        pa.array([float(trainer.words)] * n, pa.float64()),
-                        pa.array(parts, pa.binary()),
-                    ],
-                    names=["slice", "salt", "weight", "values"],
+                    [pa.array(key), pa.array(key // rounds % parallel), pa.array(texts, pa.binary()), pa.array(turn)],
+                    names=["key", "share", "words", "turn"],
                 )
 
-        share = documents.filter(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == turn).select("text")
-        parts = map_batches(share, run, "slice int, salt int, weight double, values binary")
-        now = _averaged(parts)
-        flat = flat if now is None else now
+    path = work_folder(spark, "shares")
+    dealt = documents.select(F.xxhash64(*documents.columns).alias("key"), "text")
+    kind = "key long, share long, words binary, turn long"
+    map_batches(dealt, number, kind).filter("length(words) > 0").write.partitionBy("turn").parquet(path)
+    dealt = spark.read.schema(kind).parquet(path)
+    for turn in range(rounds):
+        held = spark.sparkContext.broadcast((flat, seen))  # of bounded size
+        share = dealt.filter(F.col("turn") == turn).select("key", "share", "words").repartition(parallel, "share")
+        now = _averaged(share.groupBy("share").applyInArrow(_learner(held, isqrt(parallel)), "slice int, salt int, weight double, values binary"))
+        if now is not None:
+            flat, seen = np.split(now, 2)
     return named, flat, shares
 
 
