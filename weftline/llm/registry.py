@@ -10,8 +10,10 @@ from weftline.llm import (
     quality,
     secrets,
     sharding,
+    spelling,
     suffix_dedup,
     token_codec,
+    vector_ranges,
 )
 
 _MODULES = (
@@ -25,6 +27,8 @@ _MODULES = (
     decontaminate,
     quality,
     mixing,
+    vector_ranges,
+    spelling,
 )
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 ORACLES = {name: sql for module in _MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
