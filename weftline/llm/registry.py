@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from weftline.llm import (
+    alignment,
     decontaminate,
     html_text,
     lm_scoring,
@@ -27,6 +28,7 @@ _MODULES = (
     decontaminate,
     quality,
     mixing,
+    alignment,
     vector_ranges,
     spelling,
 )
