@@ -4,23 +4,25 @@ A row of the files holds the ids of some consecutive documents. Its payload:
 
 ====================  ==========================================================
 header                ``RANS``, version, lanes, steps, ids, blocks, table bytes
-table                 zlib of 65,536 16-bit frequencies, which sum to 65,536
+table                 zlib of the ids that occur, as steps from one to the next,
+                      and of their 16-bit frequencies, which sum to 65,536
 checkpoints           per block the first word, the crc32 of its ids and the
                       state of each lane
 words                 16-bit words of all blocks
 ====================  ==========================================================
 
 Every block of ``LANES * STEPS`` ids can be decoded alone from its checkpoint;
-all blocks of a row share the table. Numbers are little-endian.
+the last one has only the steps that its ids fill. All blocks of a row share
+the table. Numbers are little-endian.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from weftline.llm.workers import map_batches
 from weftline.session import work_folder
 
-LANES, STEPS = 32, 256
+LANES, STEPS = 32, 512
 BLOCK = LANES * STEPS
 #: A row of the files is closed when it has so many ids.
 ROW_IDS = 1 << 21
@@ -55,21 +57,13 @@ def frequencies(ids: np.ndarray) -> np.ndarray:
     return scaled.astype(np.uint32)
 
 
-def encode(ids: np.ndarray) -> bytes:
-    """A payload for ``ids`` (unsigned 16-bit). No ids give a payload without blocks."""
-    n = len(ids)
-    if n == 0:
-        return _HEADER.pack(b"RANS", 1, LANES, STEPS, 0, 0, 0)
-    blocks = -(-n // BLOCK)
-    padded = np.full(blocks * BLOCK, ids[-1], np.uint16)
-    padded[:n] = ids
-    freq = frequencies(padded)
-    begin = (np.cumsum(freq) - freq).astype(np.uint32)
-    cells = padded.reshape(blocks, STEPS, LANES)
-    state = np.full((blocks, LANES), _SCALE, np.uint32)
-    emitted = np.zeros((blocks, STEPS, LANES), bool)
-    words = np.empty((blocks, STEPS, LANES), np.uint16)
-    for step in reversed(range(STEPS)):
+def _coded(cells: np.ndarray, freq: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """States of the lanes and words of some blocks (block, step, lane), and how many words each block has."""
+    blocks, steps, lanes = cells.shape
+    state = np.full((blocks, lanes), _SCALE, np.uint32)
+    emitted = np.zeros(cells.shape, bool)
+    words = np.empty(cells.shape, np.uint16)
+    for step in reversed(range(steps)):
         now = cells[:, step]
         f = freq[now]
         full = state >= (f << np.uint32(16))
@@ -78,16 +72,41 @@ def encode(ids: np.ndarray) -> bytes:
         state = np.where(full, state >> np.uint32(16), state)
         whole = state // f
         state = (whole << np.uint32(16)) + (state - whole * f) + begin[now]
-    lengths = emitted.sum((1, 2))
-    firsts = np.cumsum(lengths) - lengths
-    table = zlib.compress(freq.astype("<u2").tobytes(), 6)
-    checkpoints = b"".join(
-        struct.pack("<QI", int(firsts[b]), zlib.crc32(padded[b * BLOCK : (b + 1) * BLOCK].astype("<u2").tobytes()))
-        + state[b].astype("<u4").tobytes()
-        for b in range(blocks)
-    )
-    head = _HEADER.pack(b"RANS", 1, LANES, STEPS, n, blocks, len(table))
-    return head + table + checkpoints + words[emitted].astype("<u2").tobytes()
+    return state, words[emitted], emitted.sum((1, 2))
+
+
+def encode(ids: np.ndarray) -> bytes:
+    """A payload for ``ids`` (unsigned 16-bit). No ids give a payload without blocks."""
+    n = len(ids)
+    if n == 0:
+        return _HEADER.pack(b"RANS", 2, LANES, STEPS, 0, 0, 0)
+    full, rest = divmod(n, BLOCK)
+    freq = frequencies(ids)
+    begin = (np.cumsum(freq) - freq).astype(np.uint32)
+    # The last block's steps end with its ids; what is open in the last step gets the most frequent id.
+    tail = np.full(-(-rest // LANES) * LANES, int(freq.argmax()), np.uint16)
+    tail[:rest] = ids[full * BLOCK :]
+    parts = [x.reshape(-1, steps, LANES) for x, steps in ((ids[: full * BLOCK], STEPS), (tail, len(tail) // LANES)) if len(x)]
+    firsts, crcs, states, words = [], [], [], []
+    before = 0
+    for cells in parts:
+        state, emitted, lengths = _coded(cells, freq, begin)
+        firsts.append(before + np.cumsum(lengths) - lengths)
+        before += len(emitted)
+        crcs.extend(zlib.crc32(block.astype("<u2").tobytes()) for block in cells)
+        states.append(state)
+        words.append(emitted)
+    points = np.empty(len(crcs), _point(LANES))
+    points["first"], points["crc"], points["state"] = np.concatenate(firsts), crcs, np.concatenate(states)
+    present = np.flatnonzero(freq)
+    table = np.concatenate([np.diff(present, prepend=0), freq[present]]).astype("<u2")
+    table = zlib.compress(table.tobytes(), 9)
+    head = _HEADER.pack(b"RANS", 2, LANES, STEPS, n, len(points), len(table))
+    return head + table + points.tobytes() + np.concatenate(words).astype("<u2").tobytes()
+
+
+def _point(lanes: int) -> np.dtype:
+    return np.dtype([("first", "<u8"), ("crc", "<u4"), ("state", "<u4", (lanes,))])
 
 
 def decode(payload: bytes, first_block: int = 0, n_blocks: int | None = None) -> np.ndarray:
@@ -96,41 +115,47 @@ def decode(payload: bytes, first_block: int = 0, n_blocks: int | None = None) ->
     Raises ValueError where a block's checksum does not hold.
     """
     magic, version, lanes, steps, n, blocks, table_bytes = _HEADER.unpack_from(payload)
-    if magic != b"RANS" or version != 1:
+    if magic != b"RANS" or version != 2:
         raise ValueError("not a token payload")
     last = blocks if n_blocks is None else min(blocks, first_block + n_blocks)
     if last <= first_block:
         return np.empty(0, np.uint16)
     at = _HEADER.size
-    freq = np.frombuffer(zlib.decompress(payload[at : at + table_bytes]), "<u2").astype(np.uint32)
+    present, found = np.frombuffer(zlib.decompress(payload[at : at + table_bytes]), "<u2").reshape(2, -1).astype(np.uint32)
+    freq = np.zeros(_SCALE, np.uint32)
+    freq[np.cumsum(present)] = found
     begin = (np.cumsum(freq) - freq).astype(np.uint32)
     symbols = np.repeat(np.arange(_SCALE, dtype=np.uint16), freq)
     # Per slot of the range: what the state is multiplied with, and what is added.
     by, plus = freq[symbols], np.arange(_SCALE, dtype=np.uint32) - begin[symbols]
     at += table_bytes
-    kind = np.dtype([("first", "<u8"), ("crc", "<u4"), ("state", "<u4", (lanes,))])
-    points = np.frombuffer(payload, kind, blocks, at)[first_block:last]
-    words = np.frombuffer(payload, "<u2", offset=at + blocks * kind.itemsize).astype(np.uint32)
+    points = np.frombuffer(payload, _point(lanes), blocks, at)
+    words = np.frombuffer(payload, "<u2", offset=at + blocks * points.itemsize).astype(np.uint32)
     words = np.append(words, np.uint32(0))
-    state, place = points["state"].astype(np.uint32), points["first"].astype(np.int64)
-    out = np.empty((last - first_block, steps, lanes), np.uint16)
-    for step in range(steps):
-        slot = state & np.uint32(0xFFFF)
-        out[:, step] = symbols[slot]
-        state = by[slot] * (state >> np.uint32(16)) + plus[slot]
-        low = state < _SCALE
-        taken = np.cumsum(low, 1)
-        word = words[np.minimum(place[:, None] + taken - 1, len(words) - 1)]
-        state = np.where(low, (state << np.uint32(16)) | word, state)
-        place += taken[:, -1]
     size = steps * lanes
-    for b, crc in enumerate(points["crc"]):
-        if zlib.crc32(out[b].astype("<u2").tobytes()) != crc:
-            raise ValueError(f"block {first_block + b} is damaged")
-    return out.reshape(-1)[: n - first_block * size]
+    tail_steps = -(-(n - (blocks - 1) * size) // lanes)
+    out = []
+    for low, high, own_steps in ((first_block, min(last, blocks - 1), steps), (max(first_block, blocks - 1), last, tail_steps)):
+        if low >= high:
+            continue
+        state, place = points["state"][low:high].astype(np.uint32), points["first"][low:high].astype(np.int64)
+        ids = np.empty((high - low, own_steps, lanes), np.uint16)
+        for step in range(own_steps):
+            slot = state & np.uint32(0xFFFF)
+            ids[:, step] = symbols[slot]
+            state = by[slot] * (state >> np.uint32(16)) + plus[slot]
+            below = state < _SCALE
+            taken = np.cumsum(below, 1)
+            word = words[np.minimum(place[:, None] + taken - 1, len(words) - 1)]
+            state = np.where(below, (state << np.uint32(16)) | word, state)
+            place += taken[:, -1]
+        for b in range(low, high):
+            if zlib.crc32(ids[b - low].astype("<u2").tobytes()) != points["crc"][b]:
+                raise ValueError(f"block {b} is damaged")
+        out.append(ids.reshape(-1))
+    return np.concatenate(out)[: n - first_block * size]
 
 
-_APART = re.compile(rb"(?<=[a-z])[.,](?=[ \n\t\r])")
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -138,10 +163,10 @@ class _Words:
     """Ids of texts by way of their words.
 
     The tokenizer cuts at white space and between letters and other signs, so
-    the ids of a text are those of its pieces between ASCII blanks, and a full
-    stop or comma after a letter may stand alone. Each worker remembers the
-    pieces it has seen. Texts that hold the start of a special token go to the
-    tokenizer whole.
+    the ids of a text are those of its pieces between ASCII blanks, and those of
+    a piece that ends with a full stop or comma after a letter are those of both.
+    Each worker remembers pieces it has seen. Texts that hold the start of a
+    special token go to the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -152,13 +177,20 @@ class _Words:
         self.known: dict[bytes, bytes] = {}
 
     def learn(self, unknown: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of pieces that are not known, and of the pieces in them."""
+        known = self.known
+        closed = [w for w in unknown if w[-1:] in (b".", b",") and w[-2:-1].isalpha()]
+        split = set(closed)
+        new = {w[:-1] for w in closed} | {w[-1:] for w in closed}
+        new = list({w for w in unknown if w not in split} | {w for w in new if w not in known})
         found = {}
-        for low in range(0, len(unknown), 4096):
-            part = unknown[low : low + 4096]
-            coded = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
+        for low in range(0, len(new), 16_384):
+            part = new[low : low + 16_384]
+            coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
             found.update((w, np.array(e.ids, np.uint16).tobytes()) for w, e in zip(part, coded, strict=True))
-        if len(self.known) < CACHE_WORDS:
-            self.known.update(found)
+        for w in closed:
+            head, end = w[:-1], w[-1:]
+            found[w] = (known[head] if head in known else found[head]) + (known[end] if end in known else found[end])
         return found
 
     def whole(self, text: bytes) -> bytes:
@@ -167,17 +199,16 @@ class _Words:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as 16-bit numbers."""
         known = self.known
-        cut = [None if b"<|" in t else _APART.sub(rb" \g<0>", t.lower()).split() for t in texts]
-        unknown = {w for words in cut if words for w in words if w not in known}
-        extra = self.learn(list(unknown)) if unknown else {}
-        out = []
-        for text, words in zip(texts, cut, strict=True):
-            if words is None:
-                out.append(self.whole(text))
-            elif extra:
-                out.append(b"".join([known.get(w) or extra.get(w, b"") for w in words]))
-            else:
-                out.append(b"".join([known[w] for w in words]))
+        cut = [None if b"<|" in t else t.lower().split() for t in texts]
+        words = set(chain.from_iterable(c for c in cut if c))
+        unknown = [w for w in words if w not in known]
+        found = self.learn(unknown) if unknown else {}
+        new = {w: ids for w, ids in found.items() if w not in known}
+        known.update(new)
+        out = [self.whole(t) if c is None else b"".join(map(known.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
+        if len(known) > CACHE_WORDS:
+            for w in new:
+                del known[w]
         return out
 
 
