@@ -63,3 +63,21 @@ def test_text_files_are_bounded(spark, monkeypatch, file_bytes):
     got = {n: sorted(map(str, contract.queries()[n](spark, folder).collect())) for n in ("file_listing", "file_reading")}
     monkeypatch.undo()
     assert got == {n: sorted(map(str, contract.queries()[n](spark, folder).collect())) for n in got}
+
+
+def test_review_cells_stay_flat():
+    """A text is one literal, however long, so that no session's first query runs out of stack."""
+    from weftline.plans import corpora
+
+    longest = max((text for _, text, _ in corpora.REVIEW_CELLS), key=len)
+    assert longest.count("\n") >= 300 and corpora.sql_text(longest).count("||") == 0
+
+
+def test_the_other_queries_stand_without_the_text_operators():
+    """Without a library that the text operators need, the registry has all others."""
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; print(len(e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, cwd=os.path.dirname(contract.__file__))
+    assert int(out.stdout) == len([n for n in contract.queries() if n != "pipeline" and not n.startswith("op")])

@@ -16,23 +16,20 @@ from pyspark.sql import functions as F
 from weftline.sources.definitions import PIPELINE_CONFIG, SETTINGS
 
 
+# Signs that stand for a quote and a line end in literals, which Spark and DuckDB escape each in their own way.
+QUOTE, LINE, LINE_END = "¤", "¶", chr(10)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def sql_text(template: str) -> str:
-    """A text with ``{name}`` column holes as a SQL expression."""
-    pieces = []
-    for piece in re.split(r"(\{\w+\}|\n|')", template):
-        if piece == "\n":
-            pieces.append("chr(10)")
-        elif piece == "'":
-            pieces.append("chr(39)")
-        elif re.fullmatch(r"\{\w+\}", piece):
-            pieces.append(f"CAST({piece[1:-1]} AS STRING)")
-        elif piece:
-            pieces.append(f"'{piece}'")
-    return " || ".join(pieces)
+    """A text with ``{name}`` column holes as a SQL expression that stays flat, however long the text is."""
+    text = f"replace(replace('{template.replace("'", QUOTE).replace(LINE_END, LINE)}', '{LINE}', chr(10)), '{QUOTE}', chr(39))"
+    for hole in sorted(set(re.findall(r"\{(\w+)\}", template))):
+        text = f"replace({text}, '{{{hole}}}', CAST({hole} AS STRING))"
+    return text
 
 
 def sql_case(key: str, texts: list[str]) -> str:
@@ -253,7 +250,8 @@ def lineage_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     few splits is spread before they are made.
     """
     base = table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS {n}" for n, e in BASE.items()])
-    return base.repartition("k")
+    # A number of its own keeps adaptive execution from joining the parts again by their small size.
+    return base.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
 
 
 def knots_sql() -> str:
