@@ -14,10 +14,13 @@ from weftline.functions.impact import SEVERITY_WEIGHTS, raised, risk_score, seve
 from weftline.functions.names import node_id
 from weftline.operators.graph import GRAPH_TTL_SECONDS, with_node_info, with_staleness
 from weftline.operators.reach import reach
+from weftline.operators.reach_sets import downstream_counts
 from weftline.operators.skew import HOT_ROWS, hot_join
 from weftline.session import materialize
 
 CHANGE_COLUMNS = ["change_id", "change_type", "table_name", "column_name", "schema_changes", "pipeline_id"]
+#: Of so many nodes one changes at least where reports are made from sets.
+FEW_SEEDS = 20
 SCHEMA_CHANGES = "array<struct<action:string,column:string,new_type:string>>"
 
 
@@ -73,6 +76,33 @@ def risk_by_seed(assets: DataFrame) -> DataFrame:
     return counts.withColumn("risk_score", score)
 
 
+def _set_counts(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """What ``severity_counts`` gives for the closure of ``seeds``, from sets of nodes and without the closure."""
+    runs = nodes.where(F.col("node_type").isin("job", "pipeline"))
+    found = downstream_counts(edges, seeds, runs, (1, 3))
+    near, far = F.col("n_1") - F.col("n_marked_1"), F.col("n_3") - F.col("n_marked_3")
+    return found.select(
+        "seed",
+        F.col("n").alias("total"),
+        F.col("n_marked_1").alias("critical"),
+        (near + F.col("n_marked_3") - F.col("n_marked_1")).alias("high"),
+        (far - near).alias("medium"),
+        (F.col("n") - F.col("n_3")).alias("low"),
+    )
+
+
+def risk_counts(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``risk_by_seed`` of everything downstream of ``seeds``; the way to ask for all nodes at once.
+
+    A severity follows from the kind of a node and from whether it is one, three
+    or more hops away, so sizes of sets are enough; no row is made for a seed and
+    a node.
+    """
+    counts = _set_counts(nodes, edges, seeds)
+    score = risk_score(weight_sum({n: F.col(n) for n in SEVERITY_WEIGHTS}), F.col("total"))
+    return counts.withColumn("risk_score", score)
+
+
 def _empty(c: str) -> Column:
     return F.coalesce(c, F.lit("")) == ""
 
@@ -235,33 +265,18 @@ def find_seeds(checked: DataFrame, nodes: DataFrame) -> DataFrame:
     return hot_join(checked.withColumn("first", first), known, "first", "left", right_total=0).drop("first")
 
 
-def analyze_impact(
-    nodes: DataFrame,
-    edges: DataFrame,
-    changes: DataFrame,
-    built_at: Column | None = None,
-    ttl_seconds: int = GRAPH_TTL_SECONDS,
-    with_paths: bool = True,
-    hot_rows: int = HOT_ROWS,
-) -> tuple[DataFrame, DataFrame]:
-    """``(reports, assets)`` for a table of proposed changes.
+def _checked(nodes: DataFrame, changes: DataFrame) -> DataFrame:
+    return materialize(find_seeds(check_changes(changes.select(*CHANGE_COLUMNS)), nodes), "changes")
 
-    Reports need no paths; without them the walk carries far less, and the
-    assets have no ``relationship_path``.
 
-    ``built_at`` tells when the graph was built (default: now); reports from a
-    graph older than ``ttl_seconds`` still answer and carry a warning.
+def _lifted() -> Column:
+    return (F.col("change_type") == "schema_change") & _has("remove")
 
-    ``changes`` has the columns of ``CHANGE_COLUMNS``; what a kind of change
-    does not need may be null. Every distinct seed is walked once, whatever
-    the number of changes to it.
-    """
-    checked = materialize(find_seeds(check_changes(changes.select(*CHANGE_COLUMNS)), nodes), "changes")
-    seeds = checked.where(F.col("seed").isNotNull()).select("seed").distinct()
-    reached = reach(edges, seeds, "down", with_paths=with_paths, hot_rows=hot_rows)
-    hits = _with_severity(reached, nodes, hot_rows)
-    counts = severity_counts(hits)
 
+def _reports(
+    checked: DataFrame, counts: DataFrame, built_at: Column | None, ttl_seconds: int, hot_rows: int
+) -> DataFrame:
+    """A report for each change; ``counts`` has a row for each seed that hits something."""
     total = F.coalesce("total", F.lit(0))
     base = {name: F.coalesce(name, F.lit(0)) for name in SEVERITY_WEIGHTS}
     removal = {
@@ -270,8 +285,7 @@ def analyze_impact(
         "medium": base["low"],
         "low": F.lit(0).cast("bigint"),
     }
-    lifted = (F.col("change_type") == "schema_change") & _has("remove")
-    chosen = {name: F.when(lifted, removal[name]).otherwise(base[name]) for name in SEVERITY_WEIGHTS}
+    chosen = {name: F.when(_lifted(), removal[name]).otherwise(base[name]) for name in SEVERITY_WEIGHTS}
     wide = hot_join(checked, counts, "seed", "left", hot_rows, right_total=0)
     reports = wide.select(
         "change_id",
@@ -283,9 +297,61 @@ def analyze_impact(
         risk_score(weight_sum(chosen), total).alias("risk_score"),
         _remediation(total).alias("remediation"),
     )
-    reports = with_staleness(reports, F.current_timestamp() if built_at is None else built_at, ttl_seconds).drop(
+    return with_staleness(reports, F.current_timestamp() if built_at is None else built_at, ttl_seconds).drop(
         "cache_age_seconds"
     )
+
+
+def impact_reports(
+    nodes: DataFrame,
+    edges: DataFrame,
+    changes: DataFrame,
+    built_at: Column | None = None,
+    ttl_seconds: int = GRAPH_TTL_SECONDS,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """The reports of ``analyze_impact`` alone.
+
+    Changes of many nodes are answered from sets of nodes, without a row for a
+    change and an asset; the walk is the cheaper way as long as fewer than one
+    node in ``FEW_SEEDS`` changes. Both give the same.
+    """
+    checked = _checked(nodes, changes)
+    seeds = materialize(checked.where(F.col("seed").isNotNull()).select("seed").distinct(), "seeds")
+    if seeds.count() * FEW_SEEDS < nodes.count():
+        counts = severity_counts(_with_severity(reach(edges, seeds, "down", hot_rows=hot_rows), nodes, hot_rows))
+    else:
+        counts = _set_counts(nodes, edges, seeds)
+    return _reports(checked, counts, built_at, ttl_seconds, hot_rows)
+
+
+def analyze_impact(
+    nodes: DataFrame,
+    edges: DataFrame,
+    changes: DataFrame,
+    built_at: Column | None = None,
+    ttl_seconds: int = GRAPH_TTL_SECONDS,
+    with_paths: bool = True,
+    hot_rows: int = HOT_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """``(reports, assets)`` for a table of proposed changes.
+
+    Reports need no paths; without them the walk carries far less, and the
+    assets have no ``relationship_path``.
+
+    ``built_at`` tells when the graph was built (default: now); reports from a
+    graph older than ``ttl_seconds`` still answer and carry a warning.
+
+    ``changes`` has the columns of ``CHANGE_COLUMNS``; what a kind of change
+    does not need may be null. Every distinct seed is walked once, whatever
+    the number of changes to it.
+    """
+    checked = _checked(nodes, changes)
+    seeds = checked.where(F.col("seed").isNotNull()).select("seed").distinct()
+    reached = reach(edges, seeds, "down", with_paths=with_paths, hot_rows=hot_rows)
+    hits = _with_severity(reached, nodes, hot_rows)
+    reports = _reports(checked, severity_counts(hits), built_at, ttl_seconds, hot_rows)
+    lifted = _lifted()
     # A seed has few changes but may have very many hits; adaptive execution
     # splits those, so nothing is counted before someone asks for the assets.
     asked = checked.where(F.col("seed").isNotNull()).select(
@@ -304,7 +370,8 @@ def analyze_impact(
     return reports, assets
 
 
-def _as_changes(df: DataFrame, kind: str) -> DataFrame:
+def as_changes(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` with the columns of ``CHANGE_COLUMNS``, all rows of one kind."""
     present = {c: F.col(c) for c in df.columns if c in CHANGE_COLUMNS}
     present["change_type"] = F.lit(kind)
     return df.select(*[present.get(c, F.lit(None).cast("string")).alias(c) for c in CHANGE_COLUMNS])
@@ -317,18 +384,18 @@ def impact_column_drop(
 
     The column is named in the answer; it does not narrow the assets.
     """
-    return analyze_impact(nodes, edges, _as_changes(drops, "column_drop"), with_paths=with_paths)
+    return analyze_impact(nodes, edges, as_changes(drops, "column_drop"), with_paths=with_paths)
 
 
 def impact_schema_change(
     nodes: DataFrame, edges: DataFrame, changes: DataFrame, with_paths: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """``changes(change_id, table_name, schema_changes)``, the last one as JSON."""
-    return analyze_impact(nodes, edges, _as_changes(changes, "schema_change"), with_paths=with_paths)
+    return analyze_impact(nodes, edges, as_changes(changes, "schema_change"), with_paths=with_paths)
 
 
 def impact_failure(
     nodes: DataFrame, edges: DataFrame, failures: DataFrame, with_paths: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """``failures(change_id, pipeline_id)``; the id may be a job's."""
-    return analyze_impact(nodes, edges, _as_changes(failures, "pipeline_failure"), with_paths=with_paths)
+    return analyze_impact(nodes, edges, as_changes(failures, "pipeline_failure"), with_paths=with_paths)

@@ -2,18 +2,20 @@
 
 All seeds advance together, one hop per round. A round joins the newest pairs
 with the edges, keeps one row per (seed, node), and drops the pairs already
-known, so cycles end. Each round is written below the shared work folder: that
-cuts the lineage, survives lost executors and gives the next join true sizes.
+known, so cycles end. Pairs already known stay in their buckets (``levels.py``).
+Each round is written below the shared work folder: that cuts the lineage and
+survives lost executors.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.operators.levels import Levels, bucketed
 from weftline.operators.skew import HOT_ROWS, hot_join
-from weftline.session import materialize, work_folder
+from weftline.session import materialize
 
 
 def _adjacency(edges: DataFrame, direction: str) -> DataFrame:
@@ -58,68 +60,140 @@ def reach(
         kind = T.LongType()
         adjacency = adjacency.select(F.xxhash64("node").alias("node"), F.xxhash64("next").alias("next"))
         seeds = seeds.select(F.xxhash64("seed").alias("seed"))
-    adjacency = materialize(adjacency, "adjacency")
+    adjacency, adjacency_name = bucketed(adjacency, "adjacency", "node")
     edge_rows = adjacency.count()
-    folder = work_folder(spark, "reach")
-
     fields = [T.StructField("seed", kind), T.StructField("node", kind)]
     if with_paths:
         fields.append(T.StructField("path", T.ArrayType(T.StringType())))
-    level_schema = T.StructType(fields)
-    all_levels = T.StructType([*fields, T.StructField("depth", T.IntegerType())])
-
-    def level(depth: int) -> str:
-        return f"{folder}/depth={depth}"
-
-    def save(df: DataFrame, depth: int) -> int:
-        """Write a round and tell its rows, counted while they are written."""
-        counted = Observation()
-        rows = df.select(*level_schema.names).observe(counted, F.count(F.lit(1)).alias("rows"))
-        rows.write.parquet(level(depth))
-        return counted.get["rows"]
+    met = Levels(spark, "reach", fields, ["seed", "node"])
 
     frontier = seeds.select("seed").distinct().withColumn("node", F.col("seed"))
     if with_paths:
         frontier = frontier.withColumn("path", F.array("seed"))
-    rows = save(frontier, 0)
+    rows = met.add(frontier, 0)
     depth = 0
     while rows and (max_depth is None or depth < max_depth):
-        frontier = spark.read.schema(level_schema).parquet(level(depth))
-        known = spark.read.schema(all_levels).parquet(folder)
-        if max_depth is not None:
-            known = known.where(F.col("depth") > 0)
-        step = hot_join(frontier, adjacency, "node", "inner", hot_rows, rows, edge_rows)
+        # In a walk of so many hops a cycle may lead back to the seed.
+        known = met.all() if max_depth is None else met.all().where(F.col("depth") > 0)
+        step = hot_join(met.level(depth), adjacency, "node", "inner", hot_rows, rows, edge_rows)
         if with_paths:
-            found = step.groupBy("seed", "next").agg(
-                F.min(F.concat("path", F.array("next"))).alias("path")
-            )
+            found = step.groupBy("seed", "next").agg(F.min(F.concat("path", F.array("next"))).alias("path"))
         else:
             found = step.select("seed", "next").distinct()
-        found = found.withColumnRenamed("next", "node")
         depth += 1
-        rows = save(found.join(known.select("seed", "node"), ["seed", "node"], "left_anti"), depth)
-    result = spark.read.schema(all_levels).parquet(folder).where(F.col("depth") > 0)
+        rows = met.add(met.fresh(found.withColumnRenamed("next", "node"), known), depth)
+    result = met.close().where(F.col("depth") > 0)
+    spark.sql(f"DROP TABLE {adjacency_name}")
     if names is not None:
         for end in ("seed", "node"):
             named = names.select(F.col("code").alias(end), F.col("name").alias(f"{end}_name"))
             result = result.join(named, end).drop(end).withColumnRenamed(f"{end}_name", end)
-    return result.select(
-        "seed", "node", "depth", *(["path"] if with_paths else [])
-    )
+    return result.select("seed", "node", "depth", *(["path"] if with_paths else []))
+
 
+#: With more asked pairs than this for each of their sources or targets, whichever are fewer, one side is searched alone.
+PAIRS_PER_END = 4
 
-def paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+
+def paths(edges: DataFrame, pairs: DataFrame, hot_rows: int = HOT_ROWS, searched: list[int] | None = None) -> DataFrame:
     """``(source, target, path)``: a shortest path for each asked pair.
 
     The path is empty where there is none or a node is unknown; from a node to
-    itself it is the node alone, as long as the graph has it.
+    itself it is the node alone, as long as the graph has it. Of several paths
+    it is the smallest, node by node from the source.
+
+    The search runs from the sources and against the edges from the targets,
+    each time on the side with fewer new pairs, and is shared by pairs with the
+    same end. A pair is done where both sides meet, and an end without open pairs
+    is searched no further. Distances are kept, paths are not: a walk from each
+    source takes the smallest next node that is one hop nearer to the target.
+    ``searched`` gets the number of new (end, node) pairs of each round.
     """
-    known = edges.select(F.col("src").alias("source")).union(edges.select("dst")).distinct()
-    reached = reach(edges, pairs.select(F.col("source").alias("seed")), with_paths=True)
-    itself = known.select("source", F.col("source").alias("target"), F.array("source").alias("path"))
-    found = reached.select(F.col("seed").alias("source"), F.col("node").alias("target"), "path").unionByName(
-        itself
-    )
-    return pairs.join(found, ["source", "target"], "left").select(
+    spark = edges.sparkSession
+    forward, forward_name = bucketed(_adjacency(edges, "down"), "adjacency", "node")
+    backward, backward_name = bucketed(_adjacency(edges, "up"), "adjacency", "node")
+    edge_rows = forward.count()
+    asked = materialize(pairs.select("source", "target").distinct(), "asked")
+    todo = asked.where("source != target")
+    ends = todo.agg(F.count(F.lit(1)), F.count_distinct("source"), F.count_distinct("target")).first()
+    text = T.StringType()
+    fields = [T.StructField("seed", text), T.StructField("node", text)]
+    sides = {
+        "source": Levels(spark, "from-source", fields, ["seed", "node"]),
+        "target": Levels(spark, "from-target", fields, ["seed", "node"]),
+    }
+    ways = {"source": forward, "target": backward}
+    depth = {"source": 0, "target": 0}
+    rows = {
+        end: sides[end].add(todo.select(F.col(end).alias("seed")).distinct().withColumn("node", F.col("seed")), 0)
+        for end in sides
+    }
+    one_sided = ends[0] > PAIRS_PER_END * min(ends[1], ends[2])
+    three = [T.StructField(c, text) for c in ("source", "target", "node")]
+    found = Levels(spark, "met", [*three, T.StructField("ahead", T.IntegerType())], ["source", "target"])
+    met, left = 0, ends[0]
+    while left and min(rows.values()):
+        end = "target" if one_sided or rows["target"] <= rows["source"] else "source"
+        side = sides[end]
+        open_pairs = todo.join(found.all().select("source", "target"), ["source", "target"], "left_anti") if met else todo
+        wanted = open_pairs.select(F.col(end).alias("seed")).distinct()
+        frontier = side.level(depth[end]).join(wanted, "seed", "left_semi")
+        step = hot_join(frontier, ways[end], "node", "inner", hot_rows, rows[end], edge_rows)
+        new = step.select("seed", F.col("next").alias("node")).distinct()
+        depth[end] += 1
+        rows[end] = side.add(side.fresh(new), depth[end])
+        if searched is not None:
+            searched.append(rows[end])
+        ahead = sides["target"].level(depth["target"]).select(F.col("seed").alias("target"), "node")
+        behind = sides["source"].level(depth["source"]).select(F.col("seed").alias("source"), "node")
+        if depth["source"]:
+            meeting = open_pairs.join(behind, "source").join(ahead, ["target", "node"])
+        else:
+            meeting = open_pairs.join(ahead.withColumnRenamed("node", "source"), ["source", "target"]).withColumn("node", F.col("source"))
+        # ``ahead`` counts the hops that are left at the meeting node.
+        length = depth["source"] + depth["target"]
+        now = found.add(meeting.select("source", "target", "node", F.lit(depth["target"]).alias("ahead")), length)
+        met += now
+        if now:
+            left -= found.level(length).select("source", "target").distinct().count()
+
+    # Before the meeting nodes only some of the nodes lead there: mark them, from the meeting nodes back to the source.
+    meetings = found.close()
+    marks = Levels(spark, "marks", three, ["source", "target", "node"])
+    steps = meetings.select("source", "target", "node", (F.col("depth") - F.col("ahead")).alias("behind"))
+    for level in range(depth["source"], 0, -1):
+        here = steps.where(F.col("behind") == level).drop("behind")
+        if level < depth["source"]:
+            before = marks.level(level + 1).select("source", "target", F.col("node").alias("next"))
+            here = here.union(
+                before.join(backward.select(F.col("node").alias("next"), F.col("next").alias("node")), "next")
+                .join(sides["source"].level(level).withColumnRenamed("seed", "source"), ["source", "node"])
+                .select("source", "target", "node")
+            )
+        marks.add(here.distinct(), level)
+
+    # The walk: as many hops as the longest path has.
+    lengths = meetings.select("source", "target", F.col("depth").alias("length"), "ahead").distinct()
+    walk = materialize(lengths.withColumn("node", F.col("source")).withColumn("path", F.array("source")), "walk")
+    longest = meetings.agg(F.max("depth")).first()[0] or 0
+    for hop in range(1, longest + 1):
+        going = walk.where(F.col("length") >= hop)
+        nexts = hot_join(going, forward, "node", "inner", hot_rows, ends[0], edge_rows).drop("node")
+        rest = F.col("length") - hop
+        by_target = sides["target"].all().select(F.col("seed").alias("target"), F.col("node").alias("next"), F.col("depth").alias("_rest"))
+        near = nexts.where(rest <= F.col("ahead")).withColumn("_rest", rest).join(by_target, ["target", "next", "_rest"]).drop("_rest")
+        if depth["source"]:
+            marked = marks.all().where(F.col("depth") == hop).select("source", "target", F.col("node").alias("next"))
+            near = near.union(nexts.where(rest > F.col("ahead")).join(marked, ["source", "target", "next"]).select(*near.columns))
+        chosen = near.groupBy("source", "target").agg(F.min("next").alias("node"), *[F.first(c).alias(c) for c in ("length", "ahead", "path")])
+        chosen = chosen.withColumn("path", F.concat("path", F.array("node"))).select(*walk.columns)
+        walk = materialize(walk.where(F.col("length") < hop).union(chosen), "walk")
+    for table in (sides["source"].name, sides["target"].name, marks.name, forward_name, backward_name):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+    itself = edges.select(F.col("src").alias("source")).union(edges.select("dst")).distinct()
+    itself = asked.where("source = target").join(itself, "source", "left_semi").select("source", "target", F.array("source").alias("path"))
+    known = walk.select("source", "target", "path").union(itself)
+    return pairs.join(known, ["source", "target"], "left").select(
         "source", "target", F.coalesce("path", F.array().cast("array<string>")).alias("path")
     )
