@@ -1,8 +1,8 @@
 """What a SQL text touches: statements, tables and columns as column expressions.
 
-Nothing here parses SQL. Comments and literals are blanked, then parentheses
-are peeled off from the inside out, one regex pass per nesting level, until
-every query is a flat text in which a clause runs from its keyword to the next.
+Nothing here parses SQL. Comments and literals are blanked, then the text is
+read once along its parentheses, which gives every query as a flat text in
+which a clause runs from its keyword to the next.
 """
 
 from __future__ import annotations
@@ -148,47 +148,80 @@ _QUERY_START = r"\s*(?:SELECT|WITH|FROM|VALUES)\b"
 _HOLE = " ~ "
 
 
+# How far before a parenthesis its own word is looked for.
+_BEFORE = 200
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often it is mentioned."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _peel(statement: Column, keep_plain: bool) -> Column:
     """The flat texts of a statement: each inner query, then what is left.
 
     With ``keep_plain`` a parenthesis that holds no query stays in its text,
     between ⟨ and ⟩; without, it goes too, and those that hold a nested join are
     handed out like queries.
+
+    The text is cut at its parentheses once and read from left to right with a
+    stack of the texts that are open; a closing parenthesis takes the innermost
+    one off and looks at it alone, so every character is matched once, at any
+    depth. A parenthesis without a partner is a sign like any other.
     """
-    opens = F.size(F.split(statement, r"\(", -1)) - 1
-    by_from = statement.rlike(rx(r"\b(?:TRIM|SUBSTR|SUBSTRING|OVERLAY)\s*\(", "i"))
-    windowed = statement.rlike(rx(r"\bOVER\s*\(", "i"))
-    start = F.struct(
-        statement.alias("text"), F.array().cast("array<string>").alias("out"), F.lit(False).alias("done")
-    )
-    inner_query = rx(rf"\((?={_QUERY_START})([^()]*)\)", "i")
-    inner_plain = rx(rf"\((?!{_QUERY_START})([^()]*)\)", "i")
-    inner_table = rx(r"\(([^()]*\b(?:FROM|JOIN)\b[^()]*)\)", "i")
-    any_inner = r"\([^()]*\)"
-
-    def once(state: Column, _: Column) -> Column:
-        text = state["text"]
-        # Whatever stood in parentheses inside is gone by now, at any depth.
-        arguments = F.regexp_replace(text, rx(r"\b(TRIM|SUBSTR|SUBSTRING|OVERLAY)\s*\(([^()]*?)\bFROM\b", "i"), "$1($2,")
-        text = F.when(by_from, arguments).otherwise(text)
-        if keep_plain:
+    nothing = F.array().cast("array<string>")
+    is_query = rx(rf"\A{_QUERY_START}", "i")
+
+    def closed(inner: Column, before: Column) -> Column:
+        """What is handed out, and what stands in the text around in place of the parenthesis."""
+        text = F.when(
+            before.rlike(rx(r"\b(?:TRIM|SUBSTR|SUBSTRING|OVERLAY)\s*\z", "i")),
+            F.regexp_replace(inner, rx(r"\A([\s\S]*?)\bFROM\b", "i"), "$1,"),
+        ).otherwise(inner)
+
+        def judged(text: Column) -> Column:
+            if not keep_plain:
+                out = F.when(text.rlike(rx(r"\b(?:FROM|JOIN)\b", "i")), F.array(text)).otherwise(nothing)
+                return F.struct(out.alias("out"), F.lit(_HOLE).alias("left"))
             # The ORDER BY of a window ends with its parenthesis, not with a clause.
-            ordered = F.regexp_replace(text, rx(r"\bOVER\s*\(([^()]*?)\bORDER\s+BY\b([^()]*)\)", "i"), "OVER ($1 ⦃ $2 ⦄)")
-            text = F.when(windowed, ordered).otherwise(text)
-            less = F.regexp_replace(text, inner_plain, "⟨$1⟩")
-            out = F.concat(state["out"], F.regexp_extract_all(less, F.lit(inner_query), 1))
-            less = F.regexp_replace(less, inner_query, _HOLE)
-        else:
-            out = F.concat(state["out"], F.regexp_extract_all(text, F.lit(inner_table), 1))
-            less = F.regexp_replace(text, any_inner, _HOLE)
-        peeled = F.struct(less.alias("text"), out.alias("out"), (~less.contains("(")).alias("done"))
-        stuck = F.struct(text.alias("text"), state["out"].alias("out"), F.lit(True).alias("done"))
-        return F.when(state["done"], state).when(text.rlike(any_inner), peeled).otherwise(stuck)
-
-    flat = F.aggregate(
-        F.sequence(F.lit(1), opens), start, once, lambda s: F.concat(s["out"], F.array(s["text"]))
-    )
-    return F.when(opens > 0, flat).otherwise(F.array(statement))
+            ordered = F.regexp_replace(text, rx(r"\A([\s\S]*?)\bORDER\s+BY\b([\s\S]*)\z", "i"), "$1 ⦃ $2 ⦄")
+            plain = F.when(before.rlike(rx(r"\bOVER\s*\z", "i")), ordered).otherwise(text)
+            return F.when(
+                text.rlike(is_query), F.struct(F.array(text).alias("out"), F.lit(_HOLE).alias("left"))
+            ).otherwise(F.struct(nothing.alias("out"), F.concat(F.lit("⟨"), plain, F.lit("⟩")).alias("left")))
+
+        return _bound(text, judged)
+
+    def read(state: Column, token: Column) -> Column:
+        open_texts, depth = state["open"], F.size(state["open"])
+        last = F.element_at(open_texts, -1)
+        grown = F.struct(
+            F.concat(F.slice(open_texts, 1, depth - 1), F.array(F.concat(last, token))).alias("open"),
+            state["out"].alias("out"),
+        )
+        deeper = F.struct(F.concat(open_texts, F.array(F.lit(""))).alias("open"), state["out"].alias("out"))
+
+        def shallower(around: Column) -> Column:
+            return _bound(
+                closed(last, F.substring(around, -_BEFORE, _BEFORE)),
+                lambda c: F.struct(
+                    F.concat(F.slice(open_texts, 1, depth - 2), F.array(F.concat(around, c["left"]))).alias("open"),
+                    F.concat(state["out"], c["out"]).alias("out"),
+                ),
+            )
+
+        return (
+            F.when(token == "(", deeper)
+            .when((token == ")") & (depth > 1), _bound(F.element_at(open_texts, -2), shallower))
+            .otherwise(grown)
+        )
+
+    # Parentheses without a letter, as long lists of values have them, need no stack.
+    short = F.regexp_replace(statement, r"\(([^()`_\p{L}]*)\)", "⟨$1⟩" if keep_plain else _HOLE)
+    tokens = F.regexp_extract_all(short, F.lit(r"[()]|[^()]+"), F.lit(0))
+    start = F.struct(F.array(F.lit("")).alias("open"), nothing.alias("out"))
+    flat = F.aggregate(tokens, start, read, lambda s: F.concat(s["out"], F.array(F.array_join(s["open"], "("))))
+    return F.when(statement.contains("("), flat).otherwise(F.array(statement))
 
 
 _FROM_ENDS = (
