@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.names import fqn, resolve_name, split_fqn
 from weftline.operators import filters, inventory
-from weftline.sources import files, reports
+from weftline.sources import files, reports, volumes
 
 
 def test_names(spark):
@@ -195,3 +195,40 @@ def test_a_listing_shows_empty_folders_and_cuts_only_the_root(spark, tmp_path):
     assert {(r.path.removeprefix(str(root)), r.is_directory) for r in below} == {
         ("/a", True), ("/a/R", True), ("/a/R/f.txt", False), ("/g.txt", False)
     }
+
+
+def test_first_bytes_of_a_file_beyond_two_gib(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    with open(tmp_path / "d" / "huge.bin", "wb") as file:
+        file.write(b"first bytes")
+        file.truncate(5 << 30)  # a hole, which takes no disk
+    (tmp_path / "d" / "small.txt").write_text("x")
+    (tmp_path / "gone").symlink_to(tmp_path / "nowhere")
+    read = {r.path.rsplit("/", 1)[1]: r for r in files.read_files(spark, str(tmp_path), 11).collect()}
+    assert (read["huge.bin"].content, read["huge.bin"].truncated, read["huge.bin"].error) == ("first bytes", True, None)
+    assert (read["small.txt"].content, read["small.txt"].truncated) == ("x", False)
+    assert read["gone"].content is None and "nowhere" in read["gone"].error or "No such file" in read["gone"].error
+    below = {r.path.rsplit("/", 1)[1]: r.file_size for r in files.list_files(spark, str(tmp_path / "d")).collect()}
+    assert below == {"huge.bin": 5 << 30, "small.txt": 1}
+    missing = files.list_files(spark, str(tmp_path / "not there")).collect()
+    assert len(missing) == 1 and "No such file" in missing[0].error
+
+
+def test_tasks_share_a_flat_folder(spark, tmp_path):
+    names = [f"f{i}.txt" for i in range(500)]
+    for name in names:
+        (tmp_path / name).write_text(name)
+    found = volumes.volume_files(spark, str(tmp_path), 3, slots=7)
+    assert found.rdd.getNumPartitions() == 7
+    assert {(r.path, bytes(r.content)) for r in found.collect()} == {(f"{tmp_path}/{n}", n[:3].encode()) for n in names}
+
+
+def test_counts_come_from_footers(spark, tmp_path):
+    for n in (0, 10, 1000):
+        spark.range(n).repartition(3).write.parquet(str(tmp_path / f"t{n}"))
+    places = {f"t{n}": str(tmp_path / f"t{n}") for n in (0, 10, 1000)}
+    found = inventory.footer_statistics(spark, places)
+    assert {r.table: r.num_records for r in found.collect()} == {"t0": 0, "t10": 10, "t1000": 1000}
+    assert found.where("size_bytes > 0").count() == 3
+    plan = inventory.footer_counts(spark, places)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PushedAggregation: [COUNT(*)]") >= 3

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.sources.volumes import volume_files
+
 MAX_BYTES = 1 << 20
 _SCHEME = r"^[A-Za-z0-9+.-]+:(?://[^/]*(?=/))?"
 
@@ -18,8 +20,24 @@ def _all_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
+def is_mounted(spark: SparkSession, path: str) -> bool:
+    """Whether a path is a folder of the machines, as a mounted volume is, and not one of a store that only Spark reads."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getScheme() == "file"
+
+
 def _children(spark: SparkSession, path: str) -> DataFrame:
     """What one folder holds, from its listing."""
+    if is_mounted(spark, path):
+        own = volume_files(spark, path, recursive=False, hidden=True)
+        return own.select(
+            F.substring_index("path", "/", -1).alias("name"),
+            "path",
+            "is_directory",
+            F.col("length").alias("file_size"),
+            F.when(~F.col("is_directory"), F.col("modified")).alias("last_modified"),
+            "error",
+        )
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") or "/")
     system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     rows = [
@@ -33,16 +51,18 @@ def _children(spark: SparkSession, path: str) -> DataFrame:
         "is_directory",
         F.when(~F.col("is_directory"), F.col("bytes")).alias("file_size"),
         F.when(~F.col("is_directory"), F.timestamp_millis("millis")).alias("last_modified"),
+        F.lit(None).cast("string").alias("error"),
     )
 
 
 def list_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """``(name, path, is_directory, file_size, last_modified)`` below ``path``.
+    """``(name, path, is_directory, file_size, last_modified, error)`` below ``path``.
 
     Contents are not read. Without ``recursive`` the folder's own listing
     answers, empty folders included, and nothing below it is visited. With it
     the whole tree is listed by Spark, and directories are those that hold a
-    file somewhere below.
+    file somewhere below. Of a mounted folder (``is_mounted``) tasks list its own
+    part, and what cannot be listed is a row with its ``error``.
     """
     if not recursive:
         return _children(spark, path)
@@ -71,7 +91,12 @@ def list_files(spark: SparkSession, path: str, recursive: bool = False) -> DataF
     )
     items = files.withColumn("is_directory", F.lit(False)).unionByName(folders)
     return items.select(
-        F.substring_index("path", "/", -1).alias("name"), "path", "is_directory", "file_size", "last_modified"
+        F.substring_index("path", "/", -1).alias("name"),
+        "path",
+        "is_directory",
+        "file_size",
+        "last_modified",
+        F.lit(None).cast("string").alias("error"),
     )
 
 
@@ -95,18 +120,21 @@ def file_contents(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Contents of every file below ``path``.
+    """``(path, encoding, content_length, truncated, content, error)`` of every file below ``path``.
 
-    A file beyond 2 GiB, which Spark cannot hold as one value, is a row
-    without content, marked ``truncated``.
+    Of a mounted folder's files the first ``max_bytes`` are read and no more,
+    whatever their size, and a file that cannot be read is a row with its
+    ``error``. Elsewhere Spark reads whole files; one beyond 2 GiB, which it
+    cannot hold as one value, is a row without content, marked ``truncated``.
     """
+    null = F.lit(None).cast("string")
+    if is_mounted(spark, path):
+        files = volume_files(spark, path, max_bytes).where("not is_directory")
+        read = file_contents(files.where("content is not null"), max_bytes).withColumn("error", null)
+        unread = files.where("content is null").select("path", null, F.lit(0), F.lit(False), null, "error")
+        return read.union(unread)
     files = _all_files(spark, path)
     fits = F.col("length") < (1 << 31) - 16
-    large = files.where(~fits).select(
-        "path",
-        F.lit(None).cast("string").alias("encoding"),
-        F.lit(0).alias("content_length"),
-        F.lit(True).alias("truncated"),
-        F.lit(None).cast("string").alias("content"),
-    )
-    return file_contents(files.where(fits).select("path", "content"), max_bytes).unionByName(large)
+    large = files.where(~fits).select("path", null, F.lit(0), F.lit(True), null)
+    read = file_contents(files.where(fits).select("path", "content"), max_bytes).union(large)
+    return read.withColumn("error", null)
