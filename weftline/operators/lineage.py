@@ -222,6 +222,40 @@ def all_refs(cells: DataFrame, exclude_ctes: bool = False) -> DataFrame:
     return _as_rows(work, ["path", "cell_index", "item_pos"], refs)
 
 
+def notebook_ref_array(source: Column, language: Column) -> Column:
+    """What one notebook mentions, ``array<struct<table, fqn, reference_type>>``, worked out inside its row.
+
+    The references of ``all_refs``, each once, in no order.
+    """
+    nothing = F.array().cast(
+        "array<struct<name:struct<catalog:string,schema:string,table:string>,alias:string,reference_type:string>>"
+    )
+
+    def of_cell(cell: Column) -> Column:
+        statements = F.flatten(
+            F.transform(sql_texts(cell["cell_type"], cell["content"]), sqltext.split_statements)
+        )
+        return F.concat(
+            F.when(cell["cell_type"] == "python", code_ref_array(cell["content"])).otherwise(nothing),
+            F.flatten(F.transform(statements, lambda s: _sql_refs(s, "", "", False))),
+        )
+
+    def classified(cell: Column) -> Column:
+        parts = scan_class(cell["content"], language)
+        return F.struct(parts["cell_type"].alias("cell_type"), parts["content"].alias("content"))
+
+    cells = F.transform(cell_texts(source), classified)
+    refs = F.transform(
+        F.flatten(F.transform(cells, of_cell)),
+        lambda r: F.struct(
+            r["name"]["table"].alias("table"),
+            compose_fqn(r["name"]["catalog"], r["name"]["schema"], r["name"]["table"]).alias("fqn"),
+            r["reference_type"].alias("reference_type"),
+        ),
+    )
+    return F.array_distinct(F.filter(refs, lambda r: r["fqn"] != ""))
+
+
 def dedup_refs(refs: DataFrame) -> DataFrame:
     """One row per notebook, table and direction; the first occurrence wins."""
     order = [c for c in ("cell_index", "item_pos", "ref_pos") if c in refs.columns]

@@ -29,11 +29,14 @@ def stream_failures(
     window: str = "1 day",
     watermark: str = "1 hour",
     trigger: dict | None = None,
+    final: bool = False,
 ) -> StreamingQuery:
     """Write the counts that changed in each batch to a partition of that batch.
 
     A batch that runs again replaces its partition. Open windows show up at
-    once and not only when the watermark has passed them.
+    once and not only when the watermark has passed them; with ``final`` a
+    window shows up when it has, once, and is never changed again. An event whose
+    window was closed before it came is in no count; ``late_counts`` tells how many were.
     """
 
     def save(changed: DataFrame, batch_id: int) -> None:
@@ -41,7 +44,7 @@ def stream_failures(
 
     return (
         failure_counts(events, window, watermark)
-        .writeStream.outputMode("update")
+        .writeStream.outputMode("append" if final else "update")
         .foreachBatch(save)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
@@ -57,3 +60,18 @@ def current_failures(spark: SparkSession, store: str) -> DataFrame:
         .groupBy("window_start", "probable_cause")
         .agg(F.max_by("n", "batch_id").alias("n"))
     )
+
+
+def late_counts(events: DataFrame, closed: DataFrame, window: str = "1 day") -> DataFrame:
+    """``(window_start, probable_cause, n, n_late)`` of the closed windows.
+
+    ``closed`` holds the windows of a stream with ``final``, ``events`` all that
+    has arrived, as a batch. Windows close in order, so those up to the last
+    one of ``closed`` are; what they hold besides its counts came late.
+    """
+    last = closed.agg(F.max("window_start").alias("_last"))  # one row
+    every = failure_counts(events, window).withColumnRenamed("n", "_all").join(F.broadcast(last), how="cross")
+    every = every.where(F.col("window_start") <= F.col("_last"))
+    counted = every.join(closed, ["window_start", "probable_cause"], "left")
+    n = F.coalesce("n", F.lit(0))
+    return counted.select("window_start", "probable_cause", n.alias("n"), (F.col("_all") - n).alias("n_late"))
