@@ -17,7 +17,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +31,10 @@ from pyspark.sql import functions as F
 from weftline.llm.workers import map_batches
 from weftline.session import materialize
 
-#: A chunk is closed when its documents have so many links.
+#: A chunk is closed when its documents have about so many links.
 CHUNK_LINKS = 1 << 20
 #: Pieces of text and windows that a Python worker remembers; further ones are worked out each time.
-KNOWN = 150_000
+KNOWN = 200_000
 #: Bytes of text aligned at once; a longer document is aligned alone.
 PIECE = 1 << 20
 _SPACE = "▁"
@@ -46,13 +49,32 @@ def byte_level_alphabet() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+#: The ids of a window on either side, packed.
+Window = tuple[bytes, bytes]
+
+
+class Alignment(NamedTuple):
+    """What is to be known of a window: tokens, groups, the groups' text and the packed links (``id of a * width + id of b``)."""
+
+    n_a: int
+    n_b: int
+    n_groups: int
+    text: str
+    links: bytes
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 class Tokenizers:
-    """Both tokenizers and what each id's bytes are.
+    """Both tokenizers, what each id's bytes are, and what is known of pieces of text and of windows.
 
-    Neither joins what a space parts from the piece of text before it, so a
-    text's ids are those of its pieces between spaces, and pieces are remembered.
-    Pieces that end with other signs than common visible ones are taken together
-    with the next; where a piece's tokens do not give its bytes, the whole text is encoded.
+    Neither tokenizer joins what a space parts from the piece of text before
+    it, so a text's ids are those of its pieces between spaces, and pieces are
+    remembered. Pieces that end with other signs than common visible ones are
+    taken together with the next; where a piece's tokens do not give its bytes,
+    the whole text is encoded.
     """
 
     def __init__(self, byte_level: str, pieces: str) -> None:
@@ -65,158 +87,229 @@ class Tokenizers:
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         signs = byte_level_alphabet()
         names = {i: t for t, i in self.a.get_vocab().items()}
+        entries = self.b.id_to_piece(list(range(self.b.get_piece_size())))
         self.a_bytes = [self._entry(names.get(i, ""), signs) for i in range(max(names) + 1)]
         self.b_bytes = [
-            bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode()
-            for i, p in enumerate(self.b.id_to_piece(list(range(self.b.get_piece_size()))))
+            bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(entries)
         ]
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in table], np.int64) for table in (self.a_bytes, self.b_bytes))
-        self.a_spaced, self.b_spaced = (np.array([t[:1] == b" " for t in table]) for table in (self.a_bytes, self.b_bytes))
-        if any(" " in p.lstrip(_SPACE).replace(_SPACE, " ") for p in map(self.b.id_to_piece, range(self.b.get_piece_size()))):
+        # A number's text with what may stand behind it.
+        self.a_names = np.array([[f"{i}{sign}" for i in range(len(self.a_bytes))] for sign in ",|"], object)
+        self.b_names = np.array([[f"{i}{sign}" for i in range(len(self.b_bytes))] for sign in (",", ";", "\n")], object)
+        if any(_SPACE in p.lstrip(_SPACE) for p in entries):
             raise ValueError("a piece holds a space inside, so texts may not be encoded piece by piece")
         # None: not to be encoded alone.
-        self.known: dict[str, tuple[bytes, bytes] | None] = {"": None}
+        self.known: dict[str, tuple[Window, ...] | None] = {"": None}
+        self.memo: dict[Window, Alignment] = {}
 
     @staticmethod
     def _entry(token: str, signs: dict[str, int]) -> bytes:
         return bytes(signs[c] for c in token) if all(c in signs for c in token) else token.encode()
 
-    def _coded(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """The ids of texts as 32-bit numbers, None where they do not give the text's bytes."""
-        firsts = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
+        """Both ids of space and text, None where they do not give the bytes."""
+        firsts = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
         seconds = self.b.encode(texts, num_threads=1)
-        out = []
-        for text, first, second in zip(texts, firsts, seconds, strict=True):
-            want = (" " + text).encode()
-            a, b = first.ids, second
-            same = b"".join([self.a_bytes[i] for i in a]) == want and b"".join([self.b_bytes[i] for i in b]) == want
-            out.append((np.array(a, np.uint32).tobytes(), np.array(b, np.uint32).tobytes()) if same else None)
+        a_of, b_of = self.a_bytes.__getitem__, self.b_bytes.__getitem__
+        # All at once, and one by one only where something differs.
+        want = (" " + " ".join(texts)).encode()
+        same = all(b"".join(map(of, chain.from_iterable(ids))) == want for of, ids in ((a_of, firsts), (b_of, seconds)))
+        ends = np.cumsum([1 + len(t.encode()) for t in texts])
+        for sizes, ids in ((self.a_sizes, firsts), (self.b_sizes, seconds)) if same else ():
+            counts = np.cumsum([len(x) for x in ids])
+            found = np.cumsum(sizes[np.fromiter(chain.from_iterable(ids), np.int64, counts[-1])]) if len(counts) else counts
+            same = same and bool((counts > 0).all()) and np.array_equal(found[counts - 1], ends)
+        out: list[tuple[list[int], list[int]] | None] = []
+        for text, a, b in zip(texts, firsts, seconds, strict=True):
+            one = (" " + text).encode()
+            right = same or (b"".join(map(a_of, a)) == one and b"".join(map(b_of, b)) == one)
+            out.append((a, b) if right else None)
         return out
 
-    def _learn(self, words: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
-        found: dict[str, tuple[bytes, bytes] | None] = {w: None for w in words if w[-1] not in _ENDS}
-        rest = [w for w in words if w not in found]
-        for low in range(0, len(rest), 4096):
-            part = rest[low : low + 4096]
-            found.update(zip(part, self._coded(part), strict=True))
+    def windows(self, a: list[int], b: list[int]) -> tuple[Window, ...]:
+        """The ids cut where tokens of both sides end and the next ones both begin with a space."""
+        ends, at, out = {}, 0, []
+        for j, token in enumerate(b):
+            at += self.b_sizes[token]
+            ends[at] = j + 1
+        first_a = first_b = at = 0
+        for i, token in enumerate(a, 1):
+            at += self.a_sizes[token]
+            j = ends.get(at)
+            if j is None:
+                continue
+            if i == len(a) or (self.a_bytes[a[i]][:1] == b" " and self.b_bytes[b[j]][:1] == b" "):
+                out.append((_packed(a[first_a:i]), _packed(b[first_b:j])))
+                first_a, first_b = i, j
+        return tuple(out)
+
+    def learn(self, pieces: list[str]) -> dict[str, tuple[Window, ...] | None]:
+        """The windows of pieces of text, which begin behind a space and hold none; None for those that do not stand alone."""
+        found: dict[str, tuple[Window, ...] | None] = {p: None for p in pieces if p[-1:] not in _ENDS}
+        rest = [p for p in pieces if p not in found]
+        for low in range(0, len(rest), 16_384):
+            part = rest[low : low + 16_384]
+            for piece, ids in zip(part, self.encode(part), strict=True):
+                # Both sides end with the piece, and the next piece begins with a space on either side.
+                found[piece] = None if ids is None else ((_packed(ids[0]), _packed(ids[1])),)
         if len(self.known) < KNOWN:
             self.known.update(found)
         return found
 
-    def _with_odd_ends(self, text: str, words: list[str], found: dict) -> tuple[bytes, bytes] | None:
-        """A text some of whose words do not stand alone."""
-        joined, held = [], []
-        for w in words:
-            held.append(w)
-            if w and w[-1] in _ENDS:
-                joined.append(" ".join(held))
+    def odd(self, text: str, found: dict[str, tuple[Window, ...] | None]) -> list[str | tuple[Window, ...]] | None:
+        """A text some of whose pieces do not stand alone: pieces that do, and the windows of what is put together."""
+        units: list[str | tuple[Window, ...]] = []
+        held: list[str] = []
+        for piece in [*text.split(" "), None]:
+            if piece is not None:
+                held.append(piece)
+            if held and (piece is None or piece[-1:] in _ENDS):
+                joined = " ".join(held)
                 held = []
-        if held:
-            joined.append(" ".join(held))
-        parts = [self.known.get(j) or found.get(j) for j in joined]
-        new = [j for j, p in zip(joined, parts, strict=True) if p is None and j]
-        coded = dict(zip(new, self._coded(new), strict=True)) if new else {}
-        parts = [p or coded.get(j) for j, p in zip(joined, parts, strict=True)]
-        if None in parts:
-            return self._coded([text])[0]
-        return b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
-
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Both ids of space and text, as 32-bit numbers; None for a text that has no tokens."""
-        known = self.known
-        cut = [t.split(" ") for t in texts]
-        unknown = {w for words in cut for w in words if w not in known}
-        found = self._learn(list(unknown)) if unknown else {}
-        out: list[tuple[bytes, bytes] | None] = []
-        for text, words in zip(texts, cut, strict=True):
-            if not text:
-                out.append(None)
-                continue
-            pairs = [known[w] if w in known else found[w] for w in words]
-            if None in pairs:
-                out.append(self._with_odd_ends(text, words, found))
-            else:
-                out.append((b"".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])))
+                windows = self.known.get(joined) or found.get(joined)
+                if windows is None:
+                    ids = self.encode([joined])[0] if joined else None
+                    if ids is None:
+                        whole = self.encode([text])[0]
+                        return None if whole is None else [self.windows(*whole)]
+                    windows = self.windows(*ids)
+                units.append(windows)
+        return units
+
+    def aligned(self, windows: list[Window]) -> dict[Window, Alignment]:
+        """The alignments of windows, remembered by their ids; new ones are worked out together."""
+        known = self.memo
+        out = {w: known[w] for w in windows if w in known}
+        new = list(dict.fromkeys(w for w in windows if w not in out))
+        for low in range(0, len(new), 16_384):
+            part = new[low : low + 16_384]
+            out.update(zip(part, self._align(part), strict=True))
+        if len(known) < KNOWN:
+            known.update((w, out[w]) for w in new)
         return out
 
-
-def align_window(a: list[int], b: list[int], a_sizes: np.ndarray, b_sizes: np.ndarray, width: int) -> tuple[int, str, list[int]]:
-    """Groups, their text, and the links (``id of a * width + id of b``) of a window."""
-    links, groups = [], []
-    i = j = group_a = group_b = 0
-    a_end, b_end = int(a_sizes[a[0]]), int(b_sizes[b[0]])
-    while True:
-        links.append(a[i] * width + b[j])
-        a_now, b_now = a_end, b_end
-        if a_now <= b_now:
-            i += 1
-            a_end += int(a_sizes[a[i]]) if i < len(a) else 0
-        if b_now <= a_now:
-            j += 1
-            b_end += int(b_sizes[b[j]]) if j < len(b) else 0
-        if a_now == b_now:
-            groups.append(",".join(map(str, a[group_a:i])) + "|" + ",".join(map(str, b[group_b:j])))
-            group_a, group_b = i, j
-            if i == len(a):
-                return len(groups), ";".join(groups), links
-
-
-def cut_windows(a: np.ndarray, b: np.ndarray, coders: Tokenizers) -> tuple[np.ndarray, ...]:
-    """Where windows end: in bytes, in tokens of ``a`` and of ``b``; further the bytes where groups end.
-
-    ``a`` and ``b`` are the ids of one or more texts end to end.
-    """
-    a_ends, b_ends = np.cumsum(coders.a_sizes[a]), np.cumsum(coders.b_sizes[b])
-    total = int(a_ends[-1])
-    a_here, b_here = np.zeros(total + 1, bool), np.zeros(total + 1, bool)
-    a_here[a_ends] = True
-    b_here[b_ends] = True
-    shared = np.flatnonzero(a_here & b_here)
-    a_next = np.searchsorted(a_ends, shared, "right")
-    b_next = np.searchsorted(b_ends, shared, "right")
-    last = shared == total
-    spaced = coders.a_spaced[a[np.minimum(a_next, len(a) - 1)]] & coders.b_spaced[b[np.minimum(b_next, len(b) - 1)]]
-    anchor = last | spaced
-    return shared[anchor], a_next[anchor], b_next[anchor], shared
+    def _align(self, windows: list[Window]) -> list[Alignment]:
+        """Windows end to end. A link is a stretch of bytes between two ends of either side, a group one between two shared ends."""
+        a, b = (np.frombuffer(b"".join([w[k] for w in windows]), np.uint32).astype(np.int64) for k in (0, 1))
+        n_a, n_b = ([len(w[k]) // 4 for w in windows] for k in (0, 1))
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        ends = a_ends[np.cumsum(n_a) - 1]
+        every = np.sort(np.concatenate([a_ends, b_ends]))
+        again = every[1:] == every[:-1]
+        cuts, shared = every[np.concatenate([[True], ~again])], every[1:][again]
+        links = a[np.searchsorted(a_ends, cuts)] * len(self.b_bytes) + b[np.searchsorted(b_ends, cuts)]
+        n_links = np.bincount(np.searchsorted(ends, cuts), minlength=len(windows))
+        n_groups = np.bincount(np.searchsorted(ends, shared), minlength=len(windows))
+        # Each token's name and the sign behind it, the groups' tokens of a before those of b.
+        a_group, b_group = np.searchsorted(shared, a_ends), np.searchsorted(shared, b_ends)
+        a_count, b_count = np.cumsum(np.bincount(a_group)), np.cumsum(np.bincount(b_group))
+        out = np.empty(len(a) + len(b), object)
+        a_last, b_last = shared[a_group] == a_ends, shared[b_group] == b_ends
+        out[np.arange(len(a)) + np.concatenate([[0], b_count])[a_group]] = self.a_names[a_last.astype(int), a]
+        b_sign = np.where(ends[np.searchsorted(ends, b_ends)] == b_ends, 2, b_last.astype(int))
+        out[np.arange(len(b)) + a_count[b_group]] = self.b_names[b_sign, b]
+        texts = "".join(out.tolist()).split("\n")
+        stops = (8 * np.cumsum(n_links)).tolist()
+        packed = links.astype(np.int64).tobytes()
+        parts = [packed[i:j] for i, j in zip([0, *stops[:-1]], stops, strict=True)]
+        return list(map(Alignment, n_a, n_b, n_groups.tolist(), texts, parts))
 
 
 class _Chunk:
-    """Documents put together; what they have in common is held once."""
+    """Documents put together; what they have in common, pieces of text or lists of windows, is held once."""
 
     def __init__(self, number: int) -> None:
         self.number, self.links = number, 0
-        self.windows: dict[tuple[bytes, bytes], int] = {}
-        self.window_groups: list[str] = []
-        self.window_links: list[np.ndarray] = []
-        self.documents: list[tuple] = []
+        self.units: dict[str | tuple[Window, ...], int] = {}
+        self.sizes: list[tuple[int, int, int]] = []
+        self.unit_texts: list[str] = []
+        self.unit_links: list[bytes] = []
+        self.ids: list[int | None] = []
+        self.digests: list[str] = []
         self.held: list[np.ndarray] = []
         self.times: list[np.ndarray] = []
 
+    def unit(self, name: str | tuple[Window, ...], parts: list[Alignment]) -> None:
+        self.units[name] = len(self.units)
+        if len(parts) == 1:
+            one = parts[0]
+            self.sizes.append(one[:3])
+            self.unit_texts.append(one.text)
+            self.unit_links.append(one.links)
+        else:
+            self.sizes.append(tuple(sum(p[k] for p in parts) for k in range(3)))
+            self.unit_texts.append(";".join([p.text for p in parts]))
+            self.unit_links.append(b"".join([p.links for p in parts]))
+
+    def document(self, doc: int | None, numbers: list[int] | None) -> None:
+        self.ids.append(doc)
+        if numbers is None:
+            self.digests.append("")
+            numbers = []
+        else:
+            text = ";".join(map(self.unit_texts.__getitem__, numbers))
+            self.digests.append(hashlib.sha256(text.encode()).hexdigest())
+        held, times = np.unique(np.array(numbers, np.int64), return_counts=True)
+        self.held.append(held)
+        self.times.append(times)
+        self.links += 3 * len(numbers)  # about; a word has two or three tokens on either side
+
+    def add(self, ids: list[int | None], texts: list[str], coders: Tokenizers) -> None:
+        """Align some documents and put them in."""
+        cut = [t.split(" ") for t in texts]
+        known, units = coders.known, self.units
+        pieces = set(chain.from_iterable(cut))
+        new = [p for p in pieces if p not in units]
+        unknown = [p for p in new if p not in known]
+        found = coders.learn(unknown) if unknown else {}
+        windows = {p: found[p] if p in found else known[p] for p in new}
+        alone = {p for p in pieces if p not in units and windows[p] is None}  # they do not stand alone
+        aligned = coders.aligned([w for ws in windows.values() if ws for w in ws])
+        for piece, own in windows.items():
+            if own:
+                self.unit(piece, [aligned[w] for w in own])
+        for doc, text, words in zip(ids, texts, cut, strict=True):
+            if not text:
+                self.document(doc, None)
+            elif alone.isdisjoint(words):
+                self.document(doc, list(map(units.__getitem__, words)))
+            else:
+                parts = coders.odd(text, found)
+                for part in parts or []:
+                    if part not in units:
+                        more = coders.aligned(list(part))
+                        self.unit(part, [more[w] for w in part])
+                self.document(doc, None if parts is None else [units[p] for p in parts])
+
     def record(self) -> pa.RecordBatch:
-        sizes = np.array([len(x) for x in self.window_links], np.int64)
-        every = np.concatenate([*self.window_links, np.empty(0, np.int64)])
+        every = np.frombuffer(b"".join(self.unit_links), np.int64)
+        sizes = np.array([len(x) // 8 for x in self.unit_links], np.int64)
         pairs, places = np.unique(every, return_inverse=True)
         begins = np.cumsum(sizes) - sizes
-        # Documents that hold a pair: each once, whichever of its windows have it.
-        windows = np.concatenate([*self.held, np.empty(0, np.int64)]).astype(np.int64)
-        owner = np.repeat(np.arange(len(self.held)), [len(h) for h in self.held])
-        lengths = sizes[windows]
+        units = np.concatenate([*self.held, np.empty(0, np.int64)]).astype(np.int64)
+        times = np.concatenate([*self.times, np.empty(0, np.int64)]).astype(np.int64)
+        n_held = [len(h) for h in self.held]
+        owner = np.repeat(np.arange(len(self.held)), n_held)
+        # Documents that hold a pair: each once, whichever of its units have it.
+        lengths = sizes[units]
         at = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        of = places[np.repeat(begins[windows], lengths) + at]
-        once = np.unique(np.repeat(owner, lengths) * max(1, len(pairs)) + of)
-        holders = np.bincount(once % max(1, len(pairs)), minlength=len(pairs))
-        ids, n_a, n_b, n_groups, n_links, texts = (list(c) for c in zip(*self.documents, strict=True))
+        of = places[np.repeat(begins[units], lengths) + at]
+        span = max(1, len(pairs))
+        holders = np.bincount(np.unique(np.repeat(owner, lengths) * span + of) % span, minlength=len(pairs))
+        counts = np.array(self.sizes, np.int64).reshape(-1, 3)
+        n_a, n_b, n_groups = (_sums(owner, counts[units, k] * times, len(self.held)) for k in range(3))
         columns = {
             "chunk": pa.array([self.number], pa.int64()),
-            "doc_ids": pa.array([ids], pa.list_(pa.int64())),
+            "doc_ids": pa.array([self.ids], pa.list_(pa.int64())),
             "n_a": pa.array([n_a], pa.list_(pa.int64())),
             "n_b": pa.array([n_b], pa.list_(pa.int64())),
             "n_groups": pa.array([n_groups], pa.list_(pa.int64())),
-            "n_links": pa.array([n_links], pa.list_(pa.int64())),
-            "sha": pa.array([texts], pa.list_(pa.string())),
-            "held_sizes": pa.array([[len(h) for h in self.held]], pa.list_(pa.int32())),
-            "held": _one_list(windows),
-            "times": _one_list(np.concatenate([*self.times, np.empty(0, np.int64)])),
+            # Each link is a stretch of bytes between two ends of either side.
+            "n_links": pa.array([n_a + n_b - n_groups], pa.list_(pa.int64())),
+            "sha": pa.array([self.digests], pa.list_(pa.string())),
+            "held_sizes": pa.array([n_held], pa.list_(pa.int32())),
+            "held": _one_list(units),
+            "times": _one_list(times),
             "window_sizes": _one_list(sizes),
             "window_pairs": _one_list(places),
             "pairs": pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pa.array(pairs, pa.int64())),
@@ -237,72 +330,23 @@ _CHUNK = (
 _RESULT = (
     "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 )
-_ready: dict[tuple[str, str], tuple[Tokenizers, dict]] = {}
+_ready: dict[tuple[str, str], Tokenizers] = {}
 
 
-def _workshop(byte_level: str, pieces: str) -> tuple[Tokenizers, dict]:
+def _tokenizers(byte_level: str, pieces: str) -> Tokenizers:
+    """Loaded once in each Python worker."""
     if (byte_level, pieces) not in _ready:
-        _ready[byte_level, pieces] = Tokenizers(byte_level, pieces), {}
+        _ready[byte_level, pieces] = Tokenizers(byte_level, pieces)
     return _ready[byte_level, pieces]
 
 
-def _add(chunk: _Chunk, ids: list[int | None], coded: list[tuple[bytes, bytes] | None], coders: Tokenizers, memo: dict) -> None:
-    """Align some documents and put them into ``chunk``."""
-    width = len(coders.b_bytes)
-    whole = [c for c in coded if c is not None]
-    a_text, b_text = b"".join([c[0] for c in whole]), b"".join([c[1] for c in whole])
-    win_ends = group_ends = a_after = b_after = np.zeros(1, np.int64)
-    numbers: list[int] = []
-    if whole:
-        a, b = np.frombuffer(a_text, np.uint32), np.frombuffer(b_text, np.uint32)
-        win_ends, a_after, b_after, group_ends = cut_windows(a, b, coders)
-        a_cuts, b_cuts = [0, *(4 * a_after).tolist()], [0, *(4 * b_after).tolist()]
-        known = chunk.windows
-        for k in range(len(win_ends)):
-            key = a_text[a_cuts[k] : a_cuts[k + 1]], b_text[b_cuts[k] : b_cuts[k + 1]]
-            number = known.get(key)
-            if number is None:
-                number = known[key] = len(known)
-                if (seen := memo.get(key)) is None:
-                    sides = [np.frombuffer(side, np.uint32).tolist() for side in key]
-                    _, text, links = align_window(*sides, coders.a_sizes, coders.b_sizes, width)
-                    seen = text, np.array(links, np.int64)
-                    if len(memo) < KNOWN:
-                        memo[key] = seen
-                chunk.window_groups.append(seen[0])
-                chunk.window_links.append(seen[1])
-            numbers.append(number)
-    end = first = 0
-    for doc, one in zip(ids, coded, strict=True):
-        if one is None:
-            chunk.documents.append((doc, 0, 0, 0, 0, ""))
-            chunk.held.append(np.empty(0, np.int64))
-            chunk.times.append(np.empty(0, np.int64))
-            continue
-        n_a, n_b = len(one[0]) // 4, len(one[1]) // 4
-        before = end
-        end += int(coders.a_sizes[np.frombuffer(one[0], np.uint32)].sum())
-        last = int(np.searchsorted(win_ends, end, "right"))
-        own = numbers[first:last]
-        first = last
-        n_groups = int(np.searchsorted(group_ends, end, "right") - np.searchsorted(group_ends, before, "right"))
-        # Each link is a stretch of bytes between two ends of either side.
-        n_links = n_a + n_b - n_groups
-        text = ";".join(map(chunk.window_groups.__getitem__, own))
-        chunk.documents.append((doc, n_a, n_b, n_groups, n_links, hashlib.sha256(text.encode()).hexdigest()))
-        held, times = np.unique(np.array(own, np.int64), return_counts=True)
-        chunk.held.append(held)
-        chunk.times.append(times)
-        chunk.links += n_links
-
-
 def aligned_chunks(documents: DataFrame, byte_level: str, pieces: str, chunk_links: int = CHUNK_LINKS) -> DataFrame:
     """Rows of documents that are encoded and aligned, see ``_CHUNK``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coders, memo = _workshop(byte_level, pieces)
+        coders = _tokenizers(byte_level, pieces)
         number = TaskContext.get().partitionId() << 32
         chunk = _Chunk(number)
         for batch in batches:
@@ -312,13 +356,13 @@ def aligned_chunks(documents: DataFrame, byte_level: str, pieces: str, chunk_lin
             while low < len(keys):
                 high = low + max(1, int(np.searchsorted(np.cumsum(sizes[low:]), PIECE, "right")))
                 part = [t or "" for t in texts.slice(low, high - low).to_pylist()]
-                _add(chunk, keys[low:high], coders.encode(part), coders, memo)
+                chunk.add(keys[low:high], part, coders)
                 low = high
                 if chunk.links >= chunk_links:
                     yield chunk.record()
                     number += 1
                     chunk = _Chunk(number)
-        if chunk.documents:
+        if chunk.ids:
             yield chunk.record()
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
