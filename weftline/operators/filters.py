@@ -76,3 +76,16 @@ def list_notebooks(
         closed = unreadable.select(F.regexp_replace("path", "/$", "").alias("folder"))
         blocked = blocked.union(steps.join(closed, "folder", "left_semi").select("parent"))
     return notebooks.join(blocked.distinct(), "parent", "left_anti").select("path", "name", "language")
+
+
+def listing_problems(objects: DataFrame, roots: DataFrame, unreadable: DataFrame | None = None) -> DataFrame:
+    """``(root, error)`` for each of ``roots(root)`` that cannot be listed: it is not there, or it is among ``unreadable(path)``."""
+    asked = roots.select("root", F.regexp_replace("root", "/+$", "").alias("path")).distinct().where("path <> ''")
+    there = objects.where(F.col("object_type").isin(CONTAINERS)).select("path").distinct()
+    missing = asked.join(there, "path", "left_anti")
+    found = missing.select("root", F.concat(F.lit("Path not found: "), "root").alias("error"))
+    if unreadable is None:
+        return found
+    closed = unreadable.select(F.regexp_replace("path", "/+$", "").alias("path")).distinct()
+    shut = asked.join(there, "path", "left_semi").join(closed, "path", "left_semi")
+    return found.union(shut.select("root", F.concat(F.lit("Failed to list workspace path: "), "root").alias("error")))

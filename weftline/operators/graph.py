@@ -338,3 +338,16 @@ def with_staleness(df: DataFrame, built_at: Column, ttl_seconds: int = GRAPH_TTL
         .withColumn("cache_age_seconds", age)
         .withColumn("stale_warning", age > ttl_seconds)
     )
+
+
+def dependency_report(
+    nodes: DataFrame,
+    edges: DataFrame,
+    tables: DataFrame,
+    built_at: Column,
+    ttl_seconds: int = GRAPH_TTL_SECONDS,
+    now: Column | None = None,
+) -> DataFrame:
+    """``dependency_counts`` of each of ``tables(table)`` with the age of the graph that answers."""
+    counts = dependency_counts(table_dependencies(nodes, edges, tables))
+    return with_staleness(counts, built_at, ttl_seconds, now)

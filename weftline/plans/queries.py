@@ -441,6 +441,22 @@ def _(spark, sf_dir):
     return filters.list_notebooks(objects, "/Workspace", 3, unreadable.select(closed).distinct())
 
 
+@query(
+    "listing_problems",
+    f"""SELECT DISTINCT '/Workspace/team' || CAST(team AS VARCHAR) || '_gone' AS root,
+        'Path not found: /Workspace/team' || CAST(team AS VARCHAR) || '_gone' AS error FROM ({_OBJECT_SQL})
+      UNION SELECT '/Workspace/team3/sub', 'Failed to list workspace path: /Workspace/team3/sub' FROM ({_OBJECT_SQL}) WHERE team = 3""",
+)
+def _(spark, sf_dir):
+    """Folders of every team, the same with another name, and one that may not be listed."""
+    objects = C.workspace_objects(spark, sf_dir)
+    teams = objects.select(F.regexp_extract("path", r"^(/Workspace/team\d)", 1).alias("root")).where("root <> ''").distinct()
+    roots = teams.union(teams.select(F.concat("root", F.lit("_gone")))).union(teams.where("root LIKE '%3'").select(F.concat("root", F.lit("/sub/"))))
+    shut = teams.where("root LIKE '%3'").select(F.concat("root", F.lit("/sub")).alias("path"))
+    found = filters.listing_problems(objects, roots, shut)
+    return found.select(F.regexp_replace("root", "/$", "").alias("root"), F.regexp_replace("error", "/$", "").alias("error"))
+
+
 # --------------------------------------------------------------------- cells
 
 
@@ -796,6 +812,25 @@ def _(spark, sf_dir):
     return graph.dependency_counts(graph.table_dependencies(nodes, edges, asked))
 
 
+@query(
+    "dependency_report",
+    f"""WITH down AS ({closure_sql(TABLE_SEEDS_SQL)}),
+      up AS ({closure_sql("SELECT DISTINCT src AS seed FROM edges WHERE src LIKE 'table::%'", "up")}),
+      tables AS (SELECT DISTINCT 'table::' || i AS seed FROM ({BASE_SQL}) WHERE k % 10 <> 9 OR tpl = 7)
+      SELECT substr(t.seed, 8) AS "table", CAST(coalesce(u.n, 0) AS BIGINT) AS upstream_count,
+        CAST(coalesce(d.n, 0) AS BIGINT) AS downstream_count, '2024-01-01T00:00:00Z' AS graph_timestamp,
+        CAST(3601 AS BIGINT) AS cache_age_seconds, TRUE AS stale_warning
+      FROM tables t LEFT JOIN (SELECT seed, count(*) AS n FROM up GROUP BY 1) u USING (seed)
+        LEFT JOIN (SELECT seed, count(*) AS n FROM down GROUP BY 1) d USING (seed)""",
+)
+def _(spark, sf_dir):
+    """What every table depends on and what depends on it, from a graph that is a second too old."""
+    nodes, edges = workspace_graph(spark, sf_dir)
+    asked = table_seeds(edges).select(F.expr("substring(seed, 8)").alias("table"))
+    built, now = (F.timestamp_seconds(F.lit(t)) for t in (1704067200, 1704070801))
+    return graph.dependency_report(nodes, edges, asked, built, now=now)
+
+
 @query(
     "node_lookup",
     f"""WITH nodes AS ({NODES_SQL})
@@ -1198,6 +1233,26 @@ def _(spark, sf_dir):
     return report.select("path", "cell_count", "total_findings", of("critical"), of("info"))
 
 
+_RANKS = {level: n for n, level in enumerate(("critical", "high", "medium", "low", "info"))}
+_RULE_ROWS = ", ".join(
+    f"('{r.rule_id}', {_RANKS[_SEVERITY_OF[r.rule_id]]}, {n}, '{r.suggestion.replace("'", "''")}')"
+    for n, r in enumerate(DEFAULT_RULES)
+)
+
+
+@query(
+    "findings_order",
+    f"""SELECT x.path, CAST(row_number() OVER (PARTITION BY x.path ORDER BY r.rank, r.pos) - 1 AS INTEGER) AS position,
+      x.rule_id, r.suggestion FROM ({_FINDINGS_SQL}) x JOIN (VALUES {_RULE_ROWS}) r(rule_id, rank, pos, suggestion)
+      ON r.rule_id = x.rule_id""",
+)
+def _(spark, sf_dir):
+    """The findings of each report in their order, worst first, with what they suggest."""
+    report = review_report(C.review_cells(spark, sf_dir))
+    rows = report.select("path", F.posexplode("findings").alias("position", "f"))
+    return rows.select("path", "position", "f.rule_id", "f.suggestion")
+
+
 def _credential_sql(source: str, text: str, keys: str) -> str:
     """The four kinds of credentials in the order in which they are looked for; patterns and messages are fixed values."""
     assigned = """\\s*=\\s*["''][^"'']+["'']"""
@@ -1636,6 +1691,24 @@ def _(spark, sf_dir):
     return counts.select(utc_text(F.col("window_start"), "yyyy-MM-dd").alias("day"), "probable_cause", "n")
 
 
+@query(
+    "stream_json_failures",
+    f"""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, {_FIRST_CAUSE_SQL} AS probable_cause,
+      CAST(count(*) AS BIGINT) AS n FROM events WHERE event_type = 'error' GROUP BY 1, 2""",
+)
+def _(spark, sf_dir):
+    """The same events as lines of JSON files."""
+    folder = work_folder(spark, "stream")
+    records = logs.load_events(C.pipeline_event_records(C.table(spark, sf_dir, "events")))
+    records.repartition(3).write.json(f"{folder}/arriving")
+    events = logs.load_events(logs.stream_json_events(spark, f"{folder}/arriving"))
+    stream_failure_ops.stream_failures(
+        events, f"{folder}/counts", f"{folder}/checkpoint", watermark="3650 days"
+    ).awaitTermination()
+    counts = stream_failure_ops.current_failures(spark, f"{folder}/counts")
+    return counts.select(utc_text(F.col("window_start"), "yyyy-MM-dd").alias("day"), "probable_cause", "n")
+
+
 _HELD = "event_id % 10 = 0 AND ts < (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events)"
 
 
