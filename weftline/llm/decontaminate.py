@@ -125,7 +125,7 @@ def with_matches(documents: DataFrame, benchmark: DataFrame, prefix: str = "", l
     words in the original text, flat. Every text is read once and stays in its
     partition. The benchmark (item_id, text) is a test set that its owner has
     fixed; its windows reach the tasks in tables of ``limit`` bytes, and a larger
-    one is scanned in several automata, one after the other. Null texts have
+    one is scanned in several automata, one after the other. Columns named like a result are replaced. Null texts have
     no words, items without words no windows; repeated items count by their id.
     """
     spark = documents.sparkSession
@@ -133,6 +133,7 @@ def with_matches(documents: DataFrame, benchmark: DataFrame, prefix: str = "", l
     tables = automata_patterns(items, limit)
     held = [(uuid.uuid4().hex, spark.sparkContext.broadcast(t)) for t in tables]  # each of limited size
     names = [f"{prefix}{f.name}" for f in _FOUND]
+    documents = documents.drop(*names)
     fields = [T.StructField(n, f.dataType) for n, f in zip(names, _FOUND, strict=True)]
     schema = T.StructType([*documents.schema.fields, *fields])
     at = documents.columns.index("text")

@@ -86,8 +86,9 @@ def measure(column: pa.Array) -> np.ndarray:
 
 
 def with_features(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """``df`` and its FEATURES as long columns, each name after ``prefix``."""
+    """``df`` and its FEATURES as long columns, each name after ``prefix``; columns of ``df`` with such a name are replaced."""
     names = [f"{prefix}{f}" for f in FEATURES]
+    df = df.drop(*names)
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.LongType()) for n in names]])
     at = df.columns.index(text)
 

@@ -177,7 +177,7 @@ def find_secrets(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataF
     Rules whose pattern has mandatory trigrams are tried on the texts only
     that the index yields; the others read every text. Matches of one rule do
     not overlap, the leftmost counts; offsets are code points, the end
-    exclusive. A null text counts as empty; repeated rows get the same spans.
+    exclusive. A null text counts as empty; repeated rows get the same spans; a column ``found`` is replaced.
     """
     rows = documents.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_text_id", _text_id())
     queries = {rule.kind: query for rule in rules if (query := trigram_query(rule.pattern))}

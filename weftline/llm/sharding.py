@@ -93,12 +93,14 @@ def hilbert_shards(
     differ by one at most; under ``bytes`` a row belongs to the shard in which
     the middle of its ``size`` lies, so sums differ by one row's size. ``ties``
     orders rows in one cell; together with the cell it should tell rows apart.
-    Repeated rows each get a slot. Null is a value like others. No rows give no
+    Repeated rows each get a slot. A column named like a result (curve, shard, slot) or like what
+    leads to it (position, before_size) is replaced or left out. Null is a value like others. No rows give no
     rows; with fewer rows than shards some shards are empty.
     """
     if law not in ("rows", "bytes"):
         raise ValueError(f"unknown law {law}")
-    cells = rows
+    own = {"curve", "shard", "slot", "position", "before_size"} - {*dimensions, *ties}
+    cells = rows.drop(*own)
     for k, dimension in enumerate(dimensions):
         cells = quantised(cells, dimension, bits, f"_axis{k}")
     axes = [F.col(f"_axis{k}") for k in range(len(dimensions))]
