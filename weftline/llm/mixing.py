@@ -134,7 +134,11 @@ def schedule(sources: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
 
 
 def mixed(documents: DataFrame, seed: str = "mix", block: int = BLOCK_TOKENS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of ``documents`` (doc_id, text, source): size, source_size, target and taken, the words the mix takes.
+    """Per row of ``documents`` (doc_id, text, source): size, source_size, target, taken, first_slot and n_slots.
+
+    ``taken`` are the words the mix takes, ``first_slot`` is the slot of the
+    schedule in which it first takes some (null if it never does) and
+    ``n_slots`` in how many it does: rows by ``first_slot`` come in the order of the mix.
 
     Sources keep their documents shuffled by a digest of seed, doc_id and
     size, laid end to end and cut into blocks of ``block`` words; the schedule
@@ -161,16 +165,20 @@ def mixed(documents: DataFrame, seed: str = "mix", block: int = BLOCK_TOKENS, ca
     pieces = laid.filter("size > 0").withColumn(
         "block", F.explode(F.expr(f"sequence(_at div {block}, (_at + size - 1) div {block})"))
     )
-    slots = schedule(sources, block).select("src", "block", F.col("tokens").alias("_tokens"))
+    slots = schedule(sources, block).select("src", "block", F.col("tokens").alias("_tokens"), "slot")
     met = pieces.join(slots, ["src", "block"], "left").withColumn(
         "_taken",
         F.expr(f"greatest(0, least(_at + size, block * {block} + coalesce(_tokens, 0)) - greatest(_at, block * {block}))"),
     )
     keys = ["src", "_at", "doc_id", "size", "source_size", "target", *carry]
-    taken = met.groupBy(*keys).agg(F.sum("_taken").cast("long").alias("taken"))
-    empty = laid.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
+    used = F.when(F.col("_taken") > 0, F.col("slot"))
+    taken = met.groupBy(*keys).agg(
+        F.sum("_taken").cast("long").alias("taken"), F.min(used).alias("first_slot"), F.count(used).alias("n_slots")
+    )
+    none = {"taken": F.lit(0).cast("long"), "first_slot": F.lit(None).cast("long"), "n_slots": F.lit(0).cast("long")}
+    empty = laid.filter("size = 0").withColumns(none)
     return taken.unionByName(empty.select(*taken.columns)).select(
-        "doc_id", "size", "source_size", "target", "taken", *carry
+        "doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots", *carry
     )
 
 
@@ -200,7 +208,8 @@ def op10_low_discrepancy_mix(spark, sf_dir: str) -> DataFrame:
     return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-#: The same in closed form: water-filled targets, then each source's shuffled words from the first, twice over at most.
+#: The same in closed form: water-filled targets, each source's shuffled words from the first, twice over at most, and the
+#: slots in which the golden-ratio points take their blocks.
 _MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
@@ -220,7 +229,7 @@ WITH d AS (
   SELECT (3 * any_value(total) - 2 * coalesce(sum(2 * source_size) FILTER (above), 0))::HUGEINT AS rest,
     coalesce(sum(weight) FILTER (NOT above), 1)::HUGEINT AS weights FROM c
 ), t AS (
-  SELECT source, source_size, CASE WHEN above THEN 2.0 * source_size ELSE weight * rest / (2.0 * weights) END AS target,
+  SELECT source, src, source_size, CASE WHEN above THEN 2.0 * source_size ELSE weight * rest / (2.0 * weights) END AS target,
     CASE WHEN above THEN 2 * source_size ELSE weight * rest // (2 * weights) END AS tokens
   FROM c, f
 ), p AS (
@@ -228,12 +237,44 @@ WITH d AS (
     ORDER BY md5('mix|' || coalesce(d.doc_id::VARCHAR, '') || '|' || d.size), d.doc_id, d.size
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), a AS (
+  SELECT src::BIGINT AS src, source_size::BIGINT AS source_size, tokens::BIGINT AS tokens, (source_size::BIGINT + 511) // 512 AS blocks,
+    tokens::BIGINT // source_size::BIGINT * ((source_size::BIGINT + 511) // 512) + (tokens::BIGINT % source_size::BIGINT + 511) // 512 AS slots
+  FROM t WHERE tokens > 0 AND source_size > 0
+), b AS (
+  SELECT *, (sum(slots) OVER (ORDER BY src) - slots)::DOUBLE / sum(slots) OVER () AS low,
+    (sum(slots) OVER (ORDER BY src))::DOUBLE / sum(slots) OVER () AS high, (sum(slots) OVER ())::BIGINT AS n FROM a
+), u AS (
+  SELECT slot, point - floor(point) AS at FROM (
+    SELECT range AS slot, CAST('GOLDEN_STEP' AS DOUBLE) * (range // 1048576) + CAST('GOLDEN' AS DOUBLE) * (range % 1048576) AS point
+    FROM range((SELECT coalesce(any_value(n), 0) FROM b)))
+), drawn AS (
+  SELECT src, slot, row_number() OVER (PARTITION BY src ORDER BY slot) - 1 AS rank FROM u JOIN b ON u.at >= b.low AND u.at < b.high
+), got AS (
+  SELECT src, count(*) AS got FROM drawn GROUP BY src
+), ranked AS (
+  SELECT src, slot, rank FROM drawn
+  UNION ALL SELECT src, n + rank, rank FROM (
+    SELECT b.src, n, unnest(range(coalesce(got, 0), slots)) AS rank FROM b LEFT JOIN got USING (src))
+), taking AS (
+  SELECT src, slot, rank % blocks AS block,
+    least(512, source_size - rank % blocks * 512, tokens - rank // blocks * source_size - rank % blocks * 512) AS slot_tokens
+  FROM ranked JOIN b USING (src) WHERE rank < slots
+), pieces AS (
+  SELECT *, unnest(range((begins // 512)::BIGINT, ((begins + size - 1) // 512 + 1)::BIGINT)) AS block FROM p WHERE size > 0
+), met AS (
+  SELECT q.doc_id, q.src, q.begins, k.slot,
+    least(q.begins + q.size, q.block * 512 + k.slot_tokens) - greatest(q.begins, q.block * 512) AS words
+  FROM pieces q JOIN taking k ON k.src = q.src AND k.block = q.block
+), spread AS (
+  SELECT src, begins, doc_id, min(slot) AS first_slot, count(*) AS n_slots FROM met WHERE words > 0 GROUP BY ALL
 )
-SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target::DOUBLE AS target,
+SELECT p.doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target::DOUBLE AS target,
   (CASE WHEN size = 0 THEN 0 ELSE size * (tokens // source_size)
-    + greatest(0, least(size, tokens % source_size - begins)) END)::BIGINT AS taken
-FROM p
-"""
+    + greatest(0, least(size, tokens % source_size - p.begins)) END)::BIGINT AS taken,
+  first_slot::BIGINT AS first_slot, coalesce(n_slots, 0)::BIGINT AS n_slots
+FROM p LEFT JOIN spread ON size > 0 AND spread.src = p.src AND spread.begins = p.begins AND spread.doc_id IS NOT DISTINCT FROM p.doc_id
+""".replace("GOLDEN_STEP", repr(math.fmod(_GOLDEN * 1048576, 1.0))).replace("GOLDEN", repr(_GOLDEN))
 
 QUERIES = {"op10_low_discrepancy_mix": op10_low_discrepancy_mix}
 ORACLES = {"op10_low_discrepancy_mix": _MIX_SQL}
