@@ -24,8 +24,9 @@ from weftline.llm.words import NOT_SPACE, find_words, hash_words, pieces, text_b
 from weftline.llm.workers import map_batches
 from weftline.session import materialize, work_folder
 
-#: Groups (and places in each) of a network, the smallest first; the vocabulary is their square.
-SIZES = (32, 64, 128)
+#: Groups (and places in each) of a network, the smallest first; the vocabulary is their square. A step's work follows the
+#: groups and what a share sends to be averaged follows the vocabulary; words beyond it are trained and scored by their counts.
+SIZES = (32, 64)
 VOCABULARY = SIZES[0] ** 2
 #: Numbers, the last of a vocabulary, that words without one of their own share.
 SHARED = 64
