@@ -15,6 +15,7 @@ to each chunk, once for a chunk and not for each document.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 from array import array
@@ -32,9 +33,9 @@ from weftline.llm.workers import map_batches
 from weftline.session import materialize
 
 #: A chunk is closed when its documents have about so many links.
-CHUNK_LINKS = 1 << 20
+CHUNK_LINKS = 1 << 18
 #: Pieces of text and windows that a Python worker remembers; further ones are worked out each time.
-KNOWN = 200_000
+KNOWN = 150_000
 #: Bytes of text aligned at once; a longer document is aligned alone.
 PIECE = 1 << 20
 _SPACE = "▁"
@@ -271,7 +272,7 @@ class _Chunk:
         for doc, text, words in zip(ids, texts, cut, strict=True):
             if not text:
                 self.document(doc, None)
-            elif alone.isdisjoint(words):
+            elif not alone or alone.isdisjoint(words):
                 self.document(doc, list(map(units.__getitem__, words)))
             else:
                 parts = coders.odd(text, found)
@@ -336,6 +337,8 @@ _ready: dict[tuple[str, str], Tokenizers] = {}
 def _tokenizers(byte_level: str, pieces: str) -> Tokenizers:
     """Loaded once in each Python worker."""
     if (byte_level, pieces) not in _ready:
+        # What is remembered is very many small objects without cycles, which the collector would go through again and again.
+        gc.set_threshold(1_000_000, 20, 100)
         _ready[byte_level, pieces] = Tokenizers(byte_level, pieces)
     return _ready[byte_level, pieces]
 
