@@ -38,7 +38,7 @@ BLOCK = LANES * STEPS
 ROW_IDS = 1 << 21
 END_ID = 1
 #: Words whose ids a Python worker keeps; further ones are encoded each time.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 _SCALE = 1 << 16
 _HEADER = struct.Struct("<4sHHHQII")
 

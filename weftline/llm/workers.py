@@ -22,4 +22,9 @@ def map_batches(
     size = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(df.sparkSession.conf.get(size, "0")) <= BATCH_ROWS:
         df.sparkSession.conf.set(size, str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()  # the worker stays, for the next task or query
+
+    return df.mapInArrow(tidy, schema)
