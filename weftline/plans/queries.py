@@ -7,6 +7,7 @@ that SQL cannot state; its test compares it with brute force instead.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -1234,17 +1235,32 @@ def _(spark, sf_dir):
 
 
 _RANKS = {level: n for n, level in enumerate(("critical", "high", "medium", "low", "info"))}
-_RULE_ROWS = ", ".join(
-    f"('{r.rule_id}', {_RANKS[_SEVERITY_OF[r.rule_id]]}, {n}, '{r.suggestion.replace("'", "''")}')"
-    for n, r in enumerate(DEFAULT_RULES)
-)
+
+
+def _rule_place(rule_id: str, kind: str, text: str) -> int:
+    """Where in the registry the rule stands that fires; some share an id and differ in cell type and pattern."""
+    flags = {"i": re.IGNORECASE, "s": re.DOTALL, "m": re.MULTILINE}
+    places = [n for n, r in enumerate(DEFAULT_RULES) if r.rule_id == rule_id and (r.cell_types is None or kind in r.cell_types)]
+    if len(places) > 1:
+        places = [n for n in places if re.search(DEFAULT_RULES[n].pattern, text, sum(flags[f] for f in DEFAULT_RULES[n].flags))]
+    return places[0]
+
+
+def _rule_rows() -> str:
+    rows = []
+    for n, (kind, text, rules) in enumerate(C.REVIEW_CELLS):
+        for rule in rules:
+            place = _rule_place(rule, kind, text)
+            advice = DEFAULT_RULES[place].suggestion.replace("'", "''")
+            rows.append(f"({n}, '{rule}', {_RANKS[_SEVERITY_OF[rule]]}, {place}, '{advice}')")
+    return ", ".join(rows)
 
 
 @query(
     "findings_order",
-    f"""SELECT x.path, CAST(row_number() OVER (PARTITION BY x.path ORDER BY r.rank, r.pos) - 1 AS INTEGER) AS position,
-      x.rule_id, r.suggestion FROM ({_FINDINGS_SQL}) x JOIN (VALUES {_RULE_ROWS}) r(rule_id, rank, pos, suggestion)
-      ON r.rule_id = x.rule_id""",
+    f"""SELECT b.path, CAST(row_number() OVER (PARTITION BY b.path ORDER BY r.rank, r.place) - 1 AS INTEGER) AS position,
+      r.rule_id, r.suggestion FROM ({BASE_SQL}) b JOIN (VALUES {_rule_rows()}) r(cell, rule_id, rank, place, suggestion)
+      ON r.cell = b.k % {C.N_CELLS}""",
 )
 def _(spark, sf_dir):
     """The findings of each report in their order, worst first, with what they suggest."""
