@@ -105,7 +105,7 @@ def test_pieces_give_the_ids_of_whole_texts(coders, libraries):
     texts = ["".join(draw.choices(signs, k=draw.randint(1, 25))) for _ in range(4000)]
     chunk = alignment._Chunk(0)
     chunk.add(list(range(len(texts))), texts, coders)
-    n_a = chunk.record().column("n_a")[0].as_py()
+    n_a = alignment._opened(chunk.record().column("numbers")[0].as_py(), 8)[5].tolist()
     for text, tokens, digest in zip(texts, n_a, chunk.digests, strict=True):
         a, b = libraries[0].encode(" " + text, add_special_tokens=False).ids, libraries[1].encode(text)
         left, right = token_bytes(libraries, a, b)

@@ -18,6 +18,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import os
+import zlib
 from array import array
 from collections.abc import Iterator
 from itertools import chain
@@ -299,35 +300,34 @@ class _Chunk:
         holders = np.bincount(np.unique(np.repeat(owner, lengths) * span + of) % span, minlength=len(pairs))
         counts = np.array(self.sizes, np.int64).reshape(-1, 3)
         n_a, n_b, n_groups = (_sums(owner, counts[units, k] * times, len(self.held)) for k in range(3))
+        numbers = [np.array(n_held), units, times, sizes, places, n_a, n_b, n_groups]
         columns = {
             "chunk": pa.array([self.number], pa.int64()),
             "doc_ids": pa.array([self.ids], pa.list_(pa.int64())),
-            "n_a": pa.array([n_a], pa.list_(pa.int64())),
-            "n_b": pa.array([n_b], pa.list_(pa.int64())),
-            "n_groups": pa.array([n_groups], pa.list_(pa.int64())),
-            # Each link is a stretch of bytes between two ends of either side.
-            "n_links": pa.array([n_a + n_b - n_groups], pa.list_(pa.int64())),
             "sha": pa.array([self.digests], pa.list_(pa.string())),
-            "held_sizes": pa.array([n_held], pa.list_(pa.int32())),
-            "held": _one_list(units),
-            "times": _one_list(times),
-            "window_sizes": _one_list(sizes),
-            "window_pairs": _one_list(places),
+            "numbers": pa.array([_shut(numbers)], pa.binary()),
             "pairs": pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pa.array(pairs, pa.int64())),
             "holders": _one_list(holders),
         }
         return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
+def _shut(arrays: list[np.ndarray]) -> bytes:
+    """Whole numbers of 32 bits, packed: what a chunk holds besides its pairs is one small value in the tables."""
+    lengths = np.array([len(x) for x in arrays], np.int32)
+    return zlib.compress(b"".join([lengths.tobytes(), *[np.asarray(x).astype(np.int32).tobytes() for x in arrays]]), 1)
+
+
+def _opened(packed: bytes, n: int) -> list[np.ndarray]:
+    whole = np.frombuffer(zlib.decompress(packed), np.int32)
+    return np.split(whole[n:], np.cumsum(whole[:n])[:-1])
+
+
 def _one_list(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values.astype(np.int32)))
 
 
-_CHUNK = (
-    "chunk long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, "
-    "sha array<string>, held_sizes array<int>, held array<int>, times array<int>, window_sizes array<int>, "
-    "window_pairs array<int>, pairs array<long>, holders array<int>"
-)
+_CHUNK = "chunk long, doc_ids array<long>, sha array<string>, numbers binary, pairs array<long>, holders array<int>"
 _RESULT = (
     "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 )
@@ -376,19 +376,21 @@ def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The documents of each chunk with the counts of their links."""
     for batch in batches:
         for k in range(batch.num_rows):
-            row = {name: batch.column(name)[k].values for name in batch.schema.names if name != "chunk"}
-            n = {name: np.asarray(row[name]) for name in ("held_sizes", "held", "times", "window_sizes", "window_pairs")}
-            found = row["scored"]
+            held_sizes, held, times, unit_sizes, unit_pairs, *counts = _opened(batch.column("numbers")[k].as_py(), 8)
+            n_a, n_b, n_groups = (x.astype(np.int64) for x in counts)
+            found = batch.column("scored")[k].values
             order = np.argsort(np.asarray(found.field("pair")))
-            counts = np.asarray(found.field("n"))[order]
+            n = np.asarray(found.field("n"))[order]
             best = np.asarray(found.field("best")).astype(np.int64)[order]
-            window = np.repeat(np.arange(len(n["window_sizes"])), n["window_sizes"])
-            owner = np.repeat(np.arange(len(n["held_sizes"])), n["held_sizes"])
+            unit = np.repeat(np.arange(len(unit_sizes)), unit_sizes)
+            owner = np.repeat(np.arange(len(held_sizes)), held_sizes)
             sums = []
-            for value in (best, counts):
-                of_window = _sums(window, value[n["window_pairs"]], len(n["window_sizes"]))
-                sums.append(_sums(owner, of_window[n["held"]] * n["times"], len(n["held_sizes"])))
-            columns = [row["doc_ids"], row["n_a"], row["n_b"], row["n_groups"], row["n_links"], pa.array(sums[0]), pa.array(sums[1]), row["sha"]]
+            for value in (best, n):
+                of_unit = _sums(unit, value[unit_pairs], len(unit_sizes))
+                sums.append(pa.array(_sums(owner, of_unit[held] * times, len(held_sizes))))
+            # Each link is a stretch of bytes between two ends of either side.
+            tokens = [pa.array(x) for x in (n_a, n_b, n_groups, n_a + n_b - n_groups)]
+            columns = [batch.column("doc_ids")[k].values, *tokens, *sums, batch.column("sha")[k].values]
             names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
