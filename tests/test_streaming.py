@@ -40,6 +40,23 @@ def test_lineage_follows_versions(spark, tmp_path):
     assert read_tables(spark, str(tmp_path / "compact")) == {("/a", "m.s.three")}
 
 
+def test_only_newer_versions_reach_the_store(spark, tmp_path):
+    arriving, store = str(tmp_path / "in"), str(tmp_path / "store")
+    for batch in (
+        [book("/a", "one", None), book("/b", "one", 5), (None, "python", "pass", 1)],
+        [book("/a", "two", None), book("/b", "old", 4)],
+        [book("/a", "three", 1), book("/b", "same", 5)],
+    ):
+        spark.createDataFrame(batch, BOOK).coalesce(1).write.mode("append").parquet(arriving)
+        query = lineage.stream_lineage(spark.readStream.schema(BOOK).parquet(arriving), store, str(tmp_path / "checkpoint"))
+        query.awaitTermination()
+        # The state is Spark's own; no Python runs for a notebook.
+        assert "StateStoreSave" in query._jsq.explainInternal(False) and "Python" not in query._jsq.explainInternal(False)
+    rows = {(r.path, r.version, r.batch_id) for r in spark.read.schema(lineage.STORE_SCHEMA).parquet(store).collect()}
+    assert rows == {("/a", None, 0), ("/a", None, 1), ("/a", 1, 2), ("/b", 5, 0), ("/b", 5, 2), (None, 1, 0)}
+    assert read_tables(spark, store) == {("/a", "m.s.three"), ("/b", "m.s.same")}
+
+
 def test_a_batch_may_run_again(spark, tmp_path):
     store = str(tmp_path / "store")
     batch = spark.createDataFrame([book("/a", "one", 1)], BOOK)
