@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import graph
+from weftline.operators.levels import bucketed
 from weftline.operators.reach import paths, reach
 from weftline.operators.skew import hot_join, hot_keys, spread_join
 from weftline.sources import definitions, graphs, reports
@@ -302,3 +303,17 @@ def test_stored_versions(spark, small_graph, tmp_path):
     assert (status.cache_age_seconds, status.stale_warning, status.graph_timestamp) == (3600, False, "1970-01-01T00:33:20Z")
     assert (status.node_count, status.edge_count, status.root_count, status.leaf_count) == (7, 5, 3, 2)
     assert graphs.graph_status(spark, path, now=5601).first().stale_warning
+
+
+def test_large_tables_without_a_hot_key_are_joined_plainly(spark):
+    a = spark.range(60).select((F.col("id") % 20).alias("k"), F.col("id").alias("x"))
+    b = spark.range(20).select(F.col("id").alias("k"), F.col("id").alias("y"))
+    joined = hot_join(a, b, "k", hot_rows=5)
+    assert "salt" not in joined._jdf.queryExecution().toString() and joined.count() == 60
+    assert "salt" in hot_join(a, b, "k", hot_rows=2)._jdf.queryExecution().toString()
+
+
+def test_bucketed_rows_are_distinct(spark):
+    table, name = bucketed(spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), (None, 1), (None, 1)], "k string, n int"), "t", "k")
+    assert sorted(map(tuple, table.collect()), key=repr) == sorted([("a", 1), ("a", 2), (None, 1)], key=repr)
+    spark.sql(f"DROP TABLE {name}")
