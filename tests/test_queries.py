@@ -5,6 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from weftline.plans import queries as registry
 from weftline.plans.queries import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -81,3 +82,13 @@ def test_the_other_queries_stand_without_the_text_operators():
     code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; print(len(e.queries()))"
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, cwd=os.path.dirname(contract.__file__))
     assert int(out.stdout) == len([n for n in contract.queries() if n != "pipeline" and not n.startswith("op")])
+
+
+def test_a_question_about_edges_stores_no_nodes(spark, tmp_path):
+    rows = [(k, k % 5) for k in range(40)]
+    spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint").write.parquet(str(tmp_path / "orders.parquet"))
+    counts = registry.QUERIES["graph_staleness"](spark, str(tmp_path)).collect()
+    (stored,) = [parts for key, parts in registry._STORED.items() if key[1] == str(tmp_path)]
+    assert "stored edges" in stored and "stored nodes" not in stored
+    nodes, edges = registry.workspace_graph(spark, str(tmp_path))
+    assert sum(r.n for r in counts) == edges.count() and nodes.count() > 0
