@@ -127,6 +127,16 @@ def test_one_pair_costs_less_than_the_closure(spark):
     assert sum(searched) <= 30 and reach(df, asked.select(F.col("source").alias("seed"))).count() == 2020
 
 
+def test_many_pairs_are_searched_from_the_fewer_ends(spark):
+    """One source above 100 leaves, each of which five other nodes lead to."""
+    edges = [("top", f"leaf{i}") for i in range(100)] + [(f"other{i}-{k}", f"leaf{i}") for i in range(100) for k in range(5)]
+    pairs = [("top", f"leaf{i}") for i in range(100)]
+    searched = []
+    found = paths(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(pairs, "source string, target string"), searched=searched)
+    assert {(r.source, r.target): r.path for r in found.collect()} == {p: list(p) for p in pairs}
+    assert sum(searched) == 100
+
+
 def test_known_pairs_are_not_sent_again(spark):
     """The anti-join shuffles what a round has found and nothing else."""
     pairs = spark.range(1000).selectExpr("id % 37 AS seed", "id AS node")
