@@ -114,3 +114,13 @@ def test_stream_review_equals_batch(spark, tmp_path):
     pick = ["path", "rule_id", "code_snippet"]
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select(pick).collect()}
     assert got == {tuple(r) for r in review(notebook_cells(books)).select(pick).collect()} and len(got) == 10
+
+
+def test_streamed_rows_are_spread_before_texts_are_made(spark, tmp_path):
+    """A small file is one split, but its notebooks are made and reviewed in more tasks than one."""
+    from weftline.plans.queries import QUERIES
+
+    orders = spark.range(400).selectExpr("id AS o_orderkey", "id % 20 AS o_custkey")
+    orders.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    found = QUERIES["stream_review"](spark, str(tmp_path))
+    assert found.count() == 300 and len(found.inputFiles()) > 1
