@@ -75,3 +75,29 @@ def test_files(request, spark, tmp_path, which):
         at += r.n_tokens
     keys = [-1 if r.doc_id is None else r.doc_id for r in in_order]
     assert keys == sorted(keys)
+
+
+def test_new_words_share_a_text():
+    """Thousands of new words cost the tokenizer a few texts, and the ids are those of whole texts."""
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner, self.texts = inner, 0
+
+        def encode(self, *args, **kwargs):
+            return self.inner.encode(*args, **kwargs)
+
+        def encode_batch_fast(self, texts, **kwargs):
+            self.texts += len(texts)
+            return self.inner.encode_batch_fast(texts, **kwargs)
+
+    coder, plain = token_codec._Words(PATH), Tokenizer.from_file(PATH)
+    coder.tokenizer = Counting(coder.tokenizer)
+    texts = [" ".join(f"w{'abcdefghij'[n % 10]}x{n}" for n in range(k, k + 500)) for k in range(0, 5000, 500)]
+    odd = [
+        "", "  ", " a\tb ", "nul\0in \0 \0x", "END.%%% don't... dogs'. don't's x'", "\u00c9t\u00c9, \u00e9. e\u0301! \u03a3\u03a3. a\u00a0b\u2003c",
+        "a=\u0338 b< \u0338", "<|endoftext|> w", "a\x1cb\x0bc\x0cd", "x.\u0301 y,z; (q) \U0001f600! 1.5, 2. \ufb01.",
+    ]
+    got = coder.encode([t.encode() for t in texts + odd])
+    assert [np.frombuffer(g, np.uint16).tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts + odd]
+    assert coder.tokenizer.texts < 50

@@ -19,13 +19,14 @@ the table. Numbers are little-endian.
 from __future__ import annotations
 
 import os
+import string
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +40,12 @@ ROW_IDS = 1 << 21
 END_ID = 1
 #: Words whose ids a Python worker keeps; further ones are encoded each time.
 CACHE_WORDS = 300_000
+#: Texts of about so many bytes are encoded together.
+TEXT_BYTES = 1 << 23
+#: New words are encoded so many in one text, with a sign between them that texts hardly have.
+LINE, MARK = 1024, b"\0"
+_BETWEEN = b" " + MARK + b" "
+SIGNS = string.punctuation.encode()
 _SCALE = 1 << 16
 _HEADER = struct.Struct("<4sHHHQII")
 
@@ -156,15 +163,12 @@ def decode(payload: bytes, first_block: int = 0, n_blocks: int | None = None) ->
     return np.concatenate(out)[: n - first_block * size]
 
 
-_tokenizers: dict[str, tuple] = {}
-
-
 class _Words:
     """Ids of texts by way of their words.
 
     The tokenizer cuts at white space and between letters and other signs, so
     the ids of a text are those of its pieces between ASCII blanks, and those of
-    a piece that ends with a full stop or comma after a letter are those of both.
+    a piece that ends with other ASCII signs after a letter are those of both.
     Each worker remembers pieces it has seen. Texts that hold the start of a
     special token go to the tokenizer whole.
     """
@@ -174,23 +178,40 @@ class _Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {b"": b""}  # at the ends of a text with blanks there
+        mark = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
     def learn(self, unknown: list[bytes]) -> dict[bytes, bytes]:
         """The ids of pieces that are not known, and of the pieces in them."""
         known = self.known
-        closed = [w for w in unknown if w[-1:] in (b".", b",") and w[-2:-1].isalpha()]
-        split = set(closed)
-        new = {w[:-1] for w in closed} | {w[-1:] for w in closed}
-        new = list({w for w in unknown if w not in split} | {w for w in new if w not in known})
+        closed = [(w, head, w[len(head) :]) for w in unknown if (head := w.rstrip(SIGNS)) != w and head[-1:].isalpha()]
+        split = {w for w, _, _ in closed}
+        new = {h for _, h, _ in closed} | {t for _, _, t in closed}
+        found = self.pieces(list({w for w in unknown if w not in split} | {w for w in new if w not in known}))
+        for w, head, end in closed:
+            found[w] = (known[head] if head in known else found[head]) + (known[end] if end in known else found[end])
+        return found
+
+    def pieces(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of pieces without blanks, LINE of them to a text, where MARK stands between them and has one id."""
+        if self.mark is None:
+            marked, single = [], new
+        else:
+            marked, single = [w for w in new if MARK not in w], [w for w in new if MARK in w]
         found = {}
-        for low in range(0, len(new), 16_384):
-            part = new[low : low + 16_384]
+        for low in range(0, len(single), 16_384):
+            part = single[low : low + 16_384]
             coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
             found.update((w, np.array(e.ids, np.uint16).tobytes()) for w, e in zip(part, coded, strict=True))
-        for w in closed:
-            head, end = w[:-1], w[-1:]
-            found[w] = (known[head] if head in known else found[head]) + (known[end] if end in known else found[end])
+        lines = [marked[low : low + LINE] for low in range(0, len(marked), LINE)]
+        for low in range(0, len(lines), 16):
+            part = lines[low : low + 16]
+            coded = self.tokenizer.encode_batch_fast([_BETWEEN.join(line).decode() for line in part], add_special_tokens=False)
+            for line, e in zip(part, coded, strict=True):
+                ids = np.array(e.ids, np.uint16)
+                raw, marks = ids.tobytes(), (2 * np.flatnonzero(ids == self.mark)).tolist()
+                found.update((w, raw[a:b]) for w, a, b in zip(line, [0, *[m + 2 for m in marks]], [*marks, len(raw)], strict=True))
         return found
 
     def whole(self, text: bytes) -> bytes:
@@ -198,18 +219,34 @@ class _Words:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as 16-bit numbers."""
+        if len(texts) > 1 and sum(map(len, texts)) > TEXT_BYTES:
+            half = len(texts) // 2
+            return self.encode(texts[:half]) + self.encode(texts[half:])
         known = self.known
-        cut = [None if b"<|" in t else t.lower().split() for t in texts]
-        words = set(chain.from_iterable(c for c in cut if c))
-        unknown = [w for w in words if w not in known]
-        found = self.learn(unknown) if unknown else {}
-        new = {w: ids for w, ids in found.items() if w not in known}
-        known.update(new)
-        out = [self.whole(t) if c is None else b"".join(map(known.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
-        if len(known) > CACHE_WORDS:
-            for w in new:
-                del known[w]
-        return out
+        column = pa.array([b"" if b"<|" in t else t for t in texts], pa.large_string())
+        cut = pc.ascii_split_whitespace(pc.ascii_lower(column))
+        coded = cut.values.dictionary_encode()
+        words = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        pieces = [known.get(w) for w in words]
+        gaps = [k for k, ids in enumerate(pieces) if ids is None]
+        if gaps:
+            found = self.learn([words[k] for k in gaps])
+            for k in gaps:
+                pieces[k] = found[words[k]]
+            if len(known) < CACHE_WORDS:
+                known.update(found)
+        # The ids of all words of all texts: where each word's ids begin among those of the distinct words, and on from there.
+        order = coded.indices.to_numpy()
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) >> 1
+        begin, n = (np.cumsum(size) - size)[order], size[order]
+        ends = np.cumsum(n)
+        at = np.repeat(begin - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        raw = np.frombuffer(b"".join(pieces), np.uint16)[at].tobytes()
+        bounds = (2 * np.concatenate([[0], ends])[cut.offsets.to_numpy()]).tolist()
+        return [self.whole(t) if b"<|" in t else raw[a:b] for t, a, b in zip(texts, bounds, bounds[1:], strict=False)]
+
+
+_tokenizers: dict[str, _Words] = {}
 
 
 def _words(path: str) -> _Words:
@@ -259,8 +296,8 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, path: str, row_ids:
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
 
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
+            for low in range(0, batch.num_rows, 2000):
+                part = batch.slice(low, 2000)
                 keys = part.column(0).to_pylist()
                 coded = coder.encode(part.column(1).cast(pa.binary()).to_pylist())
                 for key, one in zip(keys, coded, strict=True):
