@@ -101,3 +101,54 @@ def test_new_words_share_a_text():
     got = coder.encode([t.encode() for t in texts + odd])
     assert [np.frombuffer(g, np.uint16).tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts + odd]
     assert coder.tokenizer.texts < 50
+
+
+def test_words_of_letters_skip_the_patterns():
+    """Words of small letters reach the model without the normalizer and its patterns, closing signs are cut off before, ids stay."""
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner, self.bytes = inner, 0
+
+        def encode_batch_fast(self, texts, **kwargs):
+            self.bytes += sum(map(len, texts))
+            return self.inner.encode_batch_fast(texts, **kwargs)
+
+    draw, plain = random.Random(9), Tokenizer.from_file(PATH)
+    letters = "abcdefghijklmnopqrstuvwxyzAEIOUéèñßüÿÉÑ"
+    words = ["".join(draw.choices(letters, k=draw.randint(1, 14))) + draw.choice(["", "", ",", "!!", "###", "."]) for _ in range(6000)]
+    texts = [" ".join(words[k : k + 300]) for k in range(0, 6000, 300)]
+    coder = token_codec._Words(PATH)
+    coder.tokenizer = Counting(coder.tokenizer)
+    expected = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):  # the second time the words are known
+        got = coder.encode([t.encode() for t in texts])
+        assert [np.frombuffer(g, np.uint16).tolist() for g in got] == expected
+    # What is left for the patterns: closing signs, and words with large letters beyond A-Z.
+    rest = sum(len(w) + 4 for w in set(words) if "É" in w or "Ñ" in w) + 100
+    assert 0 < coder.tokenizer.bytes < rest
+
+
+def test_signs_at_the_ends_of_texts():
+    """Pieces end with their text, whatever the next text begins with."""
+    texts = ["a!", "!b", "", "##", "c.", "×!", "é,", ",", " ", "d", "'s", "e'", "÷.", "\t", "f́!", "ª."]
+    whole = Tokenizer.from_file(PATH)
+    expected = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    pieces, cuts = token_codec._pieces([t.encode() for t in texts])
+    parts = [[p.decode() for p in pieces.to_pylist()[a:b]] for a, b in zip(cuts, cuts[1:])]
+    assert ["".join(p) for p in parts] == [t.strip().lower() for t in texts]
+    assert parts[0] == ["a", "!"] and parts[5] == ["×!"] and parts[6] == ["é", ","]
+    coder = token_codec._Words(PATH)
+    for some in (texts, texts[::-1], [], [""], [","]):
+        got = [np.frombuffer(g, np.uint16).tolist() for g in coder.encode([t.encode() for t in some])]
+        assert got == [expected[texts.index(t)] for t in some]
+
+
+def test_what_is_not_remembered(monkeypatch):
+    monkeypatch.setattr(token_codec, "CACHE_WORDS", 5)
+    coder, whole = token_codec._Words(PATH), Tokenizer.from_file(PATH)
+    for k in range(4):
+        texts = [f"some words {k}, others\0 (here) x{k}é! word{'abcd'[k]}.", "words, once more"]
+        got = [np.frombuffer(g, np.uint16).tolist() for g in coder.encode([t.encode() for t in texts])]
+        assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 5 <= len(coder.known) == len(coder.bounds) - 1 < 20
