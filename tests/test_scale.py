@@ -5,10 +5,11 @@ from pathlib import Path
 from urllib.parse import urlparse
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from weftline.operators import graph, reach_sets
-from weftline.operators.reach import reach, walk
+from weftline.operators.reach import paths, reach, walk
 from weftline.operators.skew import found_hot, often_met
 
 
@@ -84,3 +85,12 @@ def test_hot_keys_are_told_by_some_rows(spark, hot_rows):
     df = spark.range(200_000).selectExpr("CASE WHEN id % 2 = 0 THEN 7 ELSE id END AS k", "id")
     got, want = ({r.k: r.fan for r in f(df, "k", 200_000, hot_rows)} for f in (often_met, found_hot))
     assert set(got) == set(want) == {7} and abs(got[7] - want[7]) <= max(1, want[7] // 10)
+
+
+def test_pairs_are_told_apart_by_number_and_keep_their_rows(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "z"), ("z", "c")], "src string, dst string")
+    asked = [("a", "c"), ("a", "c"), ("b", "b"), ("x", "x"), ("c", "a"), (None, "a"), ("a", None), (None, None)]
+    found = paths(edges, spark.createDataFrame(asked, "source string, target string"))
+    assert "source_n" in found._jdf.queryExecution().optimizedPlan().toString()
+    ways = {("a", "c"): ["a", "b", "c"], ("b", "b"): ["b"]}
+    assert sorted(map(str, found.collect())) == sorted(str(Row(source=s, target=t, path=ways.get((s, t), []))) for s, t in asked)
