@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from weftline.operators import graph, reach_sets
+from weftline.operators import graph, reach_sets, upkeep
 from weftline.operators.reach import paths, reach, walk
 from weftline.operators.skew import found_hot, often_met
+from weftline.session import materialize
 
 
 def some_graph(spark, seed=3, nodes=60, edges=90):
@@ -94,3 +95,18 @@ def test_pairs_are_told_apart_by_number_and_keep_their_rows(spark):
     assert "source_n" in found._jdf.queryExecution().optimizedPlan().toString()
     ways = {("a", "c"): ["a", "b", "c"], ("b", "b"): ["b"]}
     assert sorted(map(str, found.collect())) == sorted(str(Row(source=s, target=t, path=ways.get((s, t), []))) for s, t in asked)
+
+
+def test_seeds_to_walk_again_are_sorted_out_before_their_pairs(spark, monkeypatch):
+    plans = {}
+
+    def kept_plan(df, label):
+        plans.setdefault(label, df._jdf.queryExecution().analyzed().toString())
+        return materialize(df, label)
+
+    monkeypatch.setattr(upkeep, "materialize", kept_plan)
+    old, new = some_graph(spark, 1), some_graph(spark, 2)
+    seeds = new.select(F.col("src").alias("seed"))
+    closure = upkeep.update_closure(reach(old, old.select(F.col("src").alias("seed"))), old, new, seeds)
+    assert sorted(map(tuple, closure.collect())) == sorted(map(tuple, reach(new, seeds).collect()))
+    assert plans["closure"].index("Join LeftSemi") < plans["closure"].index("Join LeftAnti")
