@@ -83,3 +83,27 @@ def test_copies_of_a_page_are_one_page(spark):
     assert {r.text for r in html_text.main_text(table).collect()} == {f"{banner} {own}"}
     more = table.union(spark.createDataFrame([(3, "https://one.example/c", f"<div>{banner}</div><div>{prose(3, 30)}</div>")], table.schema))
     assert sorted(r.text for r in html_text.main_text(more).collect()) == sorted([own, own, prose(3, 30)])
+
+
+def test_the_array_reads_articles_too(spark):
+    """A page without an article shares a run with the article of another page of its host."""
+    teaser, own = prose(1, 12), prose(2, 30)
+    rows = [(1, "https://one.example/a", f"<article><p>{teaser}</p><p>{prose(3, 40)}</p></article>"), (2, "https://one.example/b", f"<div>{teaser}</div><div>{own}</div>"), (3, "https://two.example/", f"<div>{teaser}</div><div>{own}</div>")]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: f"{teaser} {prose(3, 40)}", 2: own, 3: f"{teaser} {own}"}
+
+
+def test_the_array_judges_blocks_that_only_a_name_calls_content(spark):
+    banner = prose(1, 12)
+    rows = [(k, f"https://one.example/{k}", f"<div>no</div><div class=content><p>{banner}</p><p>{prose(10 + k, 30)}</p></div>") for k in range(3)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: prose(10 + k, 30) for k in range(3)}
+
+
+def test_copies_around_another_page_hide_nothing(spark):
+    """The smallest and the largest id are of one page; what the page between them shares still goes."""
+    banner = prose(1, 12)
+    page, other = (f"<div>{banner}</div><div>{prose(k, 30)}</div>" for k in (2, 3))
+    rows = [(1, "https://one.example/a", page), (2, "https://one.example/b", other), (3, "https://one.example/c", page)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: prose(2, 30), 2: prose(3, 30), 3: prose(2, 30)}
