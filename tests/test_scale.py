@@ -110,3 +110,9 @@ def test_seeds_to_walk_again_are_sorted_out_before_their_pairs(spark, monkeypatc
     closure = upkeep.update_closure(reach(old, old.select(F.col("src").alias("seed"))), old, new, seeds)
     assert sorted(map(tuple, closure.collect())) == sorted(map(tuple, reach(new, seeds).collect()))
     assert plans["closure"].index("Join LeftSemi") < plans["closure"].index("Join LeftAnti")
+
+
+def test_paths_are_kept_small(spark):
+    edges = some_graph(spark)
+    files = reach(edges, edges.select(F.col("src").alias("seed")), with_paths=True).inputFiles()
+    assert files and all(".zstd." in f for f in files if "depth=0" not in f)
